@@ -5,17 +5,22 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import bpe
+from maskframe.llm import bpe, suffixes
 from maskframe.llm.common import table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 50-byte strings of smaller documents cover."""
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the rank file and decoded again; digests of both."""
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
 ORACLES: dict[str, str] = {}
