@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import bpe, suffixes
+from maskframe.llm import bpe, suffixes, tokens
 from maskframe.llm.common import table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,10 +17,15 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's ids, written to wavelet matrix shards and read back."""
+    return tokens.digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded by the rank file and decoded again; digests of both."""
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
 ORACLES: dict[str, str] = {}
