@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import bpe, simhash, suffixes, tokens
+from maskframe.llm import bpe, secrets, simhash, suffixes, tokens, urls
 from maskframe.llm.common import table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,16 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page judged by rule, else by its host's posterior."""
+    return urls.verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document by way of a blob ledger."""
+    return secrets.report(table(spark, sf_dir, "documents"))
+
+
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's ids, written to wavelet matrix shards and read back."""
     return tokens.digests(table(spark, sf_dir, "documents"), WORD_BPE)
@@ -32,5 +42,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
+ORACLES = {"op3_url_reputation": urls.sql(), "op4_secret_ledger": secrets.sql()}
