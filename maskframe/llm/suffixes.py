@@ -52,16 +52,13 @@ def _mix(left: np.ndarray, right: np.ndarray, which: int) -> np.ndarray:
 
 
 def pack(values: np.ndarray, sort_delta: bool = False) -> bytes:
-    """64-bit values, byte plane by byte plane, compressed; sorted ones as differences."""
+    """64-bit values; sorted ones as differences."""
     values = values.view(np.uint64)
-    if sort_delta:
-        values = np.diff(values, prepend=np.uint64(0))
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes())
+    return blocks.pack(np.diff(values, prepend=np.uint64(0)) if sort_delta else values)
 
 
 def unpack(data: bytes, sort_delta: bool = False) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(8, -1)
-    values = np.ascontiguousarray(planes.T).view(np.uint64).ravel()
+    values = blocks.unpack(data, np.uint64)
     return np.cumsum(values, dtype=np.uint64) if sort_delta else values
 
 
