@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import bpe, rules, secrets, simhash, suffixes, tokens, urls
+from maskframe.llm import bpe, ordinal, rules, secrets, simhash, suffixes, tokens, urls
 from maskframe.llm.common import table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -32,6 +32,11 @@ def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.digests(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op6_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected grade and tail probabilities of every document."""
+    return ordinal.select(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics, base rules and the trees' verdict of every document."""
     return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("margin")
@@ -47,5 +52,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op6_ordinal_quality": op6_ordinal_quality, "op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
 ORACLES = {"op3_url_reputation": urls.sql(), "op4_secret_ledger": secrets.sql()}
