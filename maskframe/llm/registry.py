@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import bpe, ordinal, rules, secrets, simhash, suffixes, tokens, urls
+from maskframe.llm import bpe, decontaminate, ordinal, rules, secrets, simhash, suffixes, tokens, urls
 from maskframe.llm.common import table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -17,6 +17,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that leak benchmark items, with the tiles."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("tiles")
+
+
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page judged by rule, else by its host's posterior."""
     return urls.verdicts(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
@@ -52,5 +57,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op6_ordinal_quality": op6_ordinal_quality, "op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
+QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_ordinal_quality": op6_ordinal_quality, "op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
 ORACLES = {"op3_url_reputation": urls.sql(), "op4_secret_ledger": secrets.sql()}
