@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import bpe, decontaminate, ordinal, rules, secrets, simhash, suffixes, tokens, urls
+from maskframe.llm import bpe, decontaminate, ordinal, rules, secrets, simhash, suffixes, tokens, urls, warc
 from maskframe.llm.common import table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -47,6 +47,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("margin")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A WARC record of every page, written and read back."""
+    return warc.digests(table(spark, sf_dir, "pages"))
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of every document and the components of those within two bits."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -57,5 +62,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op2_decontaminate": op2_decontaminate, "op6_ordinal_quality": op6_ordinal_quality, "op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
-ORACLES = {"op3_url_reputation": urls.sql(), "op4_secret_ledger": secrets.sql()}
+QUERIES = {"op8_warc": op8_warc, "op2_decontaminate": op2_decontaminate, "op6_ordinal_quality": op6_ordinal_quality, "op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
+ORACLES = {"op3_url_reputation": urls.sql(), "op4_secret_ledger": secrets.sql(), "op8_warc": warc.SQL}
