@@ -73,6 +73,7 @@ def id_ddl(df: DataFrame, col: str) -> str:
 
 
 def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``rejected``; null equals null; columns unchanged."""
-    gone = rejected.select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].eqNullSafe(gone["__gone"]), "left_anti")
+    """The rows of ``docs`` whose id is not in ``rejected``; columns unchanged. Rows without an id cannot
+    be told apart, so they stay."""
+    gone = rejected.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
+    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")

@@ -120,3 +120,15 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (hex), component_id."""
     return cluster(docs).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component; columns unchanged. A repeated id
+    stays once; rows without an id stay."""
+    found = common.materialize(cluster(docs), "clusters")
+    left = common.without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id"))
+    repeats = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+    if repeats.isEmpty():
+        return left
+    again = left.join(repeats, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
+    return common.without(left, repeats.withColumnRenamed("__again", "doc_id")).unionByName(again)
