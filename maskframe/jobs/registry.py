@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from maskframe.jobs import masking
+
+_ALL = {**masking.QUERIES}
+QUERIES = {name: query for name, (query, _) in _ALL.items()}
+ORACLES = {name: sql for name, (_, sql) in _ALL.items() if sql}
