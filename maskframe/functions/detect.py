@@ -6,6 +6,8 @@ sees string leaves that no path rule decided.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -79,26 +81,60 @@ def id_like_key_value(value: Column, is_string: Column) -> Column:
     return F.when(is_string, (F.length(value) >= 4) & ~label).otherwise(F.coalesce(value.try_cast("double") >= 1000, F.lit(False)))
 
 
+def literal_path_type(path: str) -> str | None:
+    """path_type() of a path that is known when the plan is made."""
+    for ending, kind in PAIRED.items():
+        if path.lower().endswith(ending):
+            return kind
+    found = re.search(r"([A-Za-z0-9_]+)(?:\[\d*\])?$", path)
+    last = found[1] if found else ""
+    names = (last.lower(), re.sub("([a-z0-9])([A-Z])", r"\1_\2", last).lower())
+    if any(name in HANDLE_KEYS for name in names):
+        return "handle"
+    for name in names:
+        if name in ID_KEYS or name.endswith(ID_ENDINGS):
+            return "id"
+        for kind, keys in KEYS.items():
+            if name in keys:
+                return kind
+    return "name" if names[0] == "name" else None
+
+
+def value_tests(value: Column) -> list[tuple[Column, str]]:
+    """(condition, type) in order; the first that holds is the type of a whole string."""
+    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
+    card = value.rlike(CARD) & F.call_function("luhn_check", F.when(value.rlike(CARD), value))
+    phone = value.rlike(PHONE) & value.rlike(r"[+\s\-().]") & digits.between(7, 15)
+    shapes = [(EMAIL, "email"), (JWT, "id"), (UUID, "uuid"), (LONG_HEX, "id"), (IPV4, "ipv4"), (URL, "url"), (ISO_DATE, "isoDate")]
+    return [*((value.rlike(pattern), kind) for pattern, kind in shapes), (card, "redact"), (phone, "phone")]
+
+
 def value_type(value: Column) -> Column:
     """The type that a whole string shows, or ``preserve``."""
-    digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
-    return (
-        F.when(value.rlike(EMAIL), "email").when(value.rlike(JWT), "id").when(value.rlike(UUID), "uuid").when(value.rlike(LONG_HEX), "id").when(value.rlike(IPV4), "ipv4")
-        .when(value.rlike(URL), "url").when(value.rlike(ISO_DATE), "isoDate")
-        .when(value.rlike(CARD) & F.call_function("luhn_check", F.when(value.rlike(CARD), value)), "redact")
-        .when(value.rlike(PHONE) & value.rlike(r"[+\s\-().]") & digits.between(7, 15), "phone")
-        .otherwise("preserve")
-    )
+    chain = None
+    for test, kind in value_tests(value):
+        chain = F.when(test, kind) if chain is None else chain.when(test, kind)
+    return chain.otherwise("preserve")
+
+
+def name_tests(value: Column) -> list[tuple[Column, str]]:
+    """Tests of the value under a bare ``name``: a person, or a handle."""
+    trimmed = F.trim(value)
+    return [(trimmed.rlike(PERSON), "fullName"), ((F.length(trimmed) >= 5) & ~trimmed.rlike(r"\s") & trimmed.rlike("[_0-9]"), "id")]
+
+
+def is_placeholder(value: Column) -> Column:
+    return F.lower(F.trim(value)).isin(*PLACEHOLDERS)
 
 
 def detect(by_path: Column, value: Column, kind: Column) -> Column:
     """The type of a leaf. ``by_path`` is path_type() of its path, ``kind`` its JSON kind."""
     text = kind == "string"
-    trimmed = F.trim(value)
-    named = F.when(trimmed.rlike(PERSON), "fullName").when((F.length(trimmed) >= 5) & ~trimmed.rlike(r"\s") & trimmed.rlike("[_0-9]"), "id")
+    (person, full), (handle, other) = name_tests(value)
+    named = F.when(person, full).when(handle, other)
     rest = F.when(text, value_type(value)).otherwise("preserve")
     return (
-        F.when(text & F.lower(trimmed).isin(*PLACEHOLDERS), "preserve")
+        F.when(text & is_placeholder(value), "preserve")
         .when(by_path == "handle", "id")
         .when((by_path == "id") & ~id_like_key_value(value, text), "preserve")
         .when(by_path == "name", F.coalesce(F.when(text, named), rest))

@@ -18,7 +18,6 @@ from maskframe.functions import detect, fakes
 from maskframe.functions.hashing import SEED, digest, number
 
 FORBIDDEN = ("__proto__", "constructor", "prototype")
-_VALUE_TYPES = ("email", "id", "uuid", "ipv4", "url", "isoDate", "redact", "phone")
 #: A registered generator takes (value, seed, salt) and returns a Column of the value's type.
 GENERATORS: dict[str, Callable[[Column, Column | str, Column], Column]] = {}
 
@@ -47,14 +46,16 @@ def _number(kind: str, value: Column, dtype: T.DataType, seed: Column | str, sal
 
 
 def _detected(path: str, value: Column, seed: Column | str, salt: Column) -> Column:
-    """Generic detection of a string; the path's part is settled here, the value's in the tasks."""
-    by_path = detect.path_type(F.lit(path))
-    found = detect.detect(by_path, value, F.lit("string"))
-    kinds = (*_VALUE_TYPES, "fullName", *detect.KEYS, *detect.PAIRED.values())
-    chain = None
-    for kind in dict.fromkeys(kinds):
-        made = fakes.fake(kind, value, seed, salt, path.rpartition(".")[0])
-        chain = F.when(found == kind, made) if chain is None else chain.when(found == kind, made)
+    """Generic detection of a string: the path's part is settled here, the value's in the tasks."""
+    by_path = detect.literal_path_type(path)
+    if by_path not in (None, "name"):
+        made = fakes.fake("id" if by_path == "handle" else by_path, value, seed, salt, path.rpartition(".")[0])
+        looks = detect.id_like_key_value(value, F.lit(True)) if by_path == "id" else F.lit(True)
+        return F.when(~detect.is_placeholder(value) & looks, made).otherwise(value)
+    tests = (detect.name_tests(value) if by_path else []) + detect.value_tests(value)
+    chain = F.when(detect.is_placeholder(value), value)
+    for test, kind in tests:
+        chain = chain.when(test, fakes.fake(kind, value, seed, salt))
     return chain.otherwise(value)
 
 
@@ -97,9 +98,10 @@ class _Walk:
             return ~value if kind == "boolean" else value
         if isinstance(dtype, T.NumericType):
             if rule is None:
-                wanted = detect.path_type(F.lit(path))
-                opted = F.lit(bool(self.toggles.get(path)))
-                return F.when(opted | ((wanted == "id") & (value >= 1000)), _number("id", value, dtype, self.seed, used)).otherwise(value)
+                made = _number("id", value, dtype, self.seed, used)
+                if self.toggles.get(path):
+                    return made
+                return F.when(value >= 1000, made).otherwise(value) if detect.literal_path_type(path) == "id" else value
             return _number(kind, value, dtype, self.seed, used)
         if isinstance(dtype, T.DateType | T.TimestampType | T.TimestampNTZType):
             if kind in ("preserve", "auto"):
