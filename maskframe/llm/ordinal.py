@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from maskframe.llm import common
 
 #: Labelled rows to fit on, at most.
-SAMPLE = 20_000
+SAMPLE = 8_000
 LEAST = 50
 SPACE = 1 << 22
 GRADES = 3
@@ -98,8 +98,9 @@ class Model:
         return 1 / (1 + np.exp(-(f[:, None] - self.thresholds[None, :])))
 
 
-def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = 60, rate: float = 0.03, decay: float = 2e-4, batch: int = 256) -> Model:
-    """Maximum likelihood by Adam; thresholds are a first one and positive steps."""
+def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epochs: int = 30, rate: float = 0.01, prior: float = 3.0, batch: int = 64, steps: int = 4000) -> Model:
+    """Maximum likelihood by Adam, for ``epochs`` and at least ``steps`` steps; thresholds are a first one
+    and positive steps. ``prior`` is the precision of the weights' normal prior."""
     names, seen = np.unique(np.concatenate([f for f, _ in features]), return_counts=True)
     names = names[seen >= MIN_DOCS]
     rows = []
@@ -114,7 +115,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epoch
     weights, theta = np.zeros(size), np.concatenate((start[:1], steps))
     moments = [np.zeros(size), np.zeros(size), np.zeros(len(theta)), np.zeros(len(theta))]
     random, t = np.random.default_rng(6), 0
-    for _ in range(epochs):
+    for _ in range(max(epochs, steps // -(-len(rows) // batch))):
         order = random.permutation(len(rows))
         for at in range(0, len(order), batch):
             some = order[at : at + batch]
@@ -131,7 +132,7 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epoch
             np.add.at(d_cut, grades[some] + 1, b * (1 - b) / p)
             inner = d_cut[1:-1]
             d_theta = np.concatenate(([inner.sum()], np.cumsum(inner[::-1])[::-1][1:] * np.exp(theta[1:]))) / len(some)
-            d_weights = np.bincount(index, ((1 - a - b) / len(some))[owner] * value, size) - decay * weights
+            d_weights = np.bincount(index, ((1 - a - b) / len(some))[owner] * value, size) - prior / len(rows) * weights
             t += 1
             for target, grad, first, second in ((weights, d_weights, *moments[:2]), (theta, d_theta, *moments[2:])):
                 first += 0.1 * (grad - first)
@@ -160,9 +161,9 @@ def sample_features(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], ["of", "grade", "features", "values"])
 
     chosen = ratings.orderBy(F.xxhash64("of"), "of").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).select(F.col("of").cast("long"), "grade", F.col("text").cast("binary"))
+    rows = common.texts(docs, "doc_id", "text").join(F.broadcast(chosen), F.col("id") == F.col("of")).select(F.col("of").cast("long"), "grade", "text")
     local = rows.mapInArrow(run, "of long, grade int, features array<int>, values array<float>").dropDuplicates(["of"]).orderBy("of").toPandas()
-    return [(np.asarray(f, np.int64), np.asarray(v, np.float64)) for f, v in zip(local["features"], local["values"], strict=True)], local["grade"].to_numpy(np.int64)
+    return [(np.asarray(f, np.int32), np.asarray(v, np.float32)) for f, v in zip(local["features"], local["values"], strict=True)], local["grade"].to_numpy(np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
@@ -189,7 +190,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             tails = found.tails(f)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tails.sum(axis=1)), pa.array(tails[:, 0]), pa.array(tails[:, 1])], names)
 
-    rows = docs.select(id_col, F.col(text_col).cast("binary").alias("text"))
+    rows = common.texts(docs, id_col, text_col)
     return rows.mapInArrow(run, f"`{id_col}` {common.id_ddl(docs, id_col)}, expected_grade double, p_at_least_1 double, p_at_least_2 double")
 
 
