@@ -41,11 +41,10 @@ def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "",
     """Character by character within its class; the first digit stays non-zero if it was. One md5 for 16
     characters: beyond ``longest`` characters the digits start over."""
     blocks = F.concat(*(digest(seed, kind, value, salt, part) for part in range(-(-longest // 16))))
-    pairs = F.regexp_extract_all(blocks, F.lit("[0-9a-f]{2}"), 0)
     chars = F.filter(F.split(value, ""), lambda c: c != "")
 
-    def swap(c: Column, i: Column) -> Column:
-        r = F.conv(F.element_at(pairs, F.pmod(i, F.lit(longest)) + 1), 16, 10).cast("int")
+    def swap(x: Column) -> Column:
+        c, r, i = x["c"], x["r"], x["i"]
         d = c.between("0", "9")
         return (
             F.when(d & (i == 0) & (c != "0"), F.char(49 + (F.ascii(c) - 49 + 1 + r % 8) % 9))
@@ -56,7 +55,12 @@ def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "",
             .otherwise(c)
         )
 
-    return F.when(value == "", value).otherwise(F.array_join(F.transform(chars, swap), ""))
+    def whole(hexes: Column) -> Column:
+        pair = lambda i: F.conv(F.substring(hexes, F.pmod(i, F.lit(longest)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        return F.array_join(F.transform(F.transform(chars, lambda c, i: F.struct(c.alias("c"), pair(i).alias("r"), i.alias("i"))), swap), "")
+
+    # A lambda's body is evaluated for each element, so the digest is bound to a variable first.
+    return F.when(value == "", value).otherwise(F.element_at(F.transform(F.array(blocks), whole), 1))
 
 
 def whole_number(value: Column, seed: Column | str = SEED, kind: str = "id") -> Column:
