@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+TEXT_ROWS = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -67,6 +68,15 @@ def drop(spark: SparkSession, *names: str) -> None:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
+def texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text binary) for Arrow functions. Texts are long, so the session's Arrow batches are held to
+    ``TEXT_ROWS`` rows: a batch and its copies must fit beside the executor's heap."""
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > TEXT_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", TEXT_ROWS)
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+
+
 def id_ddl(df: DataFrame, col: str) -> str:
     """The type of a column as DDL."""
     return df.schema[col].dataType.simpleString()

@@ -270,7 +270,7 @@ def repeated(
             )
             block += 1
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = common.texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     cuts, name = common.bucketed(rows.mapInArrow(cut, "block long, ids array<long>, sizes array<long>, text binary"), "block", "suffixes")
 
     def step(passes: int):

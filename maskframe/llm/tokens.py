@@ -144,7 +144,7 @@ def write(
     """Write the shards below ``folder``; returns the manifest (part, shard, n_docs, n_tokens, first)
     where ``first`` is the number of ids in all shards before. ``folder`` must be shared."""
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = common.texts(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     dealt = rows.repartitionByRange(common.partitions(spark), F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
