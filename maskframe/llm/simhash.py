@@ -31,17 +31,24 @@ from maskframe.llm import common
 WORDS, RADIUS, SEED = 3, 2, 42
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
-    """64 bits; bit k is set if it is in over half of the shingles' hashes."""
+def shingle_hashes(text: bytes | None, words: int = WORDS) -> list[int]:
+    """A hash of each shingle, in order; a text of fewer words is one shingle."""
     tokens = (text or b"").lower().split()
     if not tokens:
-        return 0
+        return []
     line = b" ".join(tokens)
     ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(tokens))
     digest = xxhash.xxh64_intdigest
-    hashes = [digest(line[a:b], SEED) for a, b in zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+    return [digest(line[a:b], SEED) for a, b in zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
+
+
+def fingerprint(text: bytes | None, words: int = WORDS) -> int:
+    """64 bits; bit k is set if it is in over half of the shingles' hashes."""
+    hashes = shingle_hashes(text, words)
+    if not hashes:
+        return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     counts = np.zeros(64, np.int64)
     for at in range(0, len(bits), 255):
@@ -109,12 +116,16 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
 def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, print, component): each document's fingerprint and the smallest id it reaches."""
     found = common.materialize(fingerprints(docs, words, id_col, text_col), "prints")
-    prints = found.groupBy("print").agg(F.min("id").alias("least"))
-    roots = components(star_links(prints.select("print")))
-    named = prints.join(roots, prints["print"] == roots["node"], "left").select("print", "least", F.coalesce("root", "print").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component"))
-    named = common.materialize(named.join(names, "root").select(F.col("print").alias("of"), "component"), "components")
-    return found.join(named, found["print"] == named["of"]).select(F.col("id").alias(id_col), "print", "component")
+    return named(found, "print", components(star_links(found.select("print").distinct())), id_col)
+
+
+def named(found: DataFrame, key: str, roots: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, key, component) of ``found`` (id, key), from the ``roots`` of keys that have links."""
+    keys = found.groupBy(key).agg(F.min("id").alias("least"))
+    rooted = keys.join(roots, keys[key] == roots["node"], "left").select(key, "least", F.coalesce("root", key).alias("root"))
+    names = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = common.materialize(rooted.join(names, "root").select(F.col(key).alias("of"), "component"), "components")
+    return found.join(rooted, found[key] == rooted["of"]).select(F.col("id").alias(id_col), key, "component")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -122,10 +133,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return cluster(docs).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component; columns unchanged. A repeated id
-    stays once; rows without an id stay."""
-    found = common.materialize(cluster(docs), "clusters")
+def first_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """The rows of ``docs`` whose id is the smallest of its component (of ``found``, else of cluster());
+    columns unchanged. A repeated id stays once; rows without an id stay."""
+    found = common.materialize(cluster(docs) if found is None else found, "clusters")
     left = common.without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id"))
     repeats = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
     if repeats.isEmpty():
