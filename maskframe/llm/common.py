@@ -7,7 +7,7 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
@@ -82,8 +82,35 @@ def id_ddl(df: DataFrame, col: str) -> str:
     return df.schema[col].dataType.simpleString()
 
 
-def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``rejected``; columns unchanged. Rows without an id cannot
-    be told apart, so they stay."""
-    gone = rejected.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+def mark(text_col: str = "text") -> Column:
+    """128 bits that tell the texts of rows with one id apart; a null text counts as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))))
+
+
+def row_key(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What a decision about a row is keyed by: rows without an id come last, rows of one id are told
+    apart by their texts."""
+    return F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), mark(text_col).alias("mark"))
+
+
+def without(docs: DataFrame, rejected: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose row_key() is not among the ``key`` of ``rejected``; columns unchanged. A
+    row without an id is judged by its text, and a row that shares its id with a rejected one stays."""
+    gone = rejected.select(F.col("key.id").alias("__id"), F.col("key.mark").alias("__mark")).distinct()
+    return docs.join(gone, F.col(id_col).eqNullSafe(F.col("__id")) & (mark(text_col) == F.col("__mark")), "left_anti")
+
+
+def join_split(rows: DataFrame, lookup: DataFrame, key: str, counts: DataFrame, spread: Column) -> DataFrame:
+    """``rows`` left-joined to ``lookup`` (a row a key) on ``key``, with the rows of hot keys dealt out.
+
+    ``counts`` is (key, n). A key is hot if it has over one of the shuffle's partitions of all rows, so there
+    are fewer hot keys than partitions, and only they are broadcast; their lookup rows are repeated for each
+    partition, and ``spread`` deals out their rows."""
+    parts = partitions(rows.sparkSession)
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(materialize(counts.where(F.col("n") * parts > total).select(F.col(key).alias("__hot")), "hot"))
+    some = F.col("__hot").isNotNull()
+    left = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(some, F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int")).drop("__hot")
+    right = lookup.join(hot, F.col(key) == F.col("__hot"), "left")
+    right = right.withColumn("__salt", F.explode(F.when(some, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0))))).drop("__hot")
+    return left.join(right, [key, "__salt"], "left").drop("__salt")

@@ -72,7 +72,7 @@ def statistics(text: str) -> tuple[int, ...]:
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, COUNTS, MORE) of every document."""
+    """(id, COUNTS, MORE) of every document; the id may be of any type."""
     names = ["id", *COUNTS, *MORE]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,10 +174,13 @@ def fit(
 
 
 def train(counts: DataFrame, labels: DataFrame, sample: int = SAMPLE, good_lost: float = GOOD_LOST) -> Trees | None:
-    """Fit on at most ``sample`` labelled rows of ``counts``; None if they say too little."""
+    """Fit on at most ``sample`` labelled rows of ``counts`` (id, COUNTS, MORE); None if they say too little. Of
+    rows with one id the first by their counts is taken, so that the same rows come again."""
     marks = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("of")).agg(F.min("quality").alias("good"))
     chosen = marks.orderBy(F.xxhash64("of"), "of").limit(sample)
-    rows = counts.join(chosen, F.col("id") == F.col("of")).dropDuplicates(["of"]).orderBy("of").drop("id", "of").toPandas()
+    met = counts.join(F.broadcast(chosen), F.col("id") == F.col("of"))  # ``sample`` bounds the chosen
+    first = met.groupBy("of").agg(F.min(F.struct("good", *COUNTS, *MORE)).alias("row"))
+    rows = first.orderBy("of").select("row.*").toPandas()
     y = (rows["good"].to_numpy() > 0).astype(np.float64)
     if len(rows) < LEAST or y.min() == y.max():
         return None
@@ -205,13 +208,19 @@ def score(counts: DataFrame, model: Trees | None) -> DataFrame:
 def verdicts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, COUNTS, base_failed, kept, margin of every document."""
     counts = common.materialize(measure(docs), "statistics")
+    return _judged(counts, train(counts, labels, sample)).withColumnRenamed("id", "doc_id")
+
+
+def _judged(counts: DataFrame, model: Trees | None) -> DataFrame:
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return score(counts, train(counts, labels, sample)).select(
-        F.col("id").alias("doc_id"), *COUNTS, failed.alias("base_failed"), (~failed & F.col("method_kept")).alias("kept"), "margin"
-    )
+    return score(counts, model).select("id", *COUNTS, failed.alias("base_failed"), (~failed & F.col("method_kept")).alias("kept"), "margin")
 
 
 def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` that are kept; columns unchanged."""
-    rejected = verdicts(docs, labels, sample).where(~F.col("kept")).select("doc_id")
+    """The rows of ``docs`` that are kept; columns unchanged. Rows are judged one by one: those without an
+    id and those that share one with other texts by their own text."""
+    keyed = docs.select(common.row_key().alias("key"), "text")
+    counts = common.materialize(measure(keyed, "key"), "statistics")
+    model = train(counts.select("id.id", *COUNTS, *MORE), labels, sample)
+    rejected = _judged(counts, model).where(~F.col("kept")).select(F.col("id").alias("key"))
     return common.without(docs, common.materialize(rejected, "rejected"))

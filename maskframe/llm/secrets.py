@@ -4,7 +4,12 @@ Every version of a document is addressed by the SHA-256 of its content. A ledger
 (blob, rule version) that was ever scanned, with its findings, empty ones too. A run scans only pairs
 the ledger lacks: one row stands for all copies of a blob, and it is found by an aggregation of ids
 alone, so that a text moves once at most however many copies it has. Findings are joined back to all
-paths.
+paths. The rule version is a hash of the rules themselves, so edited rules scan anew. Give ``path`` for a
+ledger that persists between runs; two runs that append the same blob at once leave it there twice, and
+readers take it once.
+
+Patterns run in time linear in the text: those of the kinds whose plain pattern would try every place of a
+long run are anchored to the run's first character (``_ANCHORED``), which finds the same spans.
 
 Defined results: a null text counts as empty; repeated rows and ids get equal results; a null id is
 kept; an empty table gives an empty result; other columns are ignored; spans count code points.
@@ -12,6 +17,8 @@ kept; an empty table gives an empty result; other columns are ignored; spans cou
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 import pyspark.sql.functions as F
@@ -38,36 +45,79 @@ KINDS = {
     "login": (r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 10),
 }
 BASE = ("assign", "access", "hex")
-RULE_VERSION = "1"
+#: What redact() looks for besides: a private key up to its END line, or its long lines where that is missing.
+KEY_BODY = {
+    "key": (
+        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s*+[A-Za-z-]++:[^\r\n]*+)*+(?:\s*+[A-Za-z0-9+/=]++)*+\s*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++[A-Za-z0-9+/=]{40,}+)*+)", 0, 1
+    ),
+}
+#: Kinds in Java's dialect with the place where a match may begin made explicit: group 1 is what stands
+#: before the span in its run of characters. Each run is looked at a fixed number of times.
+_RUN = "[A-Za-z0-9_-]"
+_ANCHORED = {
+    "jwt": rf"(?<!{_RUN})((?:(?!eyJ{_RUN}){_RUN})*+)eyJ{_RUN}++\.eyJ{_RUN}++\.{_RUN}++",
+    "login": r"(?<![a-z0-9+.-])([0-9+.-]*+)[a-z][a-z0-9+.-]*+://[^\x20\x09-\x0D/:@]++:[^\x20\x09-\x0D/@]++@",
+}
 #: Patterns that find a text of some kind at once, where that is cheaper than the kind's own.
 _HINTS = {"hex": "[0-9a-f]{24}", "access": "AKIA[A-Z0-9]{16}", "login": "://[^\\x20\\x09-\\x0D/:@]+:"}
+#: Matches whose places are summed in one go.
+_PART = 256
 _SPANS = "array<struct<start:int,kind:int,stop:int>>"
 
 
-def _found(text: Column, kind: str) -> Column:
+def _bound(value: Column, make: Callable[[Column], Column]) -> Column:
+    """make(value) with ``value`` evaluated once: a lambda's body is evaluated for each element."""
+    return F.element_at(F.transform(F.array(value), make), 1)
+
+
+def _parts(rows: Column) -> Column:
+    """An array in parts of ``_PART``: what grows within an expression is copied at every step, so it is kept short."""
+    starts = F.sequence(F.lit(0), F.greatest((F.size(rows) - 1).cast("int"), F.lit(0)), F.lit(_PART))
+    return F.transform(starts, lambda at: F.slice(rows, at + 1, _PART))
+
+
+def version_of(kinds: dict = KINDS) -> str:
+    """A name for the rules that changes whenever they do."""
+    return hashlib.sha256(repr(sorted(kinds.items())).encode()).hexdigest()[:16]
+
+
+def _found(text: Column, kind: str, kinds: dict) -> Column:
     """Spans of one kind, in order: matches and the gaps between them give the positions."""
-    pattern, group, least = KINDS[kind]
+    plain, group, least = kinds[kind]
+    pattern = _ANCHORED.get(kind, plain)
+    ahead = F.regexp_extract_all(text, F.lit(pattern), 1) if kind in _ANCHORED else None
     whole = F.regexp_extract_all(text, F.lit(pattern), 0)
     sized = whole if not group else F.regexp_extract_all(text, F.lit(pattern), group)
     gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole))
-    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), sized.alias("sized"))
-    number = list(KINDS).index(kind)
+    before = ahead if ahead is not None else F.transform(whole, lambda _: F.lit(""))
+    rows = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), sized.alias("sized"), before.alias("before"))
+    number = list(kinds).index(kind)
     none = F.expr(f"CAST(array() AS {_SPANS})")
 
     def step(state: Column, row: Column) -> Column:
-        start = state["at"] + F.length(row["gap"])
-        stop = start + F.length(row["whole"])
+        begins = state["at"] + F.length(row["gap"])
+        start, stop = begins + F.length(row["before"]), begins + F.length(row["whole"])
         span = F.struct(start.alias("start"), F.lit(number).alias("kind"), stop.alias("stop"))
-        found = F.when(F.length(row["sized"]) >= least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
+        size = F.length(row["sized"]) - (0 if group else F.length(row["before"]))
+        found = F.when(size >= least, F.concat(state["found"], F.array(span))).otherwise(state["found"])
         return F.struct(stop.alias("at"), found.alias("found"))
 
-    spans = F.aggregate(rows, F.struct(F.lit(0).alias("at"), none.alias("found")), step, lambda state: state["found"])
+    def placed(rows: Column) -> Column:
+        return _bound(F.transform(_parts(rows), lambda part: F.aggregate(part, F.struct(F.lit(0).alias("at"), none.alias("found")), step)), shifted)
+
+    def shifted(parts: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("all"))
+        begins = F.aggregate(parts, zero, lambda s, part: F.struct((s["at"] + part["at"]).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        moved = lambda s, by: F.struct((s["start"] + by).alias("start"), s["kind"].alias("kind"), (s["stop"] + by).alias("stop"))
+        return F.flatten(F.zip_with(parts, begins, lambda part, by: F.transform(part["found"], lambda s: moved(s, by))))
+
+    spans = _bound(rows, placed)
     return F.when(text.rlike(_HINTS.get(kind, pattern)), spans).otherwise(none)
 
 
-def spans_of(text: Column) -> Column:
+def spans_of(text: Column, kinds: dict = KINDS) -> Column:
     """All spans of a text, by start, then kind as listed."""
-    return F.array_sort(F.concat(*(_found(text, kind) for kind in KINDS)))
+    return F.array_sort(F.concat(*(_found(text, kind, kinds) for kind in kinds)))
 
 
 def shown(spans: Column) -> Column:
@@ -85,16 +135,18 @@ def ledger(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def scan(docs: DataFrame, path: str, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> int:
-    """Scan the blobs of ``docs`` that the ledger at ``path`` lacks under ``rule_version`` and append
-    them; returns how many were scanned. A run that fails leaves the ledger as it was."""
+def scan(docs: DataFrame, path: str, rule_version: str | None = None, id_col: str = "doc_id", text_col: str = "text", kinds: dict = KINDS) -> int:
+    """Scan the blobs of ``docs`` that the ledger at ``path`` lacks under ``rule_version`` (that of ``kinds``
+    unless given) and append them; returns how many were scanned. A run that fails leaves the ledger as it
+    was."""
     spark = docs.sparkSession
+    rule_version = rule_version or version_of(kinds)
     texts = versions(docs, id_col, text_col, True)
     seen = ledger(spark, path).where(F.col("rule_version") == rule_version).select("blob")
     fresh = versions(docs, id_col, text_col).groupBy("blob").agg(F.min("id").alias("one")).join(seen, "blob", "left_anti")
     fresh = fresh.select(F.col("blob").alias("of"), "one")
     once = texts.join(fresh, (F.col("blob") == F.col("of")) & F.col("id").eqNullSafe(F.col("one")), "left_semi")
-    found = once.select("blob", spans_of(F.col("text")).alias("spans"))
+    found = once.select("blob", spans_of(F.col("text"), kinds).alias("spans"))
     rows = found.groupBy("blob").agg(F.max("spans").alias("spans")).select("blob", F.lit(rule_version).alias("rule_version"), "spans")
     rows = common.materialize(rows, "findings")
     rows.write.mode("append").parquet(path)
@@ -107,9 +159,15 @@ def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
     return docs.select(F.col(id_col).alias("id"), F.unhex(F.sha2(text, 256)).alias("blob"), *([text.alias("text")] if texts else []))
 
 
-def findings(docs: DataFrame, path: str, rule_version: str = RULE_VERSION, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _known(spark: SparkSession, path: str, rule_version: str) -> DataFrame:
+    """(blob, spans) of the blobs with findings, each once."""
+    rows = ledger(spark, path).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+    return rows.groupBy("blob").agg(F.max("spans").alias("spans"))
+
+
+def findings(docs: DataFrame, path: str, rule_version: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, spans) of every version, from the ledger. Blobs without findings stay out of the join."""
-    known = ledger(docs.sparkSession, path).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0)).select("blob", "spans")
+    known = _known(docs.sparkSession, path, rule_version or version_of())
     joined = versions(docs, id_col, text_col).join(known, "blob", "left")
     return joined.select("id", F.coalesce("spans", F.expr(f"CAST(array() AS {_SPANS})")).alias("spans"))
 
@@ -125,23 +183,40 @@ def report(docs: DataFrame, path: str | None = None) -> DataFrame:
     return findings(docs, path).select(F.col("id").alias("doc_id"), *counts, base.alias("base_sha256"), shown(spans).alias("spans"))
 
 
-def redact(docs: DataFrame, rule_version: str = RULE_VERSION, mark: str = "[SECRET]", path: str | None = None) -> DataFrame:
+def _cleaned(text: Column, parts: Column, mark: str) -> Column:
+    """``text`` with the spans of all parts replaced; each part works on its own piece of the text."""
+    far = lambda part: F.array_max(F.transform(part, lambda s: s["stop"]))
+    zero = F.struct(F.lit(0).alias("at"), F.expr("CAST(array() AS array<int>)").alias("all"))
+    begins = F.aggregate(parts, zero, lambda s, part: F.struct(F.greatest(s["at"], far(part)).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")))
+
+    def piece(part: Column, begin: Column) -> Column:
+        def replaced(own: Column) -> Column:
+            def step(state: Column, span: Column) -> Column:
+                gap = F.substring(own, state["at"] - begin + 1, span["start"] - state["at"])
+                out = F.when(span["start"] >= state["at"], F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
+                return F.struct(F.greatest(state["at"], span["stop"]).alias("at"), out.alias("out"))
+
+            return F.aggregate(part, F.struct(begin.alias("at"), F.lit("").alias("out")), step, lambda s: s["out"])
+
+        return _bound(F.substring(text, begin + 1, F.greatest(far(part) - begin, F.lit(0))), replaced)
+
+    def joined(state: Column) -> Column:
+        return F.concat(F.array_join(F.zip_with(parts, state["all"], piece), ""), F.substring(text, state["at"] + 1, F.length(text)))
+
+    return _bound(begins, joined)
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", path: str | None = None) -> DataFrame:
     """``docs`` with every span of its text replaced by ``mark``; same columns. Overlapping spans are
-    replaced as one. Only texts with findings are touched."""
+    replaced as one, a private key with its whole body. Only texts with findings are touched."""
     path = path or common.scratch_path(docs.sparkSession, "ledger")
-    scan(docs, path, rule_version)
-    known = ledger(docs.sparkSession, path).where((F.col("rule_version") == rule_version) & (F.size("spans") > 0))
+    kinds = KINDS | KEY_BODY
+    scan(docs, path, kinds=kinds)
+    known = _known(docs.sparkSession, path, version_of(kinds))
     known = known.select(F.col("blob").alias("__blob"), F.col("spans").alias("__spans"))
     text = F.col("text")
 
-    def step(state: Column, span: Column) -> Column:
-        gap = F.substring(text, state["at"] + 1, span["start"] - state["at"])
-        begins = span["start"] >= state["at"]
-        out = F.when(begins, F.concat(state["out"], gap, F.lit(mark))).otherwise(state["out"])
-        return F.struct(F.greatest(state["at"], span["stop"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    clean = F.aggregate("__spans", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+    clean = _bound(_parts(F.col("__spans")), lambda parts: _cleaned(text, parts, mark))
     blob = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
     joined = docs.withColumn("__address", blob).join(known, F.col("__address") == F.col("__blob"), "left")
     return joined.withColumn("text", F.when(F.col("__spans").isNull(), text).otherwise(clean)).select(*docs.columns)
