@@ -11,6 +11,10 @@ fingerprints instead.
 Components come from alternating star contraction on checkpointed edge tables; the driver sees two
 numbers a round.
 
+Two bits of 64 are the reach of op9's contract. A ball of radius two would reach four bits at 2,081 values a
+fingerprint, more bytes than the texts, and a pair of similarity 0.8 differs in about ten; so the stage for
+similar texts (module minhash) starts from these links and completes them.
+
 Defined results: a null or empty text (no words) has fingerprint zero; repeated rows get equal results;
 a null id is kept and never a component's name unless all ids of it are null; an empty table gives an
 empty result; other columns are ignored.
@@ -18,7 +22,7 @@ empty result; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,9 +48,8 @@ def shingle_hashes(text: bytes | None, words: int = WORDS) -> list[int]:
     return [digest(line[a:b], SEED) for a, b in zip(starts[: len(tokens) - width + 1].tolist(), ends[width - 1 :].tolist(), strict=True)]
 
 
-def fingerprint(text: bytes | None, words: int = WORDS) -> int:
+def fingerprint(hashes: list[int]) -> int:
     """64 bits; bit k is set if it is in over half of the shingles' hashes."""
-    hashes = shingle_hashes(text, words)
     if not hashes:
         return 0
     bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -61,7 +64,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(text.as_py(), words) for text in batch.column(1)), np.uint64, batch.num_rows)
+            found = np.fromiter((fingerprint(shingle_hashes(text.as_py(), words)) for text in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["id", "print"])
 
     rows = common.texts(docs, id_col, text_col)
@@ -91,7 +94,7 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Large-star and small-star steps in turn; minima are aggregated before the shuffle, and a hub's
@@ -99,7 +102,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """
     edges = common.materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     last = None
-    for _ in range(rounds):
+    while True:  # every round brings nodes nearer to their smallest one until nothing moves
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
@@ -110,7 +113,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         if state == last:
             return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
         last = state
-    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,13 +135,20 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return cluster(docs).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-def first_of_each(docs: DataFrame, found: DataFrame | None = None) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its component (of ``found``, else of cluster());
-    columns unchanged. A repeated id stays once; rows without an id stay."""
-    found = common.materialize(cluster(docs) if found is None else found, "clusters")
-    left = common.without(docs, found.where(~F.col("doc_id").eqNullSafe(F.col("component"))).select("doc_id"))
-    repeats = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__again"))
+def first_of_each(docs: DataFrame, find: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """One row of ``docs`` of each component (of ``find``, else of cluster()): the one with the smallest id,
+    and of rows with that id the one with the least row_key(). Columns are unchanged; rows without an id come
+    last; of rows equal in id and text one stays."""
+    keyed = docs.select(common.row_key().alias("key"), "text")
+    found = common.materialize((find or _near)(keyed, "key").select("key", "component"), "clusters")
+    left = common.without(docs, found.where(~F.col("key").eqNullSafe(F.col("component"))))
+    repeats = found.groupBy("key").count().where("count > 1").select("key")
     if repeats.isEmpty():
         return left
-    again = left.join(repeats, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return common.without(left, repeats.withColumnRenamed("__again", "doc_id")).unionByName(again)
+    marked = left.withColumn("__key", common.row_key())
+    again = marked.join(repeats, F.col("__key").eqNullSafe(F.col("key")), "left_semi").dropDuplicates(["__key"]).drop("__key")
+    return common.without(left, repeats).unionByName(again)
+
+
+def _near(docs: DataFrame, id_col: str) -> DataFrame:
+    return cluster(docs, id_col=id_col)
