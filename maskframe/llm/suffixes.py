@@ -75,7 +75,7 @@ class Block:
     """The windows of some documents, as runs with their digits."""
 
     def __init__(self, ids: list, sizes: list[int], text: bytes, threshold: int, digit: int, buckets: int):
-        self.ids, self.text, self.threshold, self.buckets = ids, np.frombuffer(text, np.uint8), threshold, buckets
+        self.ids, self.text, self.threshold, self.digit_bytes, self.buckets = ids, np.frombuffer(text, np.uint8), threshold, digit, buckets
         self.ends = np.cumsum(np.asarray(sizes, np.int64))
         self.starts = self.ends - np.asarray(sizes, np.int64)
         rank = np.array([_LAST if i is None else i for i in ids], np.int64)
@@ -122,7 +122,10 @@ class Block:
         return found[threshold], least
 
     def bucket(self, digit: np.ndarray) -> np.ndarray:
-        return (digit * np.uint64(self.buckets)) >> np.uint64(_DIGIT_BITS)
+        """Ascending with the digit. A digit is the least of many hashes, so small ones are frequent; their share is
+        what is dealt out evenly."""
+        share = -np.expm1((self.threshold - self.digit_bytes + 1) * np.log1p(-digit.astype(np.float64) / (1 << _DIGIT_BITS)))
+        return np.minimum((share * self.buckets).astype(np.uint64), np.uint64(self.buckets - 1))
 
     def digits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """First pass: order of the runs, heads, distinct digits, and whether two documents here share one."""

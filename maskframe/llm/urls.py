@@ -7,8 +7,10 @@ rates vary (moments). A host is blocked when the lower bound of its posterior ba
 limit, so that few labels never block.
 
 Counts are pre-aggregated before any shuffle; the driver sees four numbers a level. The reputation
-table has a row a host, and the join with the pages is left to adaptive execution (broadcast when its
-measured size allows, skewed hosts split otherwise).
+table has a row a host; in the join with the pages the rows of frequent hosts are dealt out.
+
+The built-in list of suffixes is short (``TWO_LABELS``): under any other suffix of two labels, and for
+addresses, hosts count as one domain. Give ``suffixes``, a table of the public ones, for real hosts.
 
 Defined results: a null url or one without ``://`` has empty host and path and is judged as the empty
 host; labels with neither outcome set are ignored, several labels of one page count as one, bad if any
@@ -82,11 +84,26 @@ def strength(groups: int, total: int, squares: int, chi: float) -> float:
     return (1 - rho) / rho
 
 
-def reputation(hosts: DataFrame, counts: DataFrame, z: float = Z) -> DataFrame:
+def with_levels(hosts: DataFrame, suffixes: DataFrame | None = None) -> DataFrame:
+    """``hosts`` with suffix and domain: the longest of ``suffixes`` (suffix) that ends the host and one label more;
+    an address, and a host that no suffix ends, stands for itself. Without a table levels() decides."""
+    host = F.col("host")
+    if suffixes is None:
+        suffix, domain = levels(host)
+        return hosts.withColumn("suffix", suffix).withColumn("domain", domain)
+    labels = F.split(F.regexp_replace(host, "^.*@|:[0-9]*$", ""), "\\.")
+    tails = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.struct(F.array_join(F.slice(labels, k, F.size(labels)), ".").alias("tail"), k.alias("k")))
+    met = hosts.select("host", F.explode(tails).alias("t")).join(suffixes.select(F.col("suffix").alias("of")).distinct(), F.col("t.tail") == F.col("of"))
+    best = met.groupBy(host.alias("named")).agg(F.min(F.struct("t.k", "of")).alias("best"))
+    joined = hosts.join(best, host == F.col("named"), "left").withColumn("suffix", F.coalesce("best.of", "host"))
+    whole = F.array_join(F.slice(labels, F.greatest(F.col("best.k") - 1, F.lit(1)), F.size(labels)), ".")
+    return joined.withColumn("domain", F.when(F.col("best").isNull(), host).otherwise(whole)).drop("named", "best")
+
+
+def reputation(hosts: DataFrame, counts: DataFrame, z: float = Z, suffixes: DataFrame | None = None) -> DataFrame:
     """(host, n, bad, mean, low, high): posterior of the bad rate of every host in ``hosts`` (host),
     from ``counts`` (host, n, bad)."""
-    suffix, domain = levels(F.col("host"))
-    seen = common.materialize(counts.select("host", suffix.alias("suffix"), domain.alias("domain"), "n", "bad"), "hosts")
+    seen = common.materialize(with_levels(counts, suffixes).select("host", "suffix", "domain", "n", "bad"), "hosts")
     total, bad = seen.agg(F.sum("n"), F.sum("bad")).first()
     whole = ((bad or 0) + 0.5) / ((total or 0) + 1)
 
@@ -100,7 +117,7 @@ def reputation(hosts: DataFrame, counts: DataFrame, z: float = Z) -> DataFrame:
     suffixes, _ = shrunk(summed("suffix").withColumn("parent", F.lit(whole)), "suffix")
     domains, _ = shrunk(summed("suffix", "domain").join(suffixes, "suffix").withColumnRenamed("suffix_mean", "parent"), "domain")
     k = _strength(seen.join(domains, "domain").withColumnRenamed("domain_mean", "parent"))
-    named = hosts.select("host", suffix.alias("suffix"), domain.alias("domain")).join(seen.select("host", "n", "bad"), "host", "left")
+    named = with_levels(hosts, suffixes).select("host", "suffix", "domain").join(seen.select("host", "n", "bad"), "host", "left")
     known = named.join(domains, "domain", "left").join(suffixes, "suffix", "left")
     parent = F.coalesce("domain_mean", "suffix_mean", F.lit(whole))
     n, b = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
@@ -115,13 +132,14 @@ def outcomes(labels: DataFrame) -> DataFrame:
     return labels.select(F.col("doc_id").alias("page_id"), bad.alias("bad")).groupBy("page_id").agg(F.max("bad").alias("bad")).where("bad IS NOT NULL")
 
 
-def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES, limit: float = LIMIT, z: float = Z) -> DataFrame:
+def judge(pages: DataFrame, labelled: DataFrame, rules: tuple = RULES, limit: float = LIMIT, z: float = Z, suffixes: DataFrame | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, bad_mean, bad_low) of each page."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     marked = labelled.select(F.col("page_id").alias("of"), F.col("bad").alias("is_bad"))
     counts = rows.join(marked, F.col("page_id") == F.col("of")).groupBy("host").agg(F.count("*").alias("n"), F.sum("is_bad").alias("bad"))
-    known = reputation(rows.select("host").distinct(), counts, z).select("host", "mean", "low")
-    found = rows.join(known, "host", "left")
+    hosts = common.materialize(rows.groupBy("host").agg(F.count("*").alias("n")), "pages-of-hosts")
+    known = common.materialize(reputation(hosts.select("host"), counts, z, suffixes).select("host", "mean", "low"), "reputation")
+    found = common.join_split(rows, known, "host", hosts, F.concat_ws("|", F.col("page_id").cast("string"), "path"))
     ruled = rule_of(F.col("host"), F.col("path"), rules, 0)
     return found.select(
         "page_id", "host", "path", rule_of(F.col("host"), F.col("path"), rules).alias("rule"),

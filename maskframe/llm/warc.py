@@ -11,9 +11,11 @@ Columns: record_id, record_type, target_uri, date, digest (bare hex SHA-256 of t
 refers_to, payload_bytes (of the full payload), payload (null for revisits and when not asked for).
 
 Defined results: a null payload is written as empty, null header values are left out and read as null;
-CR, LF and percent signs in header values are percent-encoded; repeated rows are records of their own; an
-empty table gives a folder with empty archives; members without the extra field (other writers') are
-unpacked whole.
+URIs are written as they are, but a record with CR or LF in a value has CR, LF and percent signs of its values
+percent-encoded and says so in a field of its own; repeated rows are records of their own; an empty table
+gives a folder with empty archives. Other writers' archives: field names are read in any case, digests
+other than SHA-256 keep their prefix, of HTTP messages the payload is what follows the head, and members
+without the extra field are unpacked whole.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ _FIELDS = {
     "record_id": "WARC-Record-ID", "record_type": "WARC-Type", "target_uri": "WARC-Target-URI", "date": "WARC-Date",
     "digest": "WARC-Payload-Digest", "refers_to": "WARC-Refers-To", "payload_bytes": "X-Payload-Length",
 }
+_ESCAPED = "X-Escaped-Values"
 _PUSHED = ("record_id", "record_type", "target_uri", "digest", "refers_to")
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _HEAD = 1 << 12
@@ -49,10 +52,11 @@ def record(row: dict) -> bytes:
     """One record as a gzip member."""
     payload = row["payload"] or b""
     fields = {**row, "record_id": f"<{row['record_id']}>", "refers_to": row["refers_to"] and f"<{row['refers_to']}>", "digest": row["digest"] and f"sha256:{row['digest']}"}
-    lines = ["WARC/1.1"]
-    for column, name in _FIELDS.items():
-        if fields[column] is not None:
-            lines.append(f"{name}: {str(fields[column]).replace('%', '%25').replace(chr(13), '%0D').replace(chr(10), '%0A')}")
+    lines, values = ["WARC/1.1"], {name: str(fields[column]) for column, name in _FIELDS.items() if fields[column] is not None}
+    if any("\r" in value or "\n" in value for value in values.values()):
+        values = {name: value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A") for name, value in values.items()}
+        values[_ESCAPED] = "true"
+    lines += [f"{name}: {value}" for name, value in values.items()]
     if row["record_type"] == "revisit":
         lines.append(f"WARC-Profile: {_REVISIT}")
     lines += [f"Content-Length: {len(payload)}", "", ""]
@@ -69,15 +73,18 @@ def header(raw: bytes) -> tuple[dict, int] | None:
     end = raw.find(b"\r\n\r\n")
     if end < 0:
         return None
-    found = dict(line.partition(": ")[::2] for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:])
-    row = {}
-    for column, name in _FIELDS.items():
-        value = found.get(name)
-        row[column] = value and value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+    found: dict[str, str] = {}
+    for line in raw[:end].decode("utf-8", "replace").split("\r\n")[1:]:
+        name, _, value = line.partition(":")
+        found[name.strip().lower()] = value.strip()
+    row = {column: found.get(name.lower()) for column, name in _FIELDS.items()}
+    if _ESCAPED.lower() in found:
+        row = {column: value and value.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%") for column, value in row.items()}
     for column in ("record_id", "refers_to"):
-        row[column] = row[column] and row[column][1:-1]
+        row[column] = row[column] and row[column].removeprefix("<").removesuffix(">")
     row["digest"] = row["digest"] and row["digest"].removeprefix("sha256:")
-    row["length"] = int(found["Content-Length"])
+    row["length"] = int(found["content-length"])
+    row["http"] = found.get("content-type", "").lower().startswith("application/http")
     row["payload_bytes"] = int(row["payload_bytes"]) if row["payload_bytes"] else row["length"]
     return row, end + 4
 
@@ -98,6 +105,11 @@ def records(data: memoryview, wanted, payloads: bool) -> Iterator[dict]:
             raw += more
         row, begin = parsed
         keep = wanted(row)
+        if keep and row["http"]:
+            while (head := raw.find(b"\r\n\r\n", begin)) < 0 and (more := unpack.decompress(unpack.unconsumed_tail, _HEAD)):
+                raw += more
+            skip = head + 4 - begin if 0 <= head <= begin + row["length"] - 4 else 0
+            begin, row = begin + skip, {**row, "length": row["length"] - skip, "payload_bytes": row["length"] - skip}
         if keep and payloads or size is None:
             raw += unpack.decompress(unpack.unconsumed_tail)
         at = at + size if size else len(data) - len(unpack.unused_data)
@@ -242,14 +254,18 @@ def register(spark: SparkSession) -> None:
 
 def archive(pages: DataFrame, folder: str, least: int = 100) -> None:
     """Write a record a page below ``folder``; of equal payloads of ``least`` bytes or more the smallest
-    page_id (nulls last) is the response and the others revisit it. Only digests are compared: payloads
-    are not shuffled unless the table of repeated digests is too large to broadcast."""
+    page_id (nulls last) is the response and the others revisit it. Only digests are compared. The repeated ones
+    are written first, so that their size is known: payloads are shuffled only if they are too many to
+    broadcast, and then short pages and the copies of a frequent one are dealt out."""
     spark = pages.sparkSession
     register(spark)
     payload = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select("page_id", "url", payload.alias("payload"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("payload_bytes"))
-    firsts = rows.where(F.col("payload_bytes") >= least).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
-    found = rows.join(firsts.select(F.col("digest").alias("of"), "first"), (F.col("digest") == F.col("of")) & (F.col("payload_bytes") >= least), "left")
+    place = F.concat_ws("|", F.col("page_id").cast("string"), "url")
+    rows = rows.withColumn("of", F.when(F.col("payload_bytes") >= least, F.col("digest")).otherwise(F.concat(F.lit("short "), F.md5(place))))
+    firsts = rows.where(F.col("payload_bytes") >= least).groupBy("of").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    firsts = common.materialize(firsts, "firsts")
+    found = common.join_split(rows, firsts.select("of", "first"), "of", firsts.select("of", "n"), place)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     name = lambda c: F.concat(F.lit("urn:page:"), c.cast("string"))
     found.select(
