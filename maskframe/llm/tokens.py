@@ -6,8 +6,9 @@ written beside their final name and moved, under a name that depends on the part
 number only, so a task that runs again replaces its own files. Global offsets are sums over shards: a
 window over one row a partition, then one over the shards of each partition.
 
-Encoding is by the tokenizers library. Texts are cut where no token can reach across (blanks, and
-between letters and plain punctuation); each distinct piece of a task is encoded once.
+Encoding is by the tokenizers library. For tokenizers that lower-case and split as ``_SPLITS`` says, texts are cut
+where no token can reach across (blanks, and between letters and plain punctuation) and each distinct piece of a
+task is encoded once; pieces are told apart by their bytes. Any other tokenizer encodes texts whole.
 
 Defined results: a null or empty text has the end id alone; null ids come first; repeated rows and ids
 are kept, ties in order of their text; an empty table gives no files and an empty result; other
@@ -18,6 +19,7 @@ are ordinary text.
 from __future__ import annotations
 
 import itertools
+import json
 import os
 import re
 import uuid
@@ -50,15 +52,19 @@ def _classes() -> np.ndarray:
 _CLASS = _classes()
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_SALT = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-
-
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 1 << 64), np.uint64)
-    up[:1] = down[:1] = 1
-    return np.cumprod(up), np.cumprod(down)
+#: The normaliser and pre-tokenizer that the cuts are right for.
+_SPLITS = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Pieces of up to so many bytes are their own key.
+_SHORT = 7
 
 
 @lru_cache(maxsize=1)
@@ -76,31 +82,40 @@ def _tokenizer(path: str):
 
     tokenizer = tokenizers.Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
-    return tokenizer
+    with open(path, encoding="utf-8") as file:
+        settings = json.load(file)
+    return tokenizer, all(settings.get(name) == wanted for name, wanted in _SPLITS.items())
 
 
 class Encoder:
     """Encodes runs of documents; remembers the ids of pieces, CACHE_PIECES at most."""
 
     def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {}
+        (self.tokenizer, self.cuts), self.known = _tokenizer(path), {}
         self.plain = re.compile(_PLAIN).fullmatch
 
-    def _learn(self, keys: list[int], pieces: list[bytes]) -> None:
-        if len(self.known) + len(keys) > CACHE_PIECES:
+    def _ids(self, keys: list, pieces: list[bytes]) -> list[list[int]]:
+        """The ids of pieces, by their keys; unknown ones are learnt."""
+        unseen = [i for i, key in enumerate(keys) if key not in self.known]
+        if len(self.known) + len(unseen) > CACHE_PIECES:
             self.known.clear()
+            unseen = range(len(keys))
         rest, model, letters = [], self.tokenizer.model.tokenize, _byte_letters()
-        for key, piece in zip(keys, pieces, strict=True):
-            if self.plain(piece):
-                self.known[key] = [token.id for token in model(piece.decode("latin-1").translate(letters))]
+        for i in unseen:
+            if self.plain(pieces[i]):
+                self.known[keys[i]] = [token.id for token in model(pieces[i].decode("latin-1").translate(letters))]
             else:
-                rest.append((key, piece.decode("utf-8", "replace")))
-        encoded = self.tokenizer.encode_batch_fast([text for _, text in rest], add_special_tokens=False)
-        for (key, _), found in zip(rest, encoded, strict=True):
-            self.known[key] = found.ids
+                rest.append(i)
+        encoded = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)
+        for i, found in zip(rest, encoded, strict=True):
+            self.known[keys[i]] = found.ids
+        return [self.known[key] for key in keys]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
+        if not self.cuts:
+            encoded = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
+            return [np.array(found.ids, np.uint32) for found in encoded]
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         kind = _CLASS[raw]
@@ -118,18 +133,7 @@ class Encoder:
         high = accent + 1
         lower[high[raw[high] <= 0x9E]] += 0x20
         lower = np.where(np.repeat(np.concatenate(([False], mixed)), np.diff(np.concatenate(([0], begin, [len(raw)])))), raw, lower)
-        up, down = _powers(1 << max(16, int(len(raw)).bit_length()))
-        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_SALT[lower] * up[: len(raw)])))
-        key = (sums[stop] - sums[begin]) * down[begin] * np.uint64(31) + (stop - begin).astype(np.uint64) * np.uint64(2) + mixed
-        keys, first, place = np.unique(key, return_index=True, return_inverse=True)
-        listed = keys.tolist()
-        unseen = [i for i, k in enumerate(listed) if k not in self.known]
-        if len(self.known) + len(unseen) > CACHE_PIECES:
-            self.known.clear()
-            unseen = range(len(listed))
-        data = lower.tobytes()
-        self._learn([listed[i] for i in unseen], [data[a:b] for a, b in ((begin[first[i]], stop[first[i]]) for i in unseen)])
-        found = [self.known[k] for k in listed]
+        found, place = self._pieces(lower, begin, stop, mixed)
         size = np.fromiter(map(len, found), np.int64, len(found))
         values = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
         sizes_at = size[place]
@@ -137,6 +141,39 @@ class Encoder:
         ids = values[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[place] - ends[:-1], sizes_at)]
         return np.split(ids, ends[np.searchsorted(begin, np.cumsum(sizes)[:-1])])
 
+    def _pieces(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, mixed: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
+        """The ids of the distinct pieces, and which of them each piece is. A short piece's bytes, size and kind are a
+        key of 64 bits. Long ones are grouped by some of their bytes and compared with the first of their group
+        in full; what differs is looked up by itself."""
+        padded = np.concatenate((data, np.zeros(8, np.uint8)))
+        words = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes at each place
+        size = (stop - begin).astype(np.uint64)
+        short, place = size <= _SHORT, np.empty(len(begin), np.int64)
+        first = words[begin]
+        key = first[short] & ~(~np.uint64(0) << (size[short] * np.uint64(8))) | (size[short] * np.uint64(2) + mixed[short]) << np.uint64(56)
+        keys, at, place[short] = np.unique(key, return_index=True, return_inverse=True)
+        text = data.tobytes()
+        pieces = lambda which: [text[a:b] for a, b in zip(begin[which].tolist(), stop[which].tolist(), strict=True)]
+        found = self._ids(keys.tolist(), pieces(np.flatnonzero(short)[at]))
+        long = np.flatnonzero(~short)
+        if len(long):
+            some = first[long] * np.uint64(0x9E3779B97F4A7C15) ^ words[stop[long] - 8] * np.uint64(0xC2B2AE3D27D4EB4F)
+            some += words[(begin[long] + stop[long]) // 2 - 4] * np.uint64(0x165667B19E3779F9) + size[long] * np.uint64(2) + mixed[long]
+            _, at, group = np.unique(some, return_index=True, return_inverse=True)
+            one = long[at][group]
+            width = (stop - begin)[long]
+            equal = (width == (stop - begin)[one]) & (mixed[long] == mixed[one])
+            width = np.where(equal, width, 1)
+            step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+            differs = data[np.repeat(begin[long], width) + step] != data[np.repeat(begin[one], width) + step]
+            equal &= np.add.reduceat(differs, np.cumsum(width) - width, dtype=np.int64) == 0
+            place[long] = len(found) + group
+            place[long[~equal]] = len(found) + len(at) + np.arange((~equal).sum())
+            which = np.concatenate((long[at], long[~equal]))
+            listed = pieces(which)
+            found = found + self._ids(list(zip(listed, mixed[which].tolist(), strict=True)), listed)
+        return found, place
+
 
 def write(
     docs: DataFrame, tokenizer: str, end_id: int, folder: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS

@@ -2,8 +2,9 @@
 
 Plane k holds bit k (the highest first) of every id, in the order that the planes above leave: at each
 plane the ids with a zero bit come first, stably. File: magic, header (little-endian 64-bit: tokens,
-planes, documents, bytes of the document part), lengths of the planes, the document part, the planes;
-the document part and each plane are compressed by themselves, so a plane is read when it is needed.
+planes, documents, bytes of the document part), the lengths of each plane and of its directory of counts,
+the document part, the planes and directories. Each part is compressed by itself and unpacked when it is
+first needed.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import numpy as np
 import zstandard
 
-MAGIC = b"WVM1"
+MAGIC = b"WVM2"
 _ROW = 64  # bytes of a plane between two counts of its directory
 
 
@@ -19,15 +20,18 @@ def dump(ids: np.ndarray, docs: bytes = b"", n_docs: int = 0) -> bytes:
     """The file for ``ids`` (unsigned); ``docs`` describes the documents they belong to."""
     n, planes = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    order, out = ids, []
+    order, out, directories = ids, [], []
     for k in range(planes - 1, -1, -1):
         bit = ((order >> k) & 1).view(np.uint8) if order.itemsize == 1 else ((order >> k) & 1).astype(np.uint8)
-        out.append(squeeze(np.packbits(bit, bitorder="little").tobytes()))
+        raw = np.packbits(bit, bitorder="little")
+        out.append(squeeze(raw.tobytes()))
+        counts = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), _ROW), dtype=np.uint16) if len(raw) else np.zeros(0, np.uint16)
+        directories.append(squeeze(counts.astype("<u2").tobytes()))
         one = bit.view(bool)
         order = np.concatenate((order[~one], order[one]))
     docs = squeeze(docs)
-    head = np.array([n, planes, n_docs, len(docs), *map(len, out)], np.int64).tobytes()
-    return b"".join((MAGIC, head, docs, *out))
+    head = np.array([n, planes, n_docs, len(docs), *map(len, out), *map(len, directories)], np.int64).tobytes()
+    return b"".join((MAGIC, head, docs, *out, *directories))
 
 
 class WaveletMatrix:
@@ -37,25 +41,38 @@ class WaveletMatrix:
         if data[:4] != MAGIC:
             raise ValueError("not a wavelet matrix file")
         self.n, self.planes, self.n_docs, size = (int(x) for x in np.frombuffer(data, np.int64, 4, 4))
-        lengths = np.frombuffer(data, np.int64, self.planes, 36)
-        at = 36 + 8 * self.planes
-        expand = zstandard.ZstdDecompressor().decompress
-        self.docs = expand(data[at : at + size])
+        lengths = np.frombuffer(data, np.int64, 2 * self.planes, 36)
+        at = 36 + 16 * self.planes
         ends = at + size + np.cumsum(lengths)
-        self.raw = [np.frombuffer(expand(data[e - x : e]), np.uint8) for x, e in zip(lengths, ends, strict=True)]
-        self._ranks: dict[int, np.ndarray] = {}
+        self.data, self.parts = data, [(at, at + size), *zip((ends - lengths).tolist(), ends.tolist(), strict=True)]
+        self._open: dict[int, np.ndarray] = {}
+
+    def _part(self, number: int) -> bytes:
+        a, b = self.parts[number]
+        return zstandard.ZstdDecompressor().decompress(self.data[a:b])
+
+    @property
+    def docs(self) -> bytes:
+        """What describes the documents."""
+        return self._part(0)
+
+    def _plane(self, plane: int) -> np.ndarray:
+        """The bytes of a plane."""
+        if plane + 1 not in self._open:
+            self._open[plane + 1] = np.frombuffer(self._part(plane + 1), np.uint8)
+        return self._open[plane + 1]
 
     def _directory(self, plane: int) -> np.ndarray:
-        """Ones before each row of the plane."""
-        if plane not in self._ranks:
-            counts = np.bitwise_count(self.raw[plane])
-            rows = np.add.reduceat(counts, np.arange(0, len(counts), _ROW), dtype=np.int64) if len(counts) else np.zeros(0, np.int64)
-            self._ranks[plane] = np.concatenate(([0], np.cumsum(rows)))
-        return self._ranks[plane]
+        """Ones before each row of the plane, and in all."""
+        number = 1 + self.planes + plane
+        if number not in self._open:
+            counts = np.frombuffer(self._part(number), "<u2")
+            self._open[number] = np.concatenate((np.zeros(1, np.int64), np.cumsum(counts, dtype=np.int64)))
+        return self._open[number]
 
     def _ones(self, plane: int, i: int) -> int:
         """Ones among the first i bits of the plane."""
-        raw, byte = self.raw[plane], i >> 3
+        raw, byte = self._plane(plane), i >> 3
         row = byte // _ROW
         part = int(np.bitwise_count(raw[row * _ROW : byte]).sum())
         rest = int(raw[byte] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0
@@ -70,7 +87,7 @@ class WaveletMatrix:
             raise IndexError(i)
         value = 0
         for plane in range(self.planes):
-            bit = int(self.raw[plane][i >> 3]) >> (i & 7) & 1
+            bit = int(self._plane(plane)[i >> 3]) >> (i & 7) & 1
             ones = self._ones(plane, i)
             i = self._zeros(plane) + ones if bit else i - ones
             value = value << 1 | bit
@@ -92,23 +109,46 @@ class WaveletMatrix:
         a, b = self._range(token, start, self.n if stop is None else stop)
         return b - a
 
-    def find(self, token: int) -> np.ndarray:
-        """All positions of an id, ascending."""
-        a, b = self._range(token, 0, self.n)
-        at = np.arange(a, b)
+    def _places(self, plane: int, bit: int, ranks: np.ndarray) -> np.ndarray:
+        """Where the bits of these ranks (from 0) stand: the row by the directory, the place in it by its bits."""
+        ones, raw = self._directory(plane), self._plane(plane)
+        starts = ones if bit else np.minimum(np.arange(len(ones)) * _ROW * 8, self.n) - ones
+        row = np.searchsorted(starts, ranks, "right") - 1
+        out = np.empty(len(ranks), np.int64)
+        for at in range(0, len(ranks), 4096):
+            some, which = np.unique(row[at : at + 4096], return_inverse=True)
+            bits = np.zeros((len(some), _ROW), np.uint8)
+            for k, r in enumerate(some.tolist()):
+                part = raw[r * _ROW : (r + 1) * _ROW]
+                bits[k, : len(part)] = part
+            flags = np.unpackbits(bits, axis=1, bitorder="little") == bit
+            order = np.argsort(~flags, axis=1, kind="stable")
+            out[at : at + 4096] = some[which] * _ROW * 8 + order[which, ranks[at : at + 4096] - starts[row[at : at + 4096]]]
+        return out
+
+    def _up(self, token: int, at: np.ndarray) -> np.ndarray:
+        """Positions of an id's occurrences from their places below the last plane."""
         for plane in range(self.planes - 1, -1, -1):
-            bits = np.unpackbits(self.raw[plane], count=self.n, bitorder="little").view(bool)
-            if token >> (self.planes - 1 - plane) & 1:
-                at = np.flatnonzero(bits)[at - self._zeros(plane)]
-            else:
-                at = np.flatnonzero(~bits)[at]
+            bit = token >> (self.planes - 1 - plane) & 1
+            at = self._places(plane, bit, at - self._zeros(plane) * bit)
         return at
 
+    def select(self, token: int, k: int) -> int:
+        """The position of occurrence k (from 0) of an id."""
+        a, b = self._range(token, 0, self.n)
+        if not 0 <= k < b - a:
+            raise IndexError(k)
+        return int(self._up(token, np.array([a + k]))[0])
+
+    def find(self, token: int) -> np.ndarray:
+        """All positions of an id, ascending."""
+        return self._up(token, np.arange(*self._range(token, 0, self.n)))
+
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
         out = np.zeros(self.n, np.uint32)
         for plane in range(self.planes - 1, -1, -1):
-            one = np.unpackbits(self.raw[plane], count=self.n, bitorder="little").view(bool)
+            one = np.unpackbits(self._plane(plane), count=self.n, bitorder="little").view(bool)
             back, zeros = np.empty_like(out), self._zeros(plane)
             back[~one] = out[:zeros]
             back[one] = out[zeros:] | np.uint32(1 << (self.planes - 1 - plane))

@@ -164,6 +164,24 @@ def test_wavelet_matrix():
             assert matrix.count(token, n // 3) == (ids[n // 3 :] == token).sum() and (matrix.find(token) == np.flatnonzero(ids == token)).all()
 
 
+def test_wavelet_select():
+    ids = np.random.default_rng(2).integers(0, 300, 30_000).astype(np.uint32)
+    matrix = WaveletMatrix(dump(ids))
+    for token in (0, 7, 299):
+        at = np.flatnonzero(ids == token)
+        assert (matrix.find(token) == at).all() and [matrix.select(token, k) for k in (0, 5, len(at) - 1)] == at[[0, 5, -1]].tolist()
+    with pytest.raises(IndexError):
+        matrix.select(300, 0)
+
+
+def test_any_tokenizer_is_encoded_whole(tmp_path):
+    model = tokenizers.models.WordLevel({"[UNK]": 0, "Ab": 1, "cd": 2}, unk_token="[UNK]")
+    other = tokenizers.Tokenizer(model)
+    other.pre_tokenizer = tokenizers.pre_tokenizers.Whitespace()
+    other.save(str(tmp_path / "t.json"))
+    assert [x.tolist() for x in tokens.Encoder(str(tmp_path / "t.json"))([b"Ab cd AB", b""])] == [[1, 2, 0], []]
+
+
 def test_token_shards_round_trip(docs, odd, empty):
     tokenizer = tokenizers.Tokenizer.from_file(registry.WORD_BPE)
     tokenizer.encode_special_tokens = True
