@@ -86,7 +86,7 @@ def literal_path_type(path: str) -> str | None:
     for ending, kind in PAIRED.items():
         if path.lower().endswith(ending):
             return kind
-    found = re.search(r"([A-Za-z0-9_]+)(?:\[\d*\])?$", path)
+    found = re.search(r"([A-Za-z0-9_]+)(?:\[\d*\])*$", path)
     last = found[1] if found else ""
     names = (last.lower(), re.sub("([a-z0-9])([A-Z])", r"\1_\2", last).lower())
     if any(name in HANDLE_KEYS for name in names):

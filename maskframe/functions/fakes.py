@@ -2,7 +2,7 @@
 
 ``fake(kind, value, ...)`` gives a string or number of the same kind as its input: digits stay digits,
 letters keep their case, lengths and separators stay, numbers keep their digit count, dates their form.
-A fake never equals its input; empty strings and nulls stay as they are.
+A fake never equals its input; empty strings, nulls and strings without a letter or digit stay as they are.
 """
 
 from __future__ import annotations
@@ -37,45 +37,75 @@ def other_pick(options: tuple[str, ...], at: Column, value: Column) -> Column:
     return F.when(F.lower(first) == F.lower(value), pick(options, at + 1)).otherwise(first)
 
 
-def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "", kind: str = "id", longest: int = 64) -> Column:
-    """Character by character within its class; the first digit stays non-zero if it was. One md5 for 16
-    characters: beyond ``longest`` characters the digits start over."""
-    blocks = F.concat(*(digest(seed, kind, value, salt, part) for part in range(-(-longest // 16))))
-    chars = F.filter(F.split(value, ""), lambda c: c != "")
+def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "", kind: str = "id", every: bool = False) -> Column:
+    """Character by character within its class; the first digit stays zero or non-zero as it was, unless that
+    zero is all there is. Letters and digits outside ASCII stay unless ``every`` is set, as all masking does. One md5 for 16 characters: the first 64 characters take theirs from the value, later
+    ones from the first digest and their place, so that time is linear in the length."""
+    plain = F.coalesce(~value.rlike("[^\\x00-\\x7F]"), F.lit(True)) if every else F.lit(True)
+    lone = ~value.rlike("[\\p{L}\\p{Nd}].*[\\p{L}\\p{Nd}]")
 
-    def swap(x: Column) -> Column:
-        c, r, i = x["c"], x["r"], x["i"]
+    def ascii_swap(c: Column, r: Column, i: Column) -> Column:
         d = c.between("0", "9")
         return (
             F.when(d & (i == 0) & (c != "0"), F.char(49 + (F.ascii(c) - 49 + 1 + r % 8) % 9))
-            .when(d & (i == 0), F.lit("0"))
+            .when(d & (i == 0) & ~lone, F.lit("0"))
             .when(d, F.char(48 + (F.ascii(c) - 48 + 1 + r % 9) % 10))
             .when(c.between("a", "z"), F.char(97 + (F.ascii(c) - 97 + 1 + r % 25) % 26))
             .when(c.between("A", "Z"), F.char(65 + (F.ascii(c) - 65 + 1 + r % 25) % 26))
             .otherwise(c)
         )
 
-    def whole(hexes: Column) -> Column:
-        pair = lambda i: F.conv(F.substring(hexes, F.pmod(i, F.lit(longest)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
-        return F.array_join(F.transform(F.transform(chars, lambda c, i: F.struct(c.alias("c"), pair(i).alias("r"), i.alias("i"))), swap), "")
-
-    # A lambda's body is evaluated for each element, so the digest is bound to a variable first.
-    return F.when(value == "", value).otherwise(F.element_at(F.transform(F.array(blocks), whole), 1))
-
-
-def whole_number(value: Column, seed: Column | str = SEED, kind: str = "id") -> Column:
-    """Another integer of as many digits. Up to nine digits it is a keyed bijection without fixed points
-    (an affine map modulo the count of such numbers), so that joins and distinct counts on masked keys
-    are exact; longer ones take their digits from the hash."""
-    size = F.length(F.abs(value).cast("string"))
-    low = F.when(size == 1, F.lit(0)).otherwise(F.pow(F.lit(10.0), size - 1)).cast("long")
-    count = F.when(size == 1, F.lit(10)).otherwise(9 * low)
+    def any_swap(c: Column, r: Column, i: Column) -> Column:
+        """Letters and digits outside ASCII become ASCII ones of their case, those without case a Han sign."""
+        sign = F.element_at(F.array(*(F.lit(x) for x in _SIGNS)), (r % len(_SIGNS) + 1).cast("int"))
+        other = F.element_at(F.array(*(F.lit(x) for x in _SIGNS)), ((r + 1) % len(_SIGNS) + 1).cast("int"))
+        return (
+            F.when(c <= "\x7f", ascii_swap(c, r, i)).when(c.rlike("\\p{Lu}"), F.char(65 + r % 26)).when(c.rlike("\\p{Ll}"), F.char(97 + r % 26))
+            .when(c.rlike("\\p{Nd}"), F.char(49 + r % 9)).when(c.rlike("\\p{L}"), F.when(sign == c, other).otherwise(sign)).otherwise(c)
+        )
+
+    def whole(x: Column) -> Column:
+        place = lambda p: F.struct(p["c"].alias("c"), F.conv(p["h"], 16, 10).cast("int").alias("r"))
+        swapped = lambda how: F.array_join(F.transform(F.transform(x, place), lambda p, i: how(p["c"], p["r"], i)), "")
+        return F.when(plain, swapped(ascii_swap)).otherwise(swapped(any_swap)) if every else swapped(ascii_swap)
+
+    def drawn(first: Column) -> Column:
+        """Characters with two hex digits each."""
+        blocks = F.concat(first, *(F.when(F.length(value) > 16 * part, digest(seed, kind, value, salt, part)).otherwise("") for part in range(1, 4)))
+        later = F.transform(F.sequence(F.lit(4), F.greatest(F.floor((F.length(value) - 1) / 16), F.lit(4)).cast("int")), lambda part: F.md5(F.concat_ws("\x01", first, part.cast("string")).cast("binary")))
+        hexes = F.when(F.length(value) > 64, F.concat(blocks, F.array_join(later, ""))).otherwise(blocks)
+        chars = F.filter(F.split(value, ""), lambda c: c != "")
+        return F.arrays_zip(chars.alias("c"), F.slice(F.regexp_extract_all(hexes, F.lit(".."), 0), F.lit(1), F.length(value)).alias("h"))
+
+    # A lambda's body is evaluated for each element, so what it needs is bound to a variable first.
+    bound = F.transform(F.transform(F.array(digest(seed, kind, value, salt, 0)), drawn), whole)
+    return F.when(value == "", value).otherwise(F.element_at(bound, 1))
+
+
+#: What letters without case become.
+_SIGNS = tuple(chr(0x4E00 + 37 * k) for k in range(256))
+
+
+def whole_number(value: Column, seed: Column | str = SEED, kind: str = "id", top: int = (1 << 63) - 1) -> Column:
+    """Another integer of as many digits, by a keyed bijection without fixed points, so that joins and distinct
+    counts on masked keys are exact: an affine map modulo the count of such numbers. ``top`` is the largest
+    number of the column's type; numbers of as many digits as it has are shifted among those it allows."""
+    exact = F.abs(value.cast("decimal(20,0)"))
+    size = F.length(exact.cast("string"))
     key = digest(seed, kind, size)
     step, shift = number(key, 1, 7) % 1_000_000, number(key, 9, 7) % 1_000_000
-    bijection = low + F.pmod((F.abs(value) - low) * (30 * step + 1) + 30 * shift + 7, count)
-    drawn = low + F.pmod(number(digest(seed, kind, value), 1, 15), count)
-    found = F.when(size <= 9, bijection).when(drawn == F.abs(value), low + F.pmod(drawn - low + 1, count)).otherwise(drawn)
-    return F.when(value < 0, -found).otherwise(found)
+    least = F.when(value < 0, 1).otherwise(0)  # zero has no sign, so negative numbers keep away from it
+    low = F.when(size == 1, least).otherwise(F.pow(F.lit(10.0), size - 1)).cast("long")
+    count = F.when(size == 1, 10 - least).otherwise(9 * low)
+    short = low + F.pmod((F.abs(value) - low) * (30 * step + 1) + 30 * shift + 7, count)
+    wide = lambda c, digits=20: c.cast(f"decimal({digits},0)")
+    far = F.try_to_number(F.rpad(F.lit("1"), size, "0"), F.lit("9" * 20)).cast("decimal(20,0)")
+    affine = wide(far + F.pmod((exact - far) * wide(30 * step + 1, 9) + wide(30 * shift + 7, 9), far * 9))
+    digits, first = len(str(top)), 10 ** (len(str(top)) - 1) if top > 9 else 0
+    room = F.lit(top - first + 1).cast("decimal(20,0)") + F.when(value < 0, 1).otherwise(0)
+    moved = wide(F.lit(first).cast("decimal(20,0)") + F.pmod(exact - first + F.pmod(wide(number(key, 1, 15)), room - 1) + 1, room))
+    found = F.when(size == digits, moved).when(size <= 9, wide(short)).otherwise(affine)
+    return F.when(value < 0, -found).otherwise(found).cast("long")
 
 
 def amount(value: Column, seed: Column | str = SEED, salt: Column | str = "") -> Column:
@@ -90,7 +120,7 @@ def iso_date(value: Column, seed: Column | str = SEED, salt: Column | str = "",
     """The date part moves by 1 to 700 days; what follows it stays."""
     days = (number(digest(seed, kind, value, salt)) % 700 + 1).cast("int")
     date = F.to_date(F.try_to_timestamp(F.substring(value, 1, 10), F.lit("yyyy-MM-dd")))
-    return F.when(date.isNull(), scramble(value, seed, salt)).otherwise(F.concat(F.date_format(F.date_sub(date, days), "yyyy-MM-dd"), F.substring(value, 11, 1 << 20)))
+    return F.when(date.isNull(), scramble(value, seed, salt, every=True)).otherwise(F.concat(F.date_format(F.date_sub(date, days), "yyyy-MM-dd"), F.substring(value, 11, 1 << 20)))
 
 
 def fake(kind: str, value: Column, seed: Column | str = SEED, salt: Column | str = "", parent: Column | str = "") -> Column:
@@ -104,10 +134,10 @@ def fake(kind: str, value: Column, seed: Column | str = SEED, salt: Column | str
         "auto": lambda: value,
         "null": lambda: F.lit(None).cast("string"),
         "redact": lambda: F.lit(REDACTED),
-        "id": lambda: scramble(value, seed, salt),
-        "sku": lambda: scramble(value, seed, salt, "sku"),
-        "phone": lambda: scramble(value, seed, salt, "phone"),
-        "postalCode": lambda: scramble(value, seed, salt, "postalCode"),
+        "id": lambda: scramble(value, seed, salt, every=True),
+        "sku": lambda: scramble(value, seed, salt, "sku", True),
+        "phone": lambda: scramble(value, seed, salt, "phone", True),
+        "postalCode": lambda: scramble(value, seed, salt, "postalCode", True),
         "uuid": lambda: F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
         "firstName": lambda: other_pick(FIRST_NAMES, h, value),
         "lastName": lambda: other_pick(LAST_NAMES, h, value),

@@ -78,13 +78,13 @@ def redact_url(url: Column, seed: Column | str = SEED) -> Column:
     def pair(p: Column) -> Column:
         name = F.substring_index(p, "=", 1)
         value = F.substring(p, F.length(name) + 2, F.length(p))
-        return F.when(is_secret_param(name) & (value != ""), F.concat(name, F.lit("="), scramble(value, seed))).otherwise(p)
+        return F.when(is_secret_param(name) & (value != ""), F.concat(name, F.lit("="), scramble(value, seed, every=True))).otherwise(p)
 
     user = userinfo(url)
     scheme = F.regexp_extract(url, r"^([A-Za-z][A-Za-z0-9+.-]*://)", 1)
     rest = F.substring(url, F.length(scheme) + 1 + F.when(user != "", F.length(user) + 1).otherwise(0), F.length(url))
     head, query, hash_ = F.regexp_extract(rest, r"^([^?#]*)", 1), F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1), F.regexp_extract(rest, "(#.*)$", 1)
-    masked_user = F.when(user != "", F.concat(scramble(user, seed), F.lit("@"))).otherwise("")
+    masked_user = F.when(user != "", F.concat(scramble(user, seed, every=True), F.lit("@"))).otherwise("")
     masked_query = F.when(query == "", "").otherwise(F.concat(F.lit("?"), F.array_join(F.transform(F.split(F.substring(query, 2, 1 << 30), "&"), pair), "&")))
     return F.when(url_has_secrets(url), F.concat(scheme, masked_user, head, masked_query, hash_)).otherwise(url)
 
@@ -111,7 +111,7 @@ def default_redact(section: Column, name: Column, value: Column) -> Column:
 def fake_auth(value: Column, seed: Column | str = SEED) -> Column:
     """Keeps the scheme word and the gap after it; fakes the credential."""
     word = F.regexp_extract(value, r"^([A-Za-z][A-Za-z0-9_-]*\s+)\S", 1)
-    return F.concat(word, scramble(F.substring(value, F.length(word) + 1, F.length(value)), seed))
+    return F.concat(word, scramble(F.substring(value, F.length(word) + 1, F.length(value)), seed, every=True))
 
 
 def target_key(section: Column, name: Column, value: Column) -> Column:

@@ -12,8 +12,8 @@ def normalize(path: Column) -> Column:
 
 
 def tail(path: Column) -> Column:
-    """The last run of word characters before an optional index at the end."""
-    return F.regexp_extract(path, r"([A-Za-z0-9_]+)(?:\[\d+\])?$", 1)
+    """The last run of word characters before indexes at the end, of a concrete or a normalized path."""
+    return F.regexp_extract(path, r"([A-Za-z0-9_]+)(?:\[\d*\])*$", 1)
 
 
 def snake(name: Column) -> Column:

@@ -25,7 +25,7 @@ def replacement(section: Column, name: Column, value: Column, seed: Column | str
         F.when((section == "header") & F.lower(name).isin(*network.LINK_HEADERS), network.redact_url(value, seed))
         .when((section == "header") & F.lower(name).isin("authorization", "proxy-authorization"), network.fake_auth(value, seed))
         .when(section == "ip", fake("ipv4", value, seed))
-        .otherwise(scramble(value, seed))
+        .otherwise(scramble(value, seed, every=True))
     )
 
 

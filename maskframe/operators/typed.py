@@ -42,7 +42,10 @@ def _number(kind: str, value: Column, dtype: T.DataType, seed: Column | str, sal
         return fakes.amount(value.cast("double"), seed, salt).cast(dtype)
     if kind == "unixTimestamp":
         return (value - (number(digest(seed, kind, value, salt)) % 86_400_000 + 1)).cast(dtype)
-    return fakes.whole_number(value.cast("long"), seed).cast(dtype)
+    return fakes.whole_number(value.cast("long"), seed, top=_TOPS.get(dtype, (1 << 63) - 1)).cast(dtype)
+
+
+_TOPS = {T.ByteType(): 127, T.ShortType(): 32767, T.IntegerType(): (1 << 31) - 1}
 
 
 def _detected(path: str, value: Column, seed: Column | str, salt: Column) -> Column:
