@@ -37,11 +37,10 @@ def other_pick(options: tuple[str, ...], at: Column, value: Column) -> Column:
     return F.when(F.lower(first) == F.lower(value), pick(options, at + 1)).otherwise(first)
 
 
-def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "", kind: str = "id", every: bool = False) -> Column:
+def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "", kind: Column | str = "id", every: bool = False) -> Column:
     """Character by character within its class; the first digit stays zero or non-zero as it was, unless that
     zero is all there is. Letters and digits outside ASCII stay unless ``every`` is set, as all masking does. One md5 for 16 characters: the first 64 characters take theirs from the value, later
     ones from the first digest and their place, so that time is linear in the length."""
-    plain = F.coalesce(~value.rlike("[^\\x00-\\x7F]"), F.lit(True)) if every else F.lit(True)
     lone = ~value.rlike("[\\p{L}\\p{Nd}].*[\\p{L}\\p{Nd}]")
 
     def ascii_swap(c: Column, r: Column, i: Column) -> Column:
@@ -55,19 +54,18 @@ def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "",
             .otherwise(c)
         )
 
-    def any_swap(c: Column, r: Column, i: Column) -> Column:
+    def any_swap(c: Column, r: Column, i: Column, h: Column) -> Column:
         """Letters and digits outside ASCII become ASCII ones of their case, those without case a Han sign."""
-        sign = F.element_at(F.array(*(F.lit(x) for x in _SIGNS)), (r % len(_SIGNS) + 1).cast("int"))
-        other = F.element_at(F.array(*(F.lit(x) for x in _SIGNS)), ((r + 1) % len(_SIGNS) + 1).cast("int"))
+        sign = lambda page: F.decode(F.unhex(F.concat(F.lit(page), h)), "UTF-16BE")
         return (
             F.when(c <= "\x7f", ascii_swap(c, r, i)).when(c.rlike("\\p{Lu}"), F.char(65 + r % 26)).when(c.rlike("\\p{Ll}"), F.char(97 + r % 26))
-            .when(c.rlike("\\p{Nd}"), F.char(49 + r % 9)).when(c.rlike("\\p{L}"), F.when(sign == c, other).otherwise(sign)).otherwise(c)
+            .when(c.rlike("\\p{Nd}"), F.char(49 + r % 9)).when(c.rlike("\\p{L}"), F.when(sign("4e") == c, sign("4f")).otherwise(sign("4e"))).otherwise(c)
         )
 
     def whole(x: Column) -> Column:
-        place = lambda p: F.struct(p["c"].alias("c"), F.conv(p["h"], 16, 10).cast("int").alias("r"))
-        swapped = lambda how: F.array_join(F.transform(F.transform(x, place), lambda p, i: how(p["c"], p["r"], i)), "")
-        return F.when(plain, swapped(ascii_swap)).otherwise(swapped(any_swap)) if every else swapped(ascii_swap)
+        place = lambda p: F.struct(p["c"].alias("c"), F.conv(p["h"], 16, 10).cast("int").alias("r"), p["h"].alias("h"))
+        swap = (lambda p, i: any_swap(p["c"], p["r"], i, p["h"])) if every else (lambda p, i: ascii_swap(p["c"], p["r"], i))
+        return F.array_join(F.transform(F.transform(x, place), swap), "")
 
     def drawn(first: Column) -> Column:
         """Characters with two hex digits each."""
@@ -82,10 +80,6 @@ def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "",
     return F.when(value == "", value).otherwise(F.element_at(bound, 1))
 
 
-#: What letters without case become.
-_SIGNS = tuple(chr(0x4E00 + 37 * k) for k in range(256))
-
-
 def whole_number(value: Column, seed: Column | str = SEED, kind: str = "id", top: int = (1 << 63) - 1) -> Column:
     """Another integer of as many digits, by a keyed bijection without fixed points, so that joins and distinct
     counts on masked keys are exact: an affine map modulo the count of such numbers. ``top`` is the largest
@@ -116,7 +110,7 @@ def amount(value: Column, seed: Column | str = SEED, salt: Column | str = "") ->
     return F.when(value < 0, -made).otherwise(made)
 
 
-def iso_date(value: Column, seed: Column | str = SEED, salt: Column | str = "", kind: str = "isoDate") -> Column:
+def iso_date(value: Column, seed: Column | str = SEED, salt: Column | str = "", kind: Column | str = "isoDate") -> Column:
     """The date part moves by 1 to 700 days; what follows it stays."""
     days = (number(digest(seed, kind, value, salt)) % 700 + 1).cast("int")
     date = F.to_date(F.try_to_timestamp(F.substring(value, 1, 10), F.lit("yyyy-MM-dd")))

@@ -14,7 +14,7 @@ SEPARATOR = "\x01"
 SEED = "maskframe"
 
 
-def digest(seed: Column | str, kind: str, value: Column, salt: Column | str = "", part: int = 0) -> Column:
+def digest(seed: Column | str, kind: Column | str, value: Column, salt: Column | str = "", part: int = 0) -> Column:
     """32 hex digits for a value of a type under a seed and salt."""
     columns = [F.lit(x) if isinstance(x, str | int) else x for x in (seed, kind, value, salt, part)]
     return F.md5(F.concat_ws(SEPARATOR, *(c.cast("string") for c in columns)).cast("binary"))

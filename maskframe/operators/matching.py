@@ -49,11 +49,13 @@ def template_pattern(template: Column) -> Column:
 
 def match_url(urls: DataFrame, endpoints: DataFrame) -> DataFrame:
     """(path, endpoint_id) of the distinct ``path`` values: the first endpoint in catalog order whose
-    template fits, webhooks left out. One expression tests all templates in order, so that there is no
-    join; the catalog is a short list by nature (``MAX_TEMPLATES`` is checked)."""
-    listed = endpoints.where("kind IS NULL OR kind <> 'webhook'").select("endpoint_id", template_pattern(F.col("path")).alias("pattern"), "rank").orderBy("rank").limit(MAX_TEMPLATES + 1).collect()
+    template fits, webhooks left out. Up to ``MAX_TEMPLATES`` templates become one expression without a join. Of
+    more, those that end in the path's last segment are joined on it, and those that end in a variable are
+    tested against every distinct path in a join of their own."""
+    usable = endpoints.where("kind IS NULL OR kind <> 'webhook'").select("endpoint_id", template_pattern(F.col("path")).alias("pattern"), "path", "rank")
+    listed = usable.orderBy("rank").limit(MAX_TEMPLATES + 1).collect()
     if len(listed) > MAX_TEMPLATES:
-        raise ValueError(f"more than {MAX_TEMPLATES} templates")
+        return _match_many(urls.select("path").distinct(), usable)
     chain = None
     for row in listed:
         fits = F.col("path").rlike(row.pattern)
@@ -62,7 +64,16 @@ def match_url(urls: DataFrame, endpoints: DataFrame) -> DataFrame:
     return urls.select("path").distinct().select("path", found.alias("endpoint_id"))
 
 
-MAX_TEMPLATES = 5000
+def _match_many(paths: DataFrame, templates: DataFrame) -> DataFrame:
+    last = lambda c: F.regexp_extract(c, "([^/?]*)/?(?:$|[?])", 1)
+    named = templates.select("endpoint_id", "pattern", "rank", F.when(~last(F.col("path")).contains("{"), last(F.col("path"))).alias("last"))
+    keyed = paths.select("path", F.explode(F.array(last(F.col("path")), F.lit(None).cast("string"))).alias("end"))
+    met = keyed.join(named, F.col("end").eqNullSafe(F.col("last"))).where("path RLIKE pattern")
+    first = met.groupBy("path").agg(F.min_by("endpoint_id", "rank").alias("endpoint_id"))
+    return paths.join(first, "path", "left")
+
+
+MAX_TEMPLATES = 500
 
 
 def attach_rules(leaves: DataFrame, rules: DataFrame) -> DataFrame:
@@ -82,3 +93,28 @@ def unused_rules(rules: DataFrame, leaves: DataFrame) -> DataFrame:
 def unmatched(docs: DataFrame, matched: DataFrame) -> DataFrame:
     """Documents that no endpoint matches."""
     return docs.join(matched.where("endpoint_id IS NOT NULL").select("doc_id"), "doc_id", "left_anti")
+
+
+def covered_docs(docs: DataFrame, paths: DataFrame, signatures: DataFrame, endpoint_id: str) -> DataFrame:
+    """The rows of ``docs`` whose paths (doc_id, paths) have all that the signature of an endpoint requires."""
+    wanted = signatures.where((F.col("endpoint_id") == endpoint_id) & F.col("required")).select("path").distinct()
+    need = wanted.agg(F.count("*")).first()[0]
+    met = paths.select("doc_id", F.explode(F.array_distinct("paths")).alias("path")).join(wanted, "path").groupBy("doc_id").agg(F.count("*").alias("n"))
+    return docs.join(met.where(F.col("n") == need) if need else met.limit(0), "doc_id", "left_semi")
+
+
+def resolve_endpoint(docs: DataFrame, by_url: DataFrame, by_signature: DataFrame) -> DataFrame:
+    """(doc_id, endpoint_id, how): the endpoint that a document names itself (``endpoint_id`` of docs), else that of
+    its URL's path (docs.url_path; by_url as of match_url()), else the one its paths match, else none."""
+    url = by_url.select(F.col("path").alias("url_path"), F.col("endpoint_id").alias("u"))
+    signed = by_signature.select("doc_id", F.col("endpoint_id").alias("s"))
+    joined = docs.join(url, "url_path", "left").join(signed, "doc_id", "left")
+    how = F.when(F.col("endpoint_id").isNotNull(), "explicit").when(F.col("u").isNotNull(), "url").when(F.col("s").isNotNull(), "signature").otherwise("none")
+    return joined.select("doc_id", F.coalesce("endpoint_id", "u", "s").alias("endpoint_id"), how.alias("how"))
+
+
+def samples(rules: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(endpoint_id, paths): the paths of a document that conforms to an endpoint, from its rules and signature; the
+    catalog's own test is that each matches itself."""
+    listed = rules.where("path <> '*'").select("endpoint_id", "path").union(signatures.where("required").select("endpoint_id", "path"))
+    return listed.groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("paths"))

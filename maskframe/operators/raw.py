@@ -1,79 +1,68 @@
 """The raw lane: payload texts of any shape, flattened and rebuilt with exact numbers and key order.
 
 Leaves stay in the row, so masking needs no shuffle: flatten (Arrow), decide and fake (Columns inside
-``transform``), rebuild (Arrow). A text that does not parse keeps its row with an error.
+``transform``), rebuild (Arrow). Formats are those of ``sources.texts``; a text is written back in its own.
+A text that does not parse keeps its row with an error.
 """
 
 from __future__ import annotations
 
-import json
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from maskframe.functions import detect, fakes
-from maskframe.functions.hashing import SEED
-from maskframe.operators.typed import FORBIDDEN
+from maskframe.functions.hashing import SEED, digest, number
+from maskframe.sources import texts
+from maskframe.sources.texts import Number
 
 LEAF = "array<struct<path:string,norm_path:string,kind:string,value:string>>"
+RULES = "map<string,struct<type:string,anchor:boolean>>"
 
 
-class _Raw(str):
-    """A number's own text."""
-
-
-def _parse(text: str):
-    """JSON with numbers as their text; the last of repeated keys counts, forbidden keys are dropped."""
-    pairs = lambda items: {k: v for k, v in items if k not in FORBIDDEN}
-    return json.loads(text, parse_int=_Raw, parse_float=_Raw, parse_constant=_Raw, object_pairs_hook=pairs)
-
-
-def _documents(text: str) -> list:
-    """One JSON document, or one a line."""
-    try:
-        return [_parse(text)]
-    except ValueError:
-        return [_parse(line) for line in text.splitlines() if line.strip()]
-
-
-def _walk(node, path: str, leaves: list, paths: dict) -> None:
+def _walk(node, path: str, leaves: list, paths: dict, known: bool = True) -> None:
     if isinstance(node, dict):
         for key, value in node.items():
             inner = f"{path}.{key}" if path else key
-            paths[re.sub(r"\[\d+\]", "[]", inner)] = None
-            _walk(value, inner, leaves, paths)
+            if known:
+                paths[re.sub(r"\[\d+\]", "[]", inner)] = None
+            _walk(value, inner, leaves, paths, known)
     elif isinstance(node, list):
         for i, value in enumerate(node):
-            _walk(value, f"{path}[{i}]", leaves, paths)
+            _walk(value, f"{path}[{i}]", leaves, paths, known)
+    elif (inner := texts.nested(node)) is not None:
+        _walk(inner, path, leaves, paths, False)
     elif node is not None:
-        kind = "number" if isinstance(node, _Raw) else "boolean" if isinstance(node, bool) else "string"
+        kind = "number" if isinstance(node, Number) else "boolean" if isinstance(node, bool) else "string"
         leaves.append({"path": path, "norm_path": re.sub(r"\[\d+\]", "[]", path), "kind": kind, "value": str(node).lower() if kind == "boolean" else str(node)})
 
 
 def flatten(payloads: DataFrame, text_col: str = "text") -> DataFrame:
-    """``payloads`` with ``leaves`` in document order, ``paths`` (containers and nulls too) and ``error``."""
+    """``payloads`` with ``leaves`` in document order (those of JSON inside strings too), ``paths`` (containers
+    and nulls too), ``format`` and ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text in batch.column(0).to_pylist():
-                leaves, paths, error = [], {}, None
+                leaves, paths, error, kind = [], {}, None, None
                 try:
-                    docs = _documents(text or "")
-                    for i, doc in enumerate(docs):
-                        _walk(doc, f"[{i}]" if len(docs) > 1 else "", leaves, paths)
+                    parsed = texts.parse(text or "")
+                    kind = parsed.format
+                    for i, doc in enumerate(parsed.documents):
+                        _walk(doc, f"[{i}]" if len(parsed.documents) > 1 else "", leaves, paths)
                 except (ValueError, RecursionError) as problem:
                     leaves, paths, error = [], {}, str(problem)
-                rows.append({"leaves": leaves, "paths": list(paths), "error": error})
-            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+                rows.append({"leaves": leaves, "paths": list(paths), "format": kind, "error": error})
+            yield pa.RecordBatch.from_pylist(rows, schema=out)
 
-    kind = pa.schema(
-        [("leaves", pa.list_(pa.struct([(n, pa.string()) for n in ("path", "norm_path", "kind", "value")]))), ("paths", pa.list_(pa.string())), ("error", pa.string())]
-    )
-    return _beside(payloads, text_col, run, f"leaves {LEAF}, paths array<string>, error string")
+    leaf = pa.struct([(n, pa.string()) for n in ("path", "norm_path", "kind", "value")])
+    out = pa.schema([("leaves", pa.list_(leaf)), ("paths", pa.list_(pa.string())), ("format", pa.string()), ("error", pa.string())])
+    return _beside(payloads, text_col, run, f"leaves {LEAF}, paths array<string>, format string, error string")
 
 
 def _beside(df: DataFrame, column: str, run, schema: str) -> DataFrame:
@@ -84,8 +73,6 @@ def _beside(df: DataFrame, column: str, run, schema: str) -> DataFrame:
             (made,) = run([batch.select([column])])
             yield pa.RecordBatch.from_arrays([*batch.columns, *made.columns], [*batch.schema.names, *made.schema.names])
 
-    from pyspark.sql.types import StructType
-
     return df.mapInArrow(both, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
 
 
@@ -94,22 +81,84 @@ def typed_leaf(leaf: Column) -> Column:
     kind = leaf["kind"]
     found = detect.detect(detect.path_type(leaf["norm_path"]), leaf["value"], kind)
     kept = (kind == "boolean") | ((kind == "number") & (found != "id"))
-    return F.struct(leaf["path"].alias("path"), leaf["value"].alias("value"), F.when(kept, "preserve").otherwise(found).alias("type"))
-
-
-def masked_value(leaf: Column, seed: Column | str = SEED) -> Column:
-    """The fake of a typed leaf; types without a generator of their own here are scrambled."""
-    value, found = leaf["value"], leaf["type"]
-    chain = F.when(found == "preserve", value)
-    for name in ("email", "uuid", "ipv4", "url", "isoDate", "redact", "fullName", "firstName", "lastName", "company", "street", "city", "country", "birthDate", "shortText"):
-        chain = chain.when(found == name, fakes.fake(name, value, seed, leaf["path"]))
-    return chain.otherwise(fakes.scramble(value, seed, leaf["path"]))
-
-
-def mask(payloads: DataFrame, text_col: str = "text", seed: Column | str = SEED) -> DataFrame:
-    """``payloads`` with the text masked and ``error``; a text with an error is null, never passed on."""
-    flat = flatten(payloads, text_col).withColumn("leaves", F.transform("leaves", typed_leaf))
-    flat = flat.withColumn("values", F.transform("leaves", lambda leaf: masked_value(leaf, seed)))
+    return F.struct(*(leaf[n].alias(n) for n in ("path", "norm_path", "kind", "value")), F.when(kept, "preserve").otherwise(found).alias("type"), F.lit(False).alias("anchor"))
+
+
+def decided_leaf(leaf: Column, rules: Column, toggles: Mapping[str, bool] | None = None) -> Column:
+    """typed_leaf() with the type and anchor of the rule of its path, else of ``*``, where ``rules`` (a map of paths)
+    has one; a toggle by path beats the rule."""
+    found = typed_leaf(leaf)
+    rule = F.coalesce(rules[leaf["norm_path"]], rules["*"])
+    ruled = F.when(rule.isNull() | rule["type"].isin("auto", "nestedJson"), found["type"]).otherwise(rule["type"])
+    if toggles:
+        on = F.create_map(*(F.lit(x) for pair in toggles.items() for x in pair))[leaf["norm_path"]]
+        opted = F.when(ruled != "preserve", ruled).when(found["type"] != "preserve", found["type"]).otherwise(detect.id_like(leaf["value"], leaf["kind"]))
+        ruled = F.when(on.isNull(), ruled).when(on, opted).otherwise("preserve")
+    return F.struct(*(found[n].alias(n) for n in ("path", "norm_path", "kind", "value")), ruled.alias("type"), F.coalesce(rule["anchor"], F.lit(False)).alias("anchor"))
+
+
+def _number(value: Column, found: Column, seed: Column | str, salt: Column) -> Column:
+    """A number's text with other digits; whole numbers by the bijection of the typed lane."""
+    whole = F.when(value.rlike(r"^-?\d{1,18}$"), value).try_cast("long")
+    mantissa, rest = F.regexp_extract(value, r"^(-?[\d.]+)", 1), F.regexp_extract(value, r"^-?[\d.]+(.*)$", 1)
+    digits = F.concat(fakes.scramble(mantissa, seed, salt), rest)
+    price = fakes.amount(value.try_cast("double"), seed, salt).cast("string")
+    time = (whole - (number(digest(seed, "unixTimestamp", value, salt)) % 86_400_000 + 1)).cast("string")
+    made = F.when(found == "priceAmount", price).when((found == "unixTimestamp") & whole.isNotNull(), time)
+    return made.when(whole.isNotNull(), fakes.whole_number(whole, seed).cast("string")).otherwise(digits)
+
+
+_SCRAMBLED = ("id", "sku", "phone", "postalCode")
+
+
+def masked_value(leaf: Column, seed: Column | str = SEED, values: Mapping[str, str] | None = None) -> Column:
+    """What a leaf with its type becomes: a literal of its path, cast to its kind, or a fake. Anchored leaves
+    get the same fake wherever the value stands."""
+    value, found, kind = leaf["value"], leaf["type"], leaf["kind"]
+    salt = F.when(leaf["anchor"], F.lit("")).otherwise(leaf["path"])
+    chain = F.when(found.isin("preserve", "auto", "nestedJson"), value)
+    if values:
+        literal = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))[leaf["norm_path"]]
+        fits = F.when(kind == "number", literal.try_cast("double").isNotNull()).when(kind == "boolean", literal.isin("true", "false")).otherwise(True)
+        chain = F.when(literal.isNotNull() & fits, literal).when(found.isin("preserve", "auto", "nestedJson"), value)
+    chain = chain.when(kind == "boolean", F.when((found == "boolean"), F.when(value == "true", "false").otherwise("true")).otherwise(value)).when(kind == "number", _number(value, found, seed, salt))
+    for name in fakes.TYPES:
+        if name not in ("preserve", "auto", "null", "priceAmount", "unixTimestamp", "boolean", "nestedJson", "custom", "isoDate", "birthDate", *_SCRAMBLED):
+            chain = chain.when(found == name, fakes.fake(name, value, seed, salt, F.regexp_extract(leaf["path"], r"^(.*)\.[^.]*$", 1)))
+    dated = found.isin("isoDate", "birthDate") & (value != "")
+    chain = chain.when(dated, fakes.iso_date(value, seed, salt, found))
+    price = fakes.amount(value.try_cast("double"), seed, salt)
+    chain = chain.when((found == "priceAmount") & price.isNotNull(), F.format_string("%.2f", price))
+    return chain.when(found == "null", F.lit(None).cast("string")).otherwise(fakes.scramble(value, seed, salt, F.when(found.isin(*_SCRAMBLED), found).otherwise("id"), True))
+
+
+def rule_maps(rules: DataFrame) -> DataFrame:
+    """(endpoint_id, rules): a row an endpoint with a map of its paths, from (endpoint_id, path, type, anchor)."""
+    pair = F.struct("path", F.struct("type", F.coalesce("anchor", F.lit(False)).alias("anchor")))
+    return rules.groupBy("endpoint_id").agg(F.map_from_entries(F.collect_list(pair)).alias("rules"))
+
+
+def mask(
+    payloads: DataFrame, text_col: str = "text", seed: Column | str = SEED, rules: DataFrame | None = None, toggles: Mapping[str, bool] | None = None,
+    values: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """``payloads`` with the text masked, in its own format, and ``error``; a text with an error is null, never
+    passed on. With ``rules`` each payload's ``endpoint_id`` names the rules that apply; a literal (``values``, by
+    path) beats a toggle, a toggle a rule, a rule generic detection."""
+    rows = payloads
+    if rules is not None:
+        maps = rule_maps(rules).select(F.col("endpoint_id").alias("__endpoint"), F.col("rules").alias("__rules"))
+        rows = rows.join(maps, F.col("endpoint_id") == F.col("__endpoint"), "left").drop("__endpoint")
+    else:
+        rows = rows.withColumn("__rules", F.lit(None).cast(RULES))
+    flat = flatten(rows, text_col)
+    flat = flat.withColumn("leaves", F.transform("leaves", lambda leaf: decided_leaf(leaf, F.col("__rules"), toggles)))
+    flat = flat.withColumn("values", F.transform("leaves", lambda leaf: masked_value(leaf, seed, values)))
+    return rebuilt(flat, payloads.columns, text_col)
+
+
+def rebuilt(flat: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
+    """The columns of flatten()'s rows with the text written again with ``values`` for its leaves, and ``error``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,24 +168,28 @@ def mask(payloads: DataFrame, text_col: str = "text", seed: Column | str = SEED)
 
     packed = flat.withColumn("__row", F.struct(F.col(text_col).alias("text"), "values", "error"))
     made = _beside(packed, "__row", run, "__masked string")
-    return made.select(*(F.col("__masked").alias(c) if c == text_col else F.col(c) for c in payloads.columns), "error")
+    return made.select(*(F.col("__masked").alias(c) if c == text_col else F.col(c) for c in columns), "error")
 
 
 def rebuild(text: str, values: list[str]) -> str:
-    """The documents of ``text`` with their leaves replaced, in order; kinds and key order stay."""
+    """The documents of ``text`` with their leaves replaced, in order; kinds, key order and format stay."""
     left = iter(values)
 
-    def again(node) -> str:
+    def again(node):
         if isinstance(node, dict):
-            return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{again(v)}" for k, v in node.items()) + "}"
+            return {k: again(v) for k, v in node.items()}
         if isinstance(node, list):
-            return "[" + ",".join(map(again, node)) + "]"
+            return list(map(again, node))
         if node is None:
-            return "null"
+            return None
+        if (inner := texts.nested(node)) is not None:
+            return texts.json_text(again(inner))
         value = next(left)
-        return value if isinstance(node, _Raw | bool) else json.dumps(value, ensure_ascii=False)
+        return value if value is None or not isinstance(node, Number | bool) else Number(value)
 
-    return "\n".join(again(doc) for doc in _documents(text))
+    parsed = texts.parse(text)
+    parsed.documents = list(map(again, parsed.documents))
+    return texts.write(parsed)
 
 
 def dechunk(text: Column) -> Column:

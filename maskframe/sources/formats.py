@@ -6,6 +6,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from maskframe.functions.hashing import SEED
+from maskframe.functions.paths import masked_name
+from maskframe.operators import raw
+from maskframe.operators.har import dedupe_files
+from maskframe.sources.texts import delimiter_of
+
 
 def detect_format(text: Column) -> Column:
     """xml, ndjson, json, form, csv or null, in that order of tests."""
@@ -55,8 +61,11 @@ def read_ndjson(spark: SparkSession, path: str, schema: StructType | None = None
     return (reader.schema(schema) if schema else reader).json(path)
 
 
-def read_csv_export(spark: SparkSession, path: str, delimiter: str = ",") -> DataFrame:
-    """All strings; short rows are padded with empty strings."""
+def read_csv_export(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """All strings; short rows are padded with empty strings. Without a delimiter the header's decides."""
+    if delimiter is None:
+        first = spark.read.text(path).limit(1).first()
+        delimiter = delimiter_of(first.value if first else "")
     df = spark.read.option("header", True).option("sep", delimiter).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
     return df.select(*(F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c) for c in df.columns))
 
@@ -73,6 +82,14 @@ def read_har(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
-    """(name, size, text) of the files in a folder."""
-    found = spark.read.format("binaryFile").load(path)
-    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
+    """(name, size, text) of the files in a folder; of files equal in name and size the first by path stays."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.col("content").cast("string").alias("text"))
+    return dedupe_files(files, "path").select("name", "size", "text")
+
+
+def mask_batch(files: DataFrame, seed: str = SEED, consistent: bool = True, rules: DataFrame | None = None) -> DataFrame:
+    """(name, size, text, error, masked_name) of read_batch(): each file by itself, so that an error stays with its
+    file. Seeds are shared, or one a file if not ``consistent``."""
+    used = seed if consistent else F.concat(F.lit(seed), F.lit("\x01"), F.col("name"))
+    return raw.mask(files, seed=used, rules=rules).withColumn("masked_name", masked_name(F.col("name")))
