@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from maskframe.functions import detect, fakes, network, paths
@@ -42,10 +42,15 @@ def _exploded(joined: DataFrame) -> DataFrame:
 
 
 def all_pages_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log_values() with the events spread over all rows of pages, by their place in the order of page_id and url."""
+    """log_values() with the events spread over all rows of pages, by their place in the order of page_id and url:
+    places within ranges of the order, and before each range the rows of those below it (a row a range)."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
-    numbered = pages.orderBy("page_id", "url").rdd.zipWithIndex().map(lambda found: (found[0].url, found[1]))
-    numbered = spark.createDataFrame(numbered, "url string, place long").select(F.split_part("url", F.lit("#"), F.lit(1)).alias("url"), "place")
+    order = [F.asc_nulls_first("page_id"), F.asc_nulls_first("url")]
+    ranged = pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    within = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    sizes = within.groupBy("part").agg(F.count("*").alias("size"))
+    before = sizes.select(F.col("part").alias("of"), (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
+    numbered = within.join(before, F.col("part") == F.col("of")).select(F.split_part("url", F.lit("#"), F.lit(1)).alias("url"), (F.col("before") + F.col("within")).alias("place"))
     events = read(spark, sf_dir, "events").withColumn("place", F.expr(f"pmod(event_id, nullif({pages.count()}L, 0L))"))
     return _exploded(events.join(numbered, "place"))
 

@@ -124,7 +124,7 @@ def _unwrapped(packed: str) -> str | None:
 
 def _form(text: str) -> Parsed:
     pairs = dict(parse_qsl(text, keep_blank_values=True))
-    inner = _unwrapped(pairs[PAYLOAD]) if PAYLOAD in pairs else _unwrapped(text)
+    inner = _unwrapped(pairs[PAYLOAD].replace(" ", "+")) if PAYLOAD in pairs else _unwrapped(text)
     if inner is not None:
         return _xml(inner, {"wrapper": "form" if PAYLOAD in pairs else "bare"})
     if "=" not in text:
