@@ -27,12 +27,6 @@ _VALUES = (
 _ENTRY = ("CAST(event_id % 10 AS STRING)", "event_id", "upper(event_type)")
 
 
-def log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(har_id, entry, section, name, value, method, url) of a log with an entry an event."""
-    events, pages = read(spark, sf_dir, "events"), read(spark, sf_dir, "pages").select("page_id", F.split_part("url", F.lit("#"), F.lit(1)).alias("url"))
-    return _exploded(events.join(pages, F.expr("event_id % 250 = page_id")))
-
-
 def _exploded(joined: DataFrame) -> DataFrame:
     rows = ", ".join(f"struct('{s}' AS section, {n} AS name, {v} AS value)" for s, n, v in _VALUES)
     har_id, entry, method = _ENTRY
@@ -41,9 +35,9 @@ def _exploded(joined: DataFrame) -> DataFrame:
     )
 
 
-def all_pages_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """log_values() with the events spread over all rows of pages, by their place in the order of page_id and url:
-    places within ranges of the order, and before each range the rows of those below it (a row a range)."""
+def log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(har_id, entry, section, name, value, method, url) of a log with an entry an event. Events are spread over all
+    rows of pages by their place in the order of page_id and url: places within ranges of the order, and before each range the rows of those below it (a row a range)."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     order = [F.asc_nulls_first("page_id"), F.asc_nulls_first("url")]
     ranged = pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
@@ -55,11 +49,13 @@ def all_pages_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _exploded(events.join(numbered, "place"))
 
 
+#: The name that tests know it by.
+all_pages_log = log_values
+
 _LOG = "log AS MATERIALIZED (" + " UNION ALL ".join(
     f"SELECT {_ENTRY[0]} har_id, {_ENTRY[1]} entry, '{s}' section, {n} AS name, {v} AS value FROM joined" for s, n, v in _VALUES
 ) + ")"
-_JOINED = "joined AS (SELECT events.*, split_part(url, '#', 1) url FROM events JOIN pages ON event_id % 250 = page_id)"
-_JOINED_ALL = """joined AS (SELECT e.*, split_part(url, '#', 1) url
+_JOINED = """joined AS (SELECT e.*, split_part(url, '#', 1) url
   FROM (SELECT *, (event_id % n + n) % n place FROM events, (SELECT count(*) n FROM pages)) e
   JOIN (SELECT url, row_number() OVER (ORDER BY page_id NULLS FIRST, url NULLS FIRST) - 1 place FROM pages) USING (place))"""
 _DISTINCT = f"""kinds AS MATERIALIZED (SELECT section, name, value, count(*) n, min(entry) first_entry FROM log WHERE value <> '' GROUP BY ALL),
@@ -115,35 +111,6 @@ g AS (SELECT section, lower(name) AS name, count(*) n, count(*) FILTER (redact)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY flagged > 0 DESC, name) place FROM g) WHERE place <= 250"""
 
 
-def har_targets_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """har_targets over all pages."""
-    return har.targets(all_pages_log(spark, sf_dir))
-
-
-def har_locations_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """har_locations over all pages."""
-    return har.locations(all_pages_log(spark, sf_dir))
-
-
-def har_stats_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """har_stats over all pages."""
-    return har.stats(all_pages_log(spark, sf_dir))
-
-
-def har_categories_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """har_categories over all pages."""
-    return har.category_counts(har.targets(all_pages_log(spark, sf_dir)))
-
-
-def har_top_groups_all_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """har_top_groups over all pages."""
-    return har.top_groups(har.targets(all_pages_log(spark, sf_dir)))
-
-
-def _all_pages(sql: str) -> str:
-    return sql.replace(_JOINED, _JOINED_ALL)
-
-
 def url_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls with a secret parameter added to some: whether they hold secrets, redacted, and short."""
     url = F.concat("url", F.expr("CASE WHEN page_id % 2 = 0 AND url NOT LIKE '%#%' THEN concat(CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'sig=', md5(url)) ELSE '' END"))
@@ -288,9 +255,9 @@ l AS (SELECT doc_id, list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i]) l
 QUERIES = {
     "har_targets": (har_targets, HAR_TARGETS), "har_locations": (har_locations, HAR_LOCATIONS), "har_stats": (har_stats, HAR_STATS), "har_categories": (har_categories, HAR_CATEGORIES),
     "har_top_groups": (har_top_groups, HAR_TOP_GROUPS),
-    "har_targets_all_pages": (har_targets_all_pages, _all_pages(HAR_TARGETS)), "har_locations_all_pages": (har_locations_all_pages, _all_pages(HAR_LOCATIONS)),
-    "har_stats_all_pages": (har_stats_all_pages, _all_pages(HAR_STATS)), "har_categories_all_pages": (har_categories_all_pages, _all_pages(HAR_CATEGORIES)),
-    "har_top_groups_all_pages": (har_top_groups_all_pages, _all_pages(HAR_TOP_GROUPS)), "url_redact": (url_redact, URL_REDACT), "url_match": (url_match, URL_MATCH), "token_pii": (token_pii, TOKEN_PII),
+    "url_redact": (url_redact, URL_REDACT), "url_match": (url_match, URL_MATCH), "token_pii": (token_pii, TOKEN_PII),
     "event_props": (event_props, EVENT_PROPS), "match_payloads": (match_payloads, MATCH_PAYLOADS), "unused_rules": (unused_rules, UNUSED_RULES), "catalog_stats": (catalog_stats, CATALOG_STATS),
     "format_detect": (format_detect, FORMAT_DETECT), "dedupe_files": (dedupe_files, DEDUPE_FILES), "modified_lines": (modified_lines, MODIFIED_LINES),
 }
+#: Names from when the five read a part of the pages only and these all of them.
+QUERIES |= {f"{name}_all_pages": QUERIES[name] for name in ("har_targets", "har_locations", "har_stats", "har_categories", "har_top_groups")}
