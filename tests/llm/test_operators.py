@@ -100,6 +100,40 @@ def test_tiles_take_the_longest_first():
     assert decontaminate.tiles(pairs, 3) == [(2, 7, 3), (14, 0, 7)]
 
 
+def test_tiles_equal_brute_force():
+    chance = random.Random(1)
+    for _ in range(400):
+        match = chance.randint(1, 4)
+        item, text = chance.choices("abc", k=chance.randint(match, 14)), chance.choices("abcd", k=chance.randint(0, 25))
+        wanted, in_item, in_text = [], set(), set()
+        while True:
+            best = None
+            for i in range(len(text)):
+                for j in range(len(item)):
+                    k = 0
+                    while i + k < len(text) and j + k < len(item) and text[i + k] == item[j + k] and i + k not in in_text and j + k not in in_item:
+                        k += 1
+                    if k >= match and (best is None or (-k, i, j) < best):
+                        best = (-k, i, j)
+            if best is None:
+                break
+            k, i, j = -best[0], best[1], best[2]
+            wanted.append((i, j, k))
+            in_item |= set(range(j, j + k))
+            in_text |= set(range(i, i + k))
+        pairs = [(i, j) for i in range(len(text) - match + 1) for j in range(len(item) - match + 1) if text[i : i + match] == item[j : j + match]]
+        assert decontaminate.tiles(pairs, match) == sorted(wanted)
+
+
+def test_benchmark_rows_of_all_kinds(spark):
+    rows = [(1, "one two three", "x"), (None, "zero one two three four", "x"), (7, "夏の海は青い", "x"), (7, "word " * 5000 + "a b c d e f g", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id string")
+    benchmark = spark.createDataFrame([("s", "two three"), ("r", "a b c d e f"), ("r", "夏の海は"), (None, "word word word word word")], "item_id string, text string")
+    found = sorted((str(r.doc_id), str(r.item_id)) for r in decontaminate.leaks(docs, benchmark).collect())
+    assert found == [("1", "s"), ("7", "None"), ("7", "r"), ("7", "r"), ("None", "s")]
+    assert decontaminate.clean(docs, benchmark).count() == 0 and decontaminate.clean(docs, benchmark.where("item_id = 's'")).count() == 2
+
+
 PAGES = [
     (1, "https://a.example.org/es/x?q#f", "h"), (2, "HTTP://A.Example.ORG/en/1x", None), (3, "http://x.fr.com/fr/1", "p" * 120), (4, "http://com/de/", "p" * 120), (5, None, "p" * 120),
     (6, "no scheme", "é" * 60), (7, "http://bad.example.net/1", "é" * 60), (8, "http://example.org", ""), (None, "ftp://q?x", "p" * 120),
@@ -146,6 +180,18 @@ def test_ledger_scans_once(spark, tmp_path):
     assert secrets.scan(more, path) == 1 and secrets.findings(more, path).where("size(spans) > 0").count() == 2
 
 
+def test_secrets_of_long_texts(spark):
+    """Texts on which plain patterns are quadratic; a private key goes whole."""
+    key = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(["Ab+/" * 16] * 3) + "\nAb==\n-----END RSA PRIVATE KEY-----"
+    texts = ["http://h:80 " + "a" * 200_000 + " é", "eyJ" * 60_000, "token = abcdef " * 20_000, f"x {key} y"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = {r.doc_id: r.s for r in docs.select("doc_id", secrets.shown(secrets.spans_of(F.col("text"))).alias("s")).collect()}
+    assert spans[0] == "hex:12:200012" and spans[1] == "" and spans[2].count("assign") == 20_000 and spans[2].endswith(f":{15 * 20_000 - 1}")
+    out = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    assert out[2] == "[SECRET] " * 20_000 and out[3] == "x [SECRET] y"
+    assert secrets.version_of() != secrets.version_of(secrets.KINDS | secrets.KEY_BODY)
+
+
 def test_redaction_keeps_all_else(spark):
     docs = spark.createDataFrame([(1, "a token = abcdef z", "s"), (2, "clean", "s"), (3, None, "s")], "doc_id long, text string, source string")
     out = secrets.redact(docs)
@@ -262,6 +308,36 @@ def test_trees_learn_and_stay_monotone():
     assert ((model.margin(x) > 0) == (y > 0)).mean() > 0.75
 
 
+def test_trees_equal_a_plain_walk():
+    chance = np.random.default_rng(5)
+    x = chance.random((400, 3))
+    model = rules.fit(x, (x[:, 0] + x[:, 2] > 1).astype(float), np.array([0, 0, 1]), trees=8)
+    for row, margin in zip(x, model.margin(x), strict=True):
+        total = model.base
+        for node in model.roots:
+            while model.feature[node] >= 0:
+                node = model.left[node] + (row[model.feature[node]] > model.threshold[node])
+            total += model.value[node]
+        assert abs(total - margin) < 1e-9
+
+
+def test_rows_of_one_id_are_judged_by_their_texts(spark):
+    good, labels = graded()[0][2][1], spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([(1, good), (1, "short"), (None, good), (None, "short"), (None, None)], "doc_id long, text string")
+    assert sorted((str(r.doc_id), r.text) for r in rules.keep(docs, labels).collect()) == [("1", good), ("None", good)]
+    assert sorted(str(r.doc_id) for r in simhash.first_of_each(docs).collect()) == ["1", "1", "None"]
+
+
+def test_ordinal_scores_equal_a_plain_sum(spark):
+    model = ordinal.Model(np.random.default_rng(8).normal(size=ordinal.SPACE).astype(np.float32), np.array([-0.5, 0.7]))
+    text = "Some words, SOME words!! 123 the end"
+    values, _ = ordinal.text_features(text, ordinal._Tokens(ordinal.token_features))
+    f = sum(float(model.weights[k]) * v for k, v in values.items())
+    row = ordinal.score(spark.createDataFrame([(1, text), (None, None)], "doc_id long, text string"), model).where("doc_id = 1").first()
+    tails = [1 / (1 + np.exp(-(f - t))) for t in model.thresholds]
+    assert np.allclose([row.p_at_least_1, row.p_at_least_2, row.expected_grade], [*tails, sum(tails)])
+
+
 def test_rules_keep_good_and_drop_bad(spark, docs, empty):
     rows, labels = graded()
     df = spark.createDataFrame([(i, t, "c") for i, t in rows], "doc_id long, text string, kept string")
