@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from maskframe.llm import bpe, decontaminate, ordinal, rules, secrets, simhash, suffixes, tokens, urls, warc
+from maskframe.llm import bpe, decontaminate, lexical, negatives, ordinal, rules, secrets, simhash, suffixes, tokens, treebpe, urls, warc
 from maskframe.llm.common import table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -62,5 +62,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), TIKTOKEN, public_tokenizers.PATTERN)
 
 
-QUERIES = {"op8_warc": op8_warc, "op2_decontaminate": op2_decontaminate, "op6_ordinal_quality": op6_ordinal_quality, "op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
-ORACLES = {"op3_url_reputation": urls.sql(), "op4_secret_ledger": secrets.sql(), "op8_warc": warc.SQL}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, by its five nearest of the same label."""
+    return negatives.contract(table(spark, sf_dir, "embeddings"))
+
+
+def op12_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded by the word vocabulary as a tree and decoded again; digests of both."""
+    return treebpe.digests(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of each benchmark item."""
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {"op11_hard_negatives": op11_hard_negatives, "op12_tree_bpe": op12_tree_bpe, "op13_ranked_search": op13_ranked_search, "op8_warc": op8_warc, "op2_decontaminate": op2_decontaminate, "op6_ordinal_quality": op6_ordinal_quality, "op7_quality_rules": op7_quality_rules, "op3_url_reputation": op3_url_reputation, "op4_secret_ledger": op4_secret_ledger, "op9_simhash": op9_simhash, "op5_token_shards": op5_token_shards, "op1_suffix_dedup": op1_suffix_dedup, "op10_byte_bpe": op10_byte_bpe}
+ORACLES = {"op11_hard_negatives": negatives.SQL, "op13_ranked_search": lexical.SQL, "op3_url_reputation": urls.sql(), "op4_secret_ledger": secrets.sql(), "op8_warc": warc.SQL}

@@ -13,7 +13,7 @@ task is encoded once; pieces are told apart by their bytes. Any other tokenizer
 Defined results: a null or empty text has the end id alone; null ids come first; repeated rows and ids
 are kept, ties in order of their text; an empty table gives no files and an empty result; other
 columns are ignored. Bytes that are not UTF-8 are read as U+FFFD. The strings of special tokens in a text
-are ordinary text.
+are special tokens, as in the library.
 """
 
 from __future__ import annotations
@@ -77,22 +77,42 @@ def _byte_letters() -> dict[int, int]:
 
 @lru_cache(maxsize=2)
 def _tokenizer(path: str):
+    """The tokenizer, without truncation and padding; whether its texts can be cut; its special tokens' ids."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     import tokenizers
 
     tokenizer = tokenizers.Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
     with open(path, encoding="utf-8") as file:
         settings = json.load(file)
-    return tokenizer, all(settings.get(name) == wanted for name, wanted in _SPLITS.items())
+    added = settings.get("added_tokens") or []
+    plain = not any(token[flag] for token in added for flag in ("single_word", "lstrip", "rstrip", "normalized"))
+    return tokenizer, plain and all(settings.get(name) == wanted for name, wanted in _SPLITS.items()), {token["content"].encode(): token["id"] for token in added}
+
+
+def tokenizer_of(path: str):
+    """The library's tokenizer for a file, one a process."""
+    return _tokenizer(path)[0]
 
 
 class Encoder:
-    """Encodes runs of documents; remembers the ids of pieces, CACHE_PIECES at most."""
+    """Encodes runs of documents; remembers the ids of pieces, CACHE_PIECES at most. With ``normalised`` the
+    texts have been through the normaliser and hold no special tokens."""
+
+    def __init__(self, path: str, normalised: bool = False):
+        (self.tokenizer, self.cuts, self.special), self.known = _tokenizer(path), {}
+        self.plain, self.normalised = re.compile(_PLAIN).fullmatch, normalised
+        self.marks = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special and not normalised else None
+
+    def parts(self, text: bytes) -> list[bytes | int]:
+        """The text between special tokens, and the ids of these."""
+        pieces = self.marks.split(text) if self.marks else [text]
+        return [self.special[piece] if at % 2 else piece for at, piece in enumerate(pieces) if piece]
 
-    def __init__(self, path: str):
-        (self.tokenizer, self.cuts), self.known = _tokenizer(path), {}
-        self.plain = re.compile(_PLAIN).fullmatch
+    def _model(self, text: str) -> list[int]:
+        """The ids of a normalised piece."""
+        return [token.id for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for token in self.tokenizer.model.tokenize(word)]
 
     def _ids(self, keys: list, pieces: list[bytes]) -> list[list[int]]:
         """The ids of pieces, by their keys; unknown ones are learnt."""
@@ -106,9 +126,10 @@ class Encoder:
                 self.known[keys[i]] = [token.id for token in model(pieces[i].decode("latin-1").translate(letters))]
             else:
                 rest.append(i)
-        encoded = self.tokenizer.encode_batch_fast([pieces[i].decode("utf-8", "replace") for i in rest], add_special_tokens=False)
+        plain = [pieces[i].decode("utf-8", "replace") for i in rest]
+        encoded = map(self._model, plain) if self.normalised else (found.ids for found in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False))
         for i, found in zip(rest, encoded, strict=True):
-            self.known[keys[i]] = found.ids
+            self.known[keys[i]] = found
         return [self.known[key] for key in keys]
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -116,6 +137,17 @@ class Encoder:
         if not self.cuts:
             encoded = self.tokenizer.encode_batch_fast([text.decode("utf-8", "replace") for text in texts], add_special_tokens=False)
             return [np.array(found.ids, np.uint32) for found in encoded]
+        if self.marks and any(map(self.marks.search, texts)):
+            parts = list(map(self.parts, texts))
+            found = iter(self._run([part for some in parts for part in some if isinstance(part, bytes)]))
+            ids = [[next(found) if isinstance(part, bytes) else np.array([part], np.uint32) for part in some] for some in parts]
+            return [np.concatenate(some) if some else np.zeros(0, np.uint32) for some in ids]
+        return self._run(texts)
+
+    def _run(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts without special tokens."""
+        if not texts:
+            return []
         raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
         kind = _CLASS[raw]
