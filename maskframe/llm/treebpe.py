@@ -35,6 +35,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -174,7 +175,8 @@ _PREPARED = "key long, id {kind}, part int, place int, text binary, ids binary"
 
 
 def _prepare(docs: DataFrame, path: str, segment: int, id_col: str, text_col: str) -> DataFrame:
-    """Short documents with their ids; long ones as rows of their normalised parts, one a segment."""
+    """Short documents with their ids; long ones as rows of their normalised parts, one a segment. What is shuffled later,
+    the texts and ids of long ones, is compressed."""
     kind, id_type = common.id_ddl(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,11 +189,11 @@ def _prepare(docs: DataFrame, path: str, segment: int, id_col: str, text_col: st
                 key += 1
                 for part, piece in enumerate(encoder.parts(texts[i])):
                     if isinstance(piece, int):
-                        rows.append((key, keys[i], part, 0, None, np.array([piece], "<u4").tobytes()))
+                        rows.append((key, keys[i], part, 0, None, blocks.pack(np.array([piece], np.uint32))))
                         continue
                     text = encoder.tokenizer.normalizer.normalize_str(piece.decode("utf-8", "replace")).encode()
                     places = cuts(text, segment)
-                    rows += [(key, keys[i], part, a, text[a:b], None) for a, b in itertools.pairwise(places)]
+                    rows += [(key, keys[i], part, a, zstandard.compress(text[a:b]), None) for a, b in itertools.pairwise(places)]
             columns = zip(*rows, strict=True)
             types = [pa.int64(), id_type, pa.int32(), pa.int32(), pa.binary(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["key", "id", "part", "place", "text", "ids"])
@@ -208,8 +210,8 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         encoder = Encoder(path, normalised=True)
         for batch in batches:
             texts, known = batch.column("text").to_pylist(), batch.column("ids").to_pylist()
-            found = iter(encoder([text for text in texts if text is not None]))
-            ids = [next(found).astype("<u4").tobytes() if text is not None else had for text, had in zip(texts, known, strict=True)]
+            found = iter(encoder([zstandard.decompress(text) for text in texts if text is not None]))
+            ids = [blocks.pack(next(found).astype(np.uint32)) if text is not None else had for text, had in zip(texts, known, strict=True)]
             yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(ids, pa.binary()))
 
     def join(group: pa.Table) -> pa.Table:
@@ -218,11 +220,11 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
         listed = sorted(zip(group.column("part").to_pylist(), group.column("place").to_pylist(), group.column("text").to_pylist(), group.column("ids").to_pylist(), strict=True), key=lambda r: r[:2])
         for _, some in itertools.groupby(listed, key=lambda r: r[0]):
             pieces = list(some)
-            ids = [np.frombuffer(p[3], "<u4") for p in pieces]
+            ids = [blocks.unpack(p[3], np.uint32) for p in pieces]
             if pieces[0][2] is None:
                 made += ids
             else:
-                text = b"".join(p[2] for p in pieces)
+                text = b"".join(zstandard.decompress(p[2]) for p in pieces)
                 made.append(joiner.tree(text, [*(p[1] for p in pieces), len(text)], ids))
         return pa.table({id_col: group.column("id").slice(0, 1), "ids": pa.array([np.concatenate(made).astype("<u4").tobytes()], pa.binary())})
 
