@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from maskframe.llm import bpe, decontaminate, lexical, negatives, ordinal, rules, secrets, simhash, suffixes, tokens, treebpe, urls, warc
-from maskframe.llm.common import table
+from maskframe.llm.common import scratch_path, table
 
 TIKTOKEN = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -28,8 +28,11 @@ def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every document by way of a blob ledger."""
-    return secrets.report(table(spark, sf_dir, "documents"))
+    """Secrets of every document by way of a blob ledger: a run over what came first, then one over all that scans
+    only the blobs that the ledger lacks."""
+    docs, path = table(spark, sf_dir, "documents"), scratch_path(spark, "ledger")
+    secrets.scan(secrets.earlier(docs), path)
+    return secrets.report(docs, path)
 
 
 def op5_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,10 +45,12 @@ KINDS = {
     "login": (r"[a-z][a-z0-9+.-]*://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@", 0, 10),
 }
 BASE = ("assign", "access", "hex")
+#: What may stand between the lines of a key: blanks, or line ends written as escapes, as in JSON.
+_GAP, _BASE64 = r"(?:\s|\\[nr])", r"(?:[A-Za-z0-9+/=]|\\/)"
 #: What redact() looks for besides: a private key up to its END line, or its long lines where that is missing.
 KEY_BODY = {
     "key": (
-        r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:\s*+[A-Za-z-]++:[^\r\n]*+)*+(?:\s*+[A-Za-z0-9+/=]++)*+\s*+-----END [A-Z ]*PRIVATE KEY-----|(?:\s++[A-Za-z0-9+/=]{40,}+)*+)", 0, 1
+        rf"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:{_GAP}*+[A-Za-z-]++:(?:(?!\\[nr])[^\r\n])*+)*+(?:{_GAP}*+{_BASE64}++)*+{_GAP}*+-----END [A-Z ]*PRIVATE KEY-----|(?:{_GAP}++{_BASE64}{{40,}}+)*+)", 0, 1
     ),
 }
 #: Kinds in Java's dialect with the place where a match may begin made explicit: group 1 is what stands
@@ -153,6 +155,12 @@ def scan(docs: DataFrame, path: str, rule_version: str | None = None, id_col: st
     return rows.count()
 
 
+def earlier(docs: DataFrame, share: float = 0.9, id_col: str = "doc_id") -> DataFrame:
+    """The rows up to about the ``share`` quantile of the ids: what an earlier run of a growing table had."""
+    last = docs.agg(F.percentile_approx(id_col, share)).first()[0]
+    return docs.where(F.col(id_col) <= last) if last is not None else docs.limit(0)
+
+
 def versions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """(id, blob[, text]): the content address of every version."""
     text = F.coalesce(F.col(text_col), F.lit(""))

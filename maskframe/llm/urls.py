@@ -107,18 +107,18 @@ def reputation(hosts: DataFrame, counts: DataFrame, z: float = Z, suffixes: Data
     total, bad = seen.agg(F.sum("n"), F.sum("bad")).first()
     whole = ((bad or 0) + 0.5) / ((total or 0) + 1)
 
-    def shrunk(level: DataFrame, key: str) -> tuple[DataFrame, float]:
+    def shrunk(level: DataFrame, key: str, *of: str) -> tuple[DataFrame, float]:
         k = _strength(level)
-        return level.select(key, ((F.col("bad") + k * F.col("parent")) / (F.col("n") + k)).alias(f"{key}_mean")), k
+        return level.select(*of, key, ((F.col("bad") + k * F.col("parent")) / (F.col("n") + k)).alias(f"{key}_mean")), k
 
     def summed(*keys: str) -> DataFrame:
         return seen.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    suffixes, _ = shrunk(summed("suffix").withColumn("parent", F.lit(whole)), "suffix")
-    domains, _ = shrunk(summed("suffix", "domain").join(suffixes, "suffix").withColumnRenamed("suffix_mean", "parent"), "domain")
-    k = _strength(seen.join(domains, "domain").withColumnRenamed("domain_mean", "parent"))
+    by_suffix, _ = shrunk(summed("suffix").withColumn("parent", F.lit(whole)), "suffix")
+    domains, _ = shrunk(summed("suffix", "domain").join(by_suffix, "suffix").withColumnRenamed("suffix_mean", "parent"), "domain", "suffix")
+    k = _strength(seen.join(domains, ["suffix", "domain"]).withColumnRenamed("domain_mean", "parent"))
     named = with_levels(hosts, suffixes).select("host", "suffix", "domain").join(seen.select("host", "n", "bad"), "host", "left")
-    known = named.join(domains, "domain", "left").join(suffixes, "suffix", "left")
+    known = named.join(domains, ["suffix", "domain"], "left").join(by_suffix, "suffix", "left")
     parent = F.coalesce("domain_mean", "suffix_mean", F.lit(whole))
     n, b = F.coalesce("n", F.lit(0)), F.coalesce("bad", F.lit(0))
     mean = (b + k * parent) / (n + k)

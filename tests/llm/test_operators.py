@@ -230,7 +230,6 @@ def test_any_tokenizer_is_encoded_whole(tmp_path):
 
 def test_token_shards_round_trip(docs, odd, empty):
     tokenizer = tokenizers.Tokenizer.from_file(registry.WORD_BPE)
-    tokenizer.encode_special_tokens = True
     rows, at = {r.doc_id: r for r in tokens.digests(docs, registry.WORD_BPE).collect()}, 0
     for i, text in sorted(ROWS):
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
@@ -240,9 +239,17 @@ def test_token_shards_round_trip(docs, odd, empty):
     assert tokens.digests(empty, registry.WORD_BPE).count() == 0
 
 
+def test_shards_hold_special_tokens_as_the_library_has_them(spark):
+    tokenizer = tokenizers.Tokenizer.from_file(registry.WORD_BPE)
+    texts = ["a <|endoftext|>b", "<|startoftext|><|endoftext|>", "<|endoftext", "x" * 3000 + "<|endoftext|>.", None]
+    rows = tokens.digests(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), registry.WORD_BPE).orderBy("doc_id").collect()
+    for row, text in zip(rows, texts, strict=True):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [1]
+        assert (row.n_tokens, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
 def test_encoder_equals_the_library():
     tokenizer = tokenizers.Tokenizer.from_file(registry.WORD_BPE)
-    tokenizer.encode_special_tokens = True
     chance = random.Random(3)
     letters = "abcABZ ,.!'’\n\t 012éÉßÿñ×÷œŒ—-<|>T̈́İΣσ日本 \x85\x1c&\"sSdm"
     texts = ["".join(chance.choices(letters, k=chance.randint(0, 60))) for _ in range(3000)] + ["<|endoftext|> a<|startoftext|>B", "don't I'LL we've", ""]
@@ -429,3 +436,50 @@ def test_byte_bpe_equals_the_library(docs, odd, empty):
         assert found[i].decoded_sha256 == hashlib.sha256((text or "").encode()).hexdigest() and found[i].n_tokens == len(rows[i].ids)
     assert bpe.digests(odd, registry.TIKTOKEN, public_tokenizers.PATTERN).count() == 4
     assert bpe.digests(empty, registry.TIKTOKEN, public_tokenizers.PATTERN).count() == 0
+
+
+def test_keys_written_as_escapes_go_with_their_bodies(spark):
+    """A service account's JSON: line ends are two characters each."""
+    body = "\\n".join("MIIEvQ" + c * 58 for c in "ABCDE")
+    for gap, text in (("n", body), ("rn", body.replace("\\n", "\\r\\n")), ("slashes", body.replace("C", "\\/"))):
+        key = f'{{"private_key": "-----BEGIN PRIVATE KEY-----\\n{text}\\n-----END PRIVATE KEY-----\\n", "kind": "a"}}'
+        headed = f"-----BEGIN RSA PRIVATE KEY-----\\nProc-Type: 4,ENCRYPTED\\nDEK-Info: AES,00\\n\\n{text}\\n-----END RSA PRIVATE KEY-----"
+        cut = f"-----BEGIN PRIVATE KEY-----\\n{text}"
+        out = {r.doc_id: r.text for r in secrets.redact(spark.createDataFrame([(1, key), (2, headed), (3, cut)], "doc_id long, text string")).collect()}
+        assert out == {1: '{"private_key": "[SECRET]\\n", "kind": "a"}', 2: "[SECRET]", 3: "[SECRET]"}, gap
+
+
+def test_secret_query_scans_only_what_is_new(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i % 15} token = abcdefgh{i % 15}") for i in range(20)] + [(None, "x")], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    path = str(tmp_path / "ledger")
+    assert secrets.scan(secrets.earlier(docs, 0.5), path) == 10 and secrets.scan(docs, path) == 6
+    rows = registry.op4_secret_ledger(spark, str(tmp_path)).collect()
+    assert len(rows) == 21 and sum(r.n_assign for r in rows) == 20
+    assert secrets.earlier(docs.limit(0)).count() == 0
+
+
+def _url_tables(spark, duck, tmp_path, pages, labels):
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name in ("pages", "labels"):
+        duck.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+
+
+def test_url_levels_of_hosts_that_labels_do_not_have(spark, tmp_path):
+    """Hosts under suffixes that no labelled host has, with users, ports and addresses: query against SQL."""
+    import duckdb
+
+    bad = [(i, f"http://h{i}.uk/a") for i in range(7)]
+    good = [(i, f"https://g{i}.com/b") for i in range(7, 14)]
+    odd = ["http://new.co.uk/a", "http://h3.co.uk", "http://a.h1.uk", "http://me:pw@h2.uk:8080/x?y", "http://192.0.2.7/", "http://10.0.0.1:80", "http://com", "http://co.uk/", "//none", None, "http://x.gov.uk/", "http://g8.com:443#f"]
+    pages, labels = bad + good + [(100 + i, url) for i, url in enumerate(odd)], [(i, int(i >= 7), 0) for i in range(14)]
+    duck = duckdb.connect()
+    _url_tables(spark, duck, tmp_path, pages, labels)
+    want = {row[0]: row[1:] for row in duck.sql(urls.sql()).fetchall()}
+    rows, marks = spark.read.parquet(f"{tmp_path}/pages.parquet"), urls.outcomes(spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    got = {r.page_id: (r.host, r.path, r.rule, r.verdict) for r in urls.judge(rows, marks).collect()}
+    assert got == want and got[100][3] == "allow" and got[102][3] == "block"
+    table = spark.createDataFrame([("com",), ("uk",), ("co.uk",), ("gov.uk",)], "suffix string")
+    listed = {r.page_id: r.verdict for r in urls.judge(rows, marks, suffixes=table).collect()}
+    assert listed[100] == listed[110] == "allow" and listed[102] == "block" and all(listed[i] == "block" for i in range(7))
