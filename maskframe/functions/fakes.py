@@ -102,6 +102,49 @@ def whole_number(value: Column, seed: Column | str = SEED, kind: str = "id", top
     return F.when(value < 0, -found).otherwise(found).cast("long")
 
 
+def whole_text(value: Column, seed: Column | str = SEED) -> Column:
+    """The fake of a whole number's text: whole_number() where 64 bits hold it, digit_string() beyond; one id has one fake in
+    every column, path and lane."""
+    long = value.try_cast("long")
+    wide = F.regexp_extract(value, r"^(-?)(\d+)$", 2)
+    return F.when(long.isNotNull(), whole_number(long, seed).cast("string")).otherwise(F.concat(F.regexp_extract(value, r"^(-?)(\d+)$", 1), digit_string(wide, seed)))
+
+
+def _added(digits: Column, key: Column) -> Column:
+    """Each digit plus one drawn from ``key`` and its place, modulo ten."""
+    drawn = lambda i: F.conv(F.substring(F.md5(F.concat_ws("\x01", key, F.floor(i / 16).cast("string")).cast("binary")), 2 * (i % 16) + 1, 2), 16, 10).cast("int")
+    places = F.filter(F.split(digits, ""), lambda c: c != "")
+    return F.array_join(F.transform(places, lambda c, i: ((c.cast("int") + drawn(i)) % 10).cast("string")), "")
+
+
+def digit_string(value: Column, seed: Column | str = SEED, kind: str = "id") -> Column:
+    """Another string of as many decimal digits, any number of them, by a keyed bijection without fixed points: what
+    follows the first digit goes through four Feistel rounds of two halves, and then the first digit moves on by one to all but one of its
+    kind (1 to 9, or 0 alone), by what the rest has become. Numbers beyond 64 bits, which no integer type holds, take this way."""
+    size = F.length(value)
+    key = lambda part, other: digest(seed, F.lit(kind), F.concat_ws("\x01", size.cast("string"), F.lit(str(part)), other))
+    rest = F.substring(value, 2, 1 << 20)
+    half = F.floor((size - 1) / 2).cast("int")
+    start = F.struct(rest.substr(F.lit(1), half).alias("left"), rest.substr(half + 1, size).alias("right"))
+
+    def turn(part: int):
+        if part % 2:
+            return lambda pair: F.struct(_added(pair["left"], key(part, pair["right"])).alias("left"), pair["right"].alias("right"))
+        return lambda pair: F.struct(pair["left"].alias("left"), _added(pair["right"], key(part, pair["left"])).alias("right"))
+
+    bound = F.array(start)
+    for part in range(4):
+        bound = F.transform(bound, turn(part))
+
+    def whole(pair: Column) -> Column:
+        tail = F.concat(pair["left"], pair["right"])
+        first = F.substring(value, 1, 1).cast("int")
+        moved = F.when(first > 0, 1 + (first + number(key("first", tail)) % 8) % 9).otherwise(0)
+        return F.concat(moved.cast("string"), tail)
+
+    return F.when(value == "", value).otherwise(F.element_at(F.transform(bound, whole), 1))
+
+
 def amount(value: Column, seed: Column | str = SEED, salt: Column | str = "") -> Column:
     """A price with two decimals, of the same sign and about the same size."""
     cents = F.floor(F.abs(value) * 100).cast("long")

@@ -43,3 +43,11 @@ def modified_lines(before: Column, after: Column) -> Column:
 def masked_name(name: Column) -> Column:
     """``a.json`` becomes ``a.obfuscated.json``; names without an extension get the suffix."""
     return F.when(name.rlike(r"^.+\.[^.]*$"), F.regexp_replace(name, r"^(.+)\.([^.]*)$", "$1.obfuscated.$2")).otherwise(F.concat(name, F.lit(".obfuscated")))
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, with an underscore before it for as long as a column has that name."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name = f"_{name}"
+    return name

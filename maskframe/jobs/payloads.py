@@ -58,7 +58,9 @@ def _log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     content = F.struct(F.when(F.col("event_id") % 7 == 0, "image/png").otherwise("application/json; charset=utf-8").alias("mimeType"), F.concat(F.lit(")]}',\n"), body).alias("text"))
     response = F.struct(F.lit(200).alias("status"), F.array(pair("Server", F.lit("x"))).alias("headers"), content.alias("content"))
     entry = F.struct(request.alias("request"), response.alias("response"), F.concat(F.lit("93.184.216."), (F.col("event_id") % 200).cast("string")).alias("serverIPAddress"), F.lit(1.5).alias("time"))
-    return read(spark, sf_dir, "events").select(F.concat(F.lit("log-"), (F.col("user_id")).cast("string")).alias("har_id"), F.col("event_id").alias("entry"), F.to_json(entry).alias("text"))
+    # A log's entries cost far more than their bytes say, so they are dealt out by number as the readers of logs do.
+    dealt = read(spark, sf_dir, "events").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "user_id", "event_id")
+    return dealt.select(F.concat(F.lit("log-"), (F.col("user_id")).cast("string")).alias("har_id"), F.col("event_id").alias("entry"), F.to_json(entry).alias("text"))
 
 
 def har_entries_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:

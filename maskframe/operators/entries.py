@@ -1,7 +1,7 @@
 """Entries of network logs: redact names, values, URLs and bodies in place, list what was found, validate.
 
-An entry is a row (har_id, entry, text). Its leaves are flattened with the section that each belongs to, decided
-and faked as Columns, and written back; unknown keys and order stay. Bodies are masked by the raw lane's rules
+An entry is a row (har_id, entry, text). Its leaves are flattened with the section that each belongs to, each distinct
+one of a batch is decided and faked once as Columns over rows (see ``coded``), and all are written back; unknown keys and order stay. Bodies are masked by the raw lane's rules
 inside their own format, guard prefixes and chunks included; a body that does not parse stays as it is and is
 reported.
 """
@@ -14,10 +14,11 @@ from collections.abc import Iterable, Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField
 
-from maskframe.functions import network
+from maskframe.functions import detect, network
 from maskframe.functions.hashing import SEED
-from maskframe.operators import har, raw
+from maskframe.operators import coded, har, raw
 from maskframe.sources import texts
 
 _FIELDS = ("path", "norm_path", "kind", "value", "section", "name")
@@ -69,7 +70,7 @@ def _entry(text: str) -> tuple[list[dict], list[str], dict, dict]:
     if not isinstance(tree, dict):
         raise ValueError("an entry is an object")
     leaves: list[dict] = []
-    raw._walk(tree, "", leaves, {})
+    raw._walk(tree, "", leaves, None)
     bodies, errors, out = {}, [], []
     for path in _BODIES:
         bodies[path], why = _body(tree, path)
@@ -79,16 +80,16 @@ def _entry(text: str) -> tuple[list[dict], list[str], dict, dict]:
     for leaf in leaves:
         path = leaf["path"]
         section, name = "", ""
-        body = next((b for b in _BODIES if path == b or path.startswith((f"{b}.", f"{b}["))), None)
+        body = next((b for b in _BODIES if path == b or path.startswith((f"{b}.", f"{b}["))), None) if path.startswith(_BODIES) else None
         if body and bodies[body]:
             if body not in seen:
                 seen.add(body)
                 inner: list[dict] = []
                 for i, doc in enumerate(bodies[body][1].documents):
-                    raw._walk(doc, body + (f"[{i}]" if len(bodies[body][1].documents) > 1 else ""), inner, {})
+                    raw._walk(doc, body + (f"[{i}]" if len(bodies[body][1].documents) > 1 else ""), inner, None)
                 out += [{**x, "section": "body", "name": x["norm_path"][len(body) :].lstrip(".")} for x in inner]
             continue
-        for pattern, kind in _SECTIONS:
+        for pattern, kind in _SECTIONS if ".value" in path else ():
             if (found := pattern.match(path)) and path[found.end() :].startswith(".value"):
                 section, name = kind, names.get(found[0], "")
         if path in _URLS:
@@ -117,24 +118,32 @@ def flatten(entries: DataFrame) -> DataFrame:
     return raw._beside(entries, "text", run, f"leaves array<struct<{','.join(f'{n}:string' for n in _FIELDS)}>>, errors array<string>")
 
 
-def _whole(leaf: Column) -> Column:
+def _whole(leaf: raw.Leaf) -> Column:
     """Whether the leaf is its value as a whole, and not a part of JSON inside it."""
     return leaf["path"].endswith(".value") | leaf["section"].isin("url", "ip")
 
 
-def _typed(leaf: Column) -> Column:
-    """A leaf with its detected type. Each step's result is the next lambda's variable, so that nothing is worked out
-    again wherever it is used."""
-    return F.struct(*(leaf[n].alias(n) for n in _FIELDS), raw.typed_leaf(leaf)["type"].alias("type"))
-
-
-def default_of(leaf: Column) -> Column:
-    """Whether a typed leaf is redacted unless someone says otherwise."""
-    section, value, kind = leaf["section"], leaf["value"], leaf["type"]
-    in_body = F.when(kind == "url", network.url_has_secrets(value)).otherwise(~kind.isin("preserve", *KEPT_TYPES))
-    by_name = network.default_redact(section, leaf["name"], value)
+def _decided(rows: DataFrame, policy: Mapping[str, bool], overrides: list[tuple]) -> DataFrame:
+    """Rows of leaves (``__<field>``) with ``__type``, that of its fake, ``__default`` and ``__redact``: a leaf's category must be on,
+    then an override by (section, name, value) decides, else the default. Each step is a column of its own, so that nothing is
+    worked out again wherever it is used."""
+    leaf = coded.leaf(_FIELDS)
+    section, name, value = leaf["section"], leaf["name"], leaf["value"]
+    rows = rows.withColumn("__by_path", detect.path_type(leaf["norm_path"]))
+    kind = F.col("__found")
+    rows = rows.withColumn("__found", raw.found_type(F.col("__by_path"), leaf))
+    rows = rows.withColumn("__secret", F.when((section == "url") | ((section == "body") & (kind == "url")), network.url_has_secrets(value)))
+    in_body = F.when(kind == "url", F.col("__secret")).otherwise(~kind.isin("preserve", *KEPT_TYPES))
     part = (leaf["kind"] == "string") & (value != "")
-    return F.when(section == "body", in_body).when(section == "url", network.url_has_secrets(value)).when(section != "", by_name & (_whole(leaf) | part)).otherwise(False)
+    by_name = network.default_redact(section, name, value) & (_whole(leaf) | part)
+    default = F.when(section == "body", in_body).when(section == "url", F.col("__secret")).when(section != "", by_name).otherwise(False)
+    on = F.lit(False)
+    for of, category in (*har.CATEGORIES.items(), ("url", "params")):
+        on = on | (section == of) if policy.get(category, True) else on
+    rows = rows.withColumn("__default", default).withColumn("__type", F.when(kind == "preserve", "id").otherwise(kind))
+    default = F.col("__default")
+    chosen = F.coalesce(_lookup(overrides, 3)[network.target_key(section, name, value)], default) if overrides else default
+    return rows.withColumn("__redact", on & chosen)
 
 
 def _lookup(overrides: Iterable[tuple], what: int) -> Column:
@@ -142,53 +151,42 @@ def _lookup(overrides: Iterable[tuple], what: int) -> Column:
     return F.create_map(*listed)
 
 
-def _judged(leaf: Column, policy: Mapping[str, bool], overrides: list[tuple]) -> Column:
-    """A typed leaf with ``default`` and ``redact``: its category must be on, then an override by (section, name,
-    value) decides, else the default. Its type is that of its fake, which is the same wherever the value stands."""
-    on = F.lit(False)
-    for section, category in (*har.CATEGORIES.items(), ("url", "params")):
-        on = on | (leaf["section"] == section) if policy.get(category, True) else on
-    default = default_of(leaf)
-    chosen = F.coalesce(_lookup(overrides, 3)[network.target_key(leaf["section"], leaf["name"], leaf["value"])], default) if overrides else default
-    faked = F.when(leaf["type"] == "preserve", "id").otherwise(leaf["type"])
-    return F.struct(*(leaf[n].alias(n) for n in _FIELDS), faked.alias("type"), F.lit(True).alias("anchor"), default.alias("default"), (on & chosen).alias("redact"))
+def _replaced(seed: Column | str, overrides: list[tuple]) -> Column:
+    """What a decided leaf becomes."""
+    leaf = coded.leaf((*_FIELDS, "type")) | {"anchor": F.lit(True)}
+    section, name, value = leaf["section"], leaf["name"], leaf["value"]
+    linked = (section == "url") | ((section == "body") & (leaf["type"] == "url"))
+    made = F.when(linked, network.redact_url(value, seed)).when(section == "body", raw.masked_value(leaf, seed)).otherwise(har.replacement(section, name, value, seed))
+    if overrides:
+        made = F.coalesce(_lookup(overrides, 4)[network.target_key(section, name, value)], made)
+    return F.when(F.col("__redact"), made).otherwise(value)
 
 
-def judged(leaves: Column, policy: Mapping[str, bool] = POLICY, overrides: Iterable[tuple] = ()) -> Column:
-    """The leaves of flatten() with type, default and redact."""
-    listed = list(overrides)
-    return F.transform(F.transform(leaves, _typed), lambda leaf: _judged(leaf, policy, listed))
+_HELPERS = ("__by_path", "__found", "__secret", "__default", "__type", "__redact")
 
 
-def replaced(leaf: Column, seed: Column | str = SEED, overrides: Iterable[tuple] = ()) -> Column:
-    """What a judged leaf becomes."""
-    overrides = list(overrides)
-    section, value = leaf["section"], leaf["value"]
-    in_body = F.when(leaf["type"] == "url", network.redact_url(value, seed)).otherwise(raw.masked_value(leaf, seed))
-    made = F.when(section == "body", in_body).when(section == "url", network.redact_url(value, seed)).otherwise(har.replacement(section, leaf["name"], value, seed))
-    if overrides:
-        made = F.coalesce(_lookup(overrides, 4)[network.target_key(section, leaf["name"], value)], made)
-    return F.when(leaf["redact"], made).otherwise(value)
+def _coded(entries: DataFrame, note: str) -> DataFrame:
+    def find(text: str | None) -> tuple[list[tuple] | None, list[str]]:
+        try:
+            leaves, errors, *_ = _entry(text or "")
+        except (ValueError, RecursionError) as problem:
+            return None, [str(problem)]
+        return [tuple(leaf[field] for field in _FIELDS) for leaf in leaves], errors
 
+    return coded.coded(coded.reserved(entries, *_HELPERS), "text", find, _FIELDS, StructField(note, ArrayType(StringType())))
 
-def redact(entries: DataFrame, seed: Column | str = SEED, policy: Mapping[str, bool] = POLICY, overrides: Iterable[tuple] = ()) -> DataFrame:
-    """``entries`` with the text redacted, and ``errors``; an entry that does not parse is null.
+
+def redact(entries: DataFrame, seed: str = SEED, policy: Mapping[str, bool] = POLICY, overrides: Iterable[tuple] = ()) -> DataFrame:
+    """``entries`` with the text redacted, and ``errors`` (``_errors`` where there is a column of that name); an entry that
+    does not parse is null.
 
     ``policy`` switches headers (with cookies), params (with URLs), bodies and ips. ``overrides`` are rows
     (section, name, value, redact, literal or None), a list as short as a person makes it.
     """
-    overrides = list(overrides)
-    leaves = judged(F.col("leaves"), policy, overrides)
-    flat = flatten(entries).withColumn("values", F.transform(leaves, lambda leaf: replaced(leaf, seed, overrides)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (column,) = batch.columns
-            out = [rebuild(row["text"], row["values"]) if row["values"] is not None else None for row in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["__redacted"])
-
-    made = raw._beside(flat.withColumn("__row", F.struct("text", "values")), "__row", run, "__redacted string")
-    return made.select(*(F.col("__redacted").alias(c) if c == "text" else F.col(c) for c in entries.columns), "errors")
+    overrides, note = list(overrides), coded.named(entries, "errors")
+    rows = _decided(_coded(entries, note), policy, overrides)
+    rows = rows.withColumn("__made", F.when(F.col("__at").isNotNull(), _replaced(seed, overrides)))
+    return coded.written(rows, entries.columns, "text", note, rebuild)
 
 
 def rebuild(text: str, values: list[str]) -> str:
@@ -203,7 +201,7 @@ def rebuild(text: str, values: list[str]) -> str:
             return texts.frame(guard, texts.write(parsed), chunked)
         if path in bodies and isinstance(node, str):  # not masked: as it is, whatever leaves it counts for
             inner: list[dict] = []
-            raw._walk(node, path, inner, {})
+            raw._walk(node, path, inner, None)
             for _ in inner:
                 next(left)
             return node
@@ -231,9 +229,10 @@ def values(entries: DataFrame) -> DataFrame:
 def targets(entries: DataFrame, policy: Mapping[str, bool] = POLICY, overrides: Iterable[tuple] = ()) -> DataFrame:
     """(target_key, section, name, value, default, redact, reason, occurrences): one row a target, over all surfaces."""
     overrides = list(overrides)
-    rows = flatten(entries).select(F.explode(judged(F.col("leaves"), policy, overrides)).alias("x")).where("x.section <> '' AND x.value <> ''")
-    key = network.target_key(F.col("x.section"), F.col("x.name"), F.col("x.value"))
-    rows = rows.select(key.alias("target_key"), "x.section", "x.name", "x.value", "x.default", "x.redact")
+    rows = flatten(entries).select(F.explode("leaves").alias("x")).where("x.section <> '' AND x.value <> ''").select(*(F.col(f"x.{field}").alias(f"__{field}") for field in _FIELDS))
+    rows = _decided(rows, policy, overrides)
+    key = network.target_key(F.col("__section"), F.col("__name"), F.col("__value"))
+    rows = rows.select(key.alias("target_key"), *(F.col(f"__{c}").alias(c) for c in ("section", "name", "value", "default", "redact")))
     found = rows.groupBy("target_key").agg(F.min("section").alias("section"), F.min("name").alias("name"), F.min("value").alias("value"), F.max("default").alias("default"), F.max("redact").alias("redact"), F.count("*").alias("occurrences"))
     return found.withColumn("reason", F.when(F.col("default"), reason(F.col("section"))))
 

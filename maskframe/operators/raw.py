@@ -1,7 +1,7 @@
 """The raw lane: payload texts of any shape, flattened and rebuilt with exact numbers and key order.
 
-Leaves stay in the row, so masking needs no shuffle: flatten (Arrow), decide and fake (Columns inside
-``transform``), rebuild (Arrow). Formats are those of ``sources.texts``; a text is written back in its own.
+Masking needs no shuffle: find leaves (Arrow), decide and fake each distinct leaf of a batch (Columns over rows, see
+``coded``), rebuild (Arrow). Formats are those of ``sources.texts``; a text is written back in its own.
 A text that does not parse keeps its row with an error.
 """
 
@@ -13,32 +13,39 @@ from collections.abc import Iterator, Mapping
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from maskframe.functions import detect, fakes
 from maskframe.functions.hashing import SEED, digest, number
+from maskframe.operators import coded
 from maskframe.sources import texts
 from maskframe.sources.texts import Number
 
+#: A leaf's parts as Columns, by name.
+Leaf = Mapping[str, Column]
+
 LEAF = "array<struct<path:string,norm_path:string,kind:string,value:string>>"
 RULES = "map<string,struct<type:string,anchor:boolean>>"
 
 
-def _walk(node, path: str, leaves: list, paths: dict, known: bool = True) -> None:
+def _walk(node, path: str, leaves: list, paths: dict | None, norm: str | None = None) -> None:
+    """Gather the leaves of a tree, and its paths unless ``paths`` is None; ``norm`` is the normalized path."""
+    norm = re.sub(r"\[\d+\]", "[]", path) if norm is None else norm
     if isinstance(node, dict):
         for key, value in node.items():
-            inner = f"{path}.{key}" if path else key
-            if known:
-                paths[re.sub(r"\[\d+\]", "[]", inner)] = None
-            _walk(value, inner, leaves, paths, known)
+            inner, plain = (f"{path}.{key}", f"{norm}.{key}") if path else (key, key)
+            plain = re.sub(r"\[\d+\]", "[]", plain) if "[" in key else plain
+            if paths is not None:
+                paths[plain] = None
+            _walk(value, inner, leaves, paths, plain)
     elif isinstance(node, list):
         for i, value in enumerate(node):
-            _walk(value, f"{path}[{i}]", leaves, paths, known)
+            _walk(value, f"{path}[{i}]", leaves, paths, f"{norm}[]")
     elif (inner := texts.nested(node)) is not None:
-        _walk(inner, path, leaves, paths, False)
+        _walk(inner, path, leaves, None, norm)
     elif node is not None:
         kind = "number" if isinstance(node, Number) else "boolean" if isinstance(node, bool) else "string"
-        leaves.append({"path": path, "norm_path": re.sub(r"\[\d+\]", "[]", path), "kind": kind, "value": str(node).lower() if kind == "boolean" else str(node)})
+        leaves.append({"path": path, "norm_path": norm, "kind": kind, "value": str(node).lower() if kind == "boolean" else str(node)})
 
 
 def flatten(payloads: DataFrame, text_col: str = "text") -> DataFrame:
@@ -76,42 +83,43 @@ def _beside(df: DataFrame, column: str, run, schema: str) -> DataFrame:
     return df.mapInArrow(both, StructType([*df.schema.fields, *StructType.fromDDL(schema).fields]))
 
 
-def typed_leaf(leaf: Column) -> Column:
-    """A leaf with its detected type; numbers and booleans other than ids are preserved."""
+_PARTS = ("path", "norm_path", "kind", "value", "rule", "anchor", "seed")
+
+
+def found_type(by_path: Column, leaf: Leaf) -> Column:
+    """A leaf's detected type; numbers and booleans other than ids are preserved. ``by_path`` is path_type()."""
     kind = leaf["kind"]
-    found = detect.detect(detect.path_type(leaf["norm_path"]), leaf["value"], kind)
+    found = detect.detect(by_path, leaf["value"], kind)
     kept = (kind == "boolean") | ((kind == "number") & (found != "id"))
-    return F.struct(*(leaf[n].alias(n) for n in ("path", "norm_path", "kind", "value")), F.when(kept, "preserve").otherwise(found).alias("type"), F.lit(False).alias("anchor"))
+    return F.when(kept, "preserve").otherwise(found)
 
 
-def decided_leaf(leaf: Column, rules: Column, toggles: Mapping[str, bool] | None = None) -> Column:
-    """typed_leaf() with the type and anchor of the rule of its path, else of ``*``, where ``rules`` (a map of paths)
-    has one; a toggle by path beats the rule."""
-    found = typed_leaf(leaf)
-    rule = F.coalesce(rules[leaf["norm_path"]], rules["*"])
-    ruled = F.when(rule.isNull() | rule["type"].isin("auto", "nestedJson"), found["type"]).otherwise(rule["type"])
+def decided_type(found: Column, leaf: Leaf, toggles: Mapping[str, bool] | None = None) -> Column:
+    """The type of the rule of a leaf's path, else of ``*``, else the type ``found``; a toggle by path beats the rule."""
+    ruled = F.when(leaf["rule"].isNull() | leaf["rule"].isin("auto", "nestedJson"), found).otherwise(leaf["rule"])
     if toggles:
         on = F.create_map(*(F.lit(x) for pair in toggles.items() for x in pair))[leaf["norm_path"]]
-        opted = F.when(ruled != "preserve", ruled).when(found["type"] != "preserve", found["type"]).otherwise(detect.id_like(leaf["value"], leaf["kind"]))
+        opted = F.when(ruled != "preserve", ruled).when(found != "preserve", found).otherwise(detect.id_like(leaf["value"], leaf["kind"]))
         ruled = F.when(on.isNull(), ruled).when(on, opted).otherwise("preserve")
-    return F.struct(*(found[n].alias(n) for n in ("path", "norm_path", "kind", "value")), ruled.alias("type"), F.coalesce(rule["anchor"], F.lit(False)).alias("anchor"))
+    return ruled
 
 
 def _number(value: Column, found: Column, seed: Column | str, salt: Column) -> Column:
     """A number's text with other digits; whole numbers by the bijection of the typed lane."""
-    whole = F.when(value.rlike(r"^-?\d{1,18}$"), value).try_cast("long")
+    plain = value.rlike(r"^-?\d+$")
+    whole = F.when(plain, value).try_cast("long")
     mantissa, rest = F.regexp_extract(value, r"^(-?[\d.]+)", 1), F.regexp_extract(value, r"^-?[\d.]+(.*)$", 1)
     digits = F.concat(fakes.scramble(mantissa, seed, salt), rest)
     price = fakes.amount(value.try_cast("double"), seed, salt).cast("string")
     time = (whole - (number(digest(seed, "unixTimestamp", value, salt)) % 86_400_000 + 1)).cast("string")
     made = F.when(found == "priceAmount", price).when((found == "unixTimestamp") & whole.isNotNull(), time)
-    return made.when(whole.isNotNull(), fakes.whole_number(whole, seed).cast("string")).otherwise(digits)
+    return made.when(plain, fakes.whole_text(value, seed)).otherwise(digits)
 
 
 _SCRAMBLED = ("id", "sku", "phone", "postalCode")
 
 
-def masked_value(leaf: Column, seed: Column | str = SEED, values: Mapping[str, str] | None = None) -> Column:
+def masked_value(leaf: Leaf, seed: Column | str = SEED, values: Mapping[str, str] | None = None) -> Column:
     """What a leaf with its type becomes: a literal of its path, cast to its kind, or a fake. Anchored leaves
     get the same fake wherever the value stands."""
     value, found, kind = leaf["value"], leaf["type"], leaf["kind"]
@@ -142,33 +150,40 @@ def mask(
     payloads: DataFrame, text_col: str = "text", seed: Column | str = SEED, rules: DataFrame | None = None, toggles: Mapping[str, bool] | None = None,
     values: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """``payloads`` with the text masked, in its own format, and ``error``; a text with an error is null, never
-    passed on. With ``rules`` each payload's ``endpoint_id`` names the rules that apply; a literal (``values``, by
-    path) beats a toggle, a toggle a rule, a rule generic detection."""
-    rows = payloads
+    """``payloads`` with the text masked, in its own format, and ``error`` (``_error`` where there is a column of that
+    name); a text with an error is null, never passed on. With ``rules`` each payload's ``endpoint_id`` names the rules that
+    apply; a literal (``values``, by path) beats a toggle, a toggle a rule, a rule generic detection."""
+    rows, note = coded.reserved(payloads, "__rules", "__own_seed", "__by_path", "__found", "__type"), coded.named(payloads, "error")
     if rules is not None:
         maps = rule_maps(rules).select(F.col("endpoint_id").alias("__endpoint"), F.col("rules").alias("__rules"))
         rows = rows.join(maps, F.col("endpoint_id") == F.col("__endpoint"), "left").drop("__endpoint")
     else:
         rows = rows.withColumn("__rules", F.lit(None).cast(RULES))
-    flat = flatten(rows, text_col)
-    flat = flat.withColumn("leaves", F.transform("leaves", lambda leaf: decided_leaf(leaf, F.col("__rules"), toggles)))
-    flat = flat.withColumn("values", F.transform("leaves", lambda leaf: masked_value(leaf, seed, values)))
-    return rebuilt(flat, payloads.columns, text_col)
-
-
-def rebuilt(flat: DataFrame, columns: list[str], text_col: str = "text") -> DataFrame:
-    """The columns of flatten()'s rows with the text written again with ``values`` for its leaves, and ``error``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (column,) = batch.columns
-            out = [rebuild(row["text"], row["values"]) if row["error"] is None and row["text"] is not None else None for row in column.to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["__masked"])
-
-    packed = flat.withColumn("__row", F.struct(F.col(text_col).alias("text"), "values", "error"))
-    made = _beside(packed, "__row", run, "__masked string")
-    return made.select(*(F.col("__masked").alias(c) if c == text_col else F.col(c) for c in columns), "error")
+    # A seed that differs from row to row is part of what tells leaves apart.
+    own = isinstance(seed, Column)
+    rows = rows.withColumn("__own_seed", seed.cast("string") if own else F.lit(None).cast("string"))
+
+    def find(text: str | None, listed: list | None, seeded: str | None) -> tuple[list[tuple] | None, str | None]:
+        leaves, by_path = [], dict(listed or ())
+        try:
+            parsed = texts.parse(text or "")
+            for i, doc in enumerate(parsed.documents):
+                _walk(doc, f"[{i}]" if len(parsed.documents) > 1 else "", leaves, None)
+        except (ValueError, RecursionError) as problem:
+            return None, str(problem)
+        out = []
+        for leaf in leaves:
+            rule = by_path.get(leaf["norm_path"]) or by_path.get("*") or {}
+            out.append((leaf["path"], leaf["norm_path"], leaf["kind"], leaf["value"], rule.get("type"), "true" if rule.get("anchor") else "false", seeded))
+        return out, None
+
+    flat = coded.coded(rows, text_col, find, _PARTS, StructField(note, StringType()), ("__rules", "__own_seed"))
+    leaf = coded.leaf(_PARTS) | {"anchor": F.col("__anchor") == "true", "type": F.col("__type")}
+    flat = flat.withColumn("__by_path", detect.path_type(leaf["norm_path"]))
+    flat = flat.withColumn("__found", found_type(F.col("__by_path"), leaf)).withColumn("__type", decided_type(F.col("__found"), leaf, toggles))
+    made = masked_value(leaf, leaf["seed"] if own else seed, values)
+    flat = flat.withColumn("__made", F.when(F.col("__at").isNotNull(), made))
+    return coded.written(flat, payloads.columns, text_col, note, lambda text, values: None if text is None else rebuild(text, values))
 
 
 def rebuild(text: str, values: list[str]) -> str:

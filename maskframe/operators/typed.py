@@ -38,6 +38,8 @@ def register_generator(kind: str, make: Callable[[Column, Column | str, Column],
 def _number(kind: str, value: Column, dtype: T.DataType, seed: Column | str, salt: Column) -> Column:
     if kind in ("preserve", "auto"):
         return value
+    if isinstance(dtype, T.DecimalType) and not dtype.scale and kind not in ("priceAmount", "unixTimestamp"):
+        return fakes.whole_text(value.cast("string"), seed).cast(dtype)
     if kind == "priceAmount" or isinstance(dtype, T.FractionalType):
         return fakes.amount(value.cast("double"), seed, salt).cast(dtype)
     if kind == "unixTimestamp":

@@ -43,13 +43,18 @@ def json_tree(text: str):
     return json.loads(text, parse_int=Number, parse_float=Number, parse_constant=Number, object_pairs_hook=pairs)
 
 
+_quoted = json.encoder.encode_basestring
+
+
 def json_text(node) -> str:
     """Compact JSON of a tree."""
     if isinstance(node, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{json_text(v)}" for k, v in node.items()) + "}"
+        return "{" + ",".join(f"{_quoted(k)}:{json_text(v)}" for k, v in node.items()) + "}"
     if isinstance(node, list):
         return "[" + ",".join(map(json_text, node)) + "]"
-    return str(node) if isinstance(node, Number) else json.dumps(node, ensure_ascii=False)
+    if isinstance(node, str):
+        return str(node) if isinstance(node, Number) else _quoted(node)
+    return "null" if node is None else "true" if node is True else "false" if node is False else json.dumps(node)
 
 
 def _json(text: str) -> Parsed:
