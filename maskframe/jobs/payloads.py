@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskframe.functions import fakes
 from maskframe.jobs import duck
 from maskframe.jobs.masking import read
 from maskframe.jobs.network import _payloads
 from maskframe.operators import entries, matching, raw, report, typed
-from maskframe.sources import catalog
+from maskframe.sources import catalog, logs
 
 
 def masked_payload_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,6 +87,42 @@ SELECT har_id, entry, '*/*' accept, 'Bearer ' || {duck.scramble("tok")} auth, 'd
   CASE WHEN png THEN mail ELSE lower({first}) || '.' || {rest} || '@example.com' END email, 'AT' country, true framed, CASE WHEN png THEN 1 ELSE 0 END::BIGINT skipped FROM e"""
 
 
+def har_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries redacted, written as whole logs and read back: their place in their log, and parts of them."""
+    made = entries.redact(_log_entries(spark, sf_dir))
+    folder = f"{_shared(spark)}/maskframe/logs-{uuid.uuid4().hex}"
+    head = made.select("har_id").distinct().select("har_id", F.lit('{"log":{"version":"1.2","pages":[],"entries":[').alias("head"), F.lit('],"comment":"end"}}').alias("tail"))
+    logs.write_har(made, folder, head)
+    part = lambda path: F.get_json_object("text", f"$.{path}")
+    name = F.regexp_extract("har_id", r"/[0-9a-f]{8}-([^/]*)\.obfuscated$", 1)
+    back = logs.read_har(spark, folder)
+    return back.where(~F.col("har_id").contains("/_manifest/")).select(name.alias("har_id"), F.col("entry").cast("long").alias("place"), part("request.url").alias("url"), part("serverIPAddress").alias("ip"), part("time").cast("double").alias("time"), "error")
+
+
+def _shared(spark: SparkSession) -> str:
+    """A folder that executors share."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
+def _written_sql() -> str:
+    inner = _redacted_sql()
+    return f"SELECT har_id, row_number() OVER (PARTITION BY har_id ORDER BY entry) - 1 AS place, url, ip, 1.5::DOUBLE AS \"time\", NULL::VARCHAR AS error FROM ({inner}) x"
+
+
+def leaks_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers that still stand inside texts made from orders; every tenth text was left as it was."""
+    customer = read(spark, sf_dir, "customer").select("c_custkey", "c_name", F.concat("c_name", F.lit("/"), "c_mktsegment").alias("tag"))
+    orders = read(spark, sf_dir, "orders").join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    kept = F.when(F.col("o_orderkey") % 10 == 0, F.col("tag")).otherwise(fakes.scramble(F.col("tag")))
+    texts = orders.select(F.col("o_orderkey").alias("doc_id"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" for ["), kept, F.lit("] was shipped")).alias("text"))
+    return report.leaks(customer, texts, value_col="c_name").select(F.col("value").alias("c_name"), "doc_id")
+
+
+LEAKS_IN_TEXTS = f"""WITH t AS (SELECT o_orderkey doc_id, 'order ' || o_orderkey || ' for [' || CASE WHEN o_orderkey % 10 = 0 THEN tag ELSE {duck.scramble("tag")} END || '] was shipped' AS text
+  FROM orders JOIN (SELECT c_custkey, c_name || '/' || c_mktsegment tag FROM customer) ON o_custkey = c_custkey)
+SELECT DISTINCT c_name, doc_id FROM t JOIN customer ON contains(text, c_name)"""
+
+
 def _names() -> tuple[str, ...]:
     from maskframe.functions.fakes import FIRST_NAMES
 
@@ -133,5 +172,5 @@ SELECT CASE WHEN page_id % 5 = 0 THEN 'shop/order' WHEN w IS NOT NULL THEN w WHE
 
 QUERIES = {
     "masked_payload_fields": (masked_payload_fields, _masked_sql()), "har_entries_redacted": (har_entries_redacted, _redacted_sql()),
-    "har_entry_violations": (har_entry_violations, HAR_ENTRY_VIOLATIONS), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
+    "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, HAR_ENTRY_VIOLATIONS), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
 }

@@ -207,6 +207,8 @@ def rebuild(text: str, values: list[str]) -> str:
             return node
         if isinstance(node, dict):
             return {k: again(v, f"{path}.{k}" if path else k) for k, v in node.items()}
+        if isinstance(node, texts.Pairs):
+            return texts.Pairs((k, place, again(v, f"{path}.{k}")) for k, place, v in node)
         if isinstance(node, list):
             return [again(v, f"{path}[{i}]") for i, v in enumerate(node)]
         if node is None:

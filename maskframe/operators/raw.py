@@ -38,6 +38,12 @@ def _walk(node, path: str, leaves: list, paths: dict | None, norm: str | None =
             if paths is not None:
                 paths[plain] = None
             _walk(value, inner, leaves, paths, plain)
+    elif isinstance(node, texts.Pairs):
+        for key, place, value in node:
+            inner, plain = (f"{path}.{key}", f"{norm}.{key}") if path else (key, key)
+            if paths is not None:
+                paths[plain] = None
+            _walk(value, inner if place is None else f"{inner}[{place}]", leaves, paths, plain if place is None else f"{plain}[]")
     elif isinstance(node, list):
         for i, value in enumerate(node):
             _walk(value, f"{path}[{i}]", leaves, paths, f"{norm}[]")
@@ -193,6 +199,8 @@ def rebuild(text: str, values: list[str]) -> str:
     def again(node):
         if isinstance(node, dict):
             return {k: again(v) for k, v in node.items()}
+        if isinstance(node, texts.Pairs):
+            return texts.Pairs((k, place, again(v)) for k, place, v in node)
         if isinstance(node, list):
             return list(map(again, node))
         if node is None:

@@ -75,12 +75,6 @@ def read_xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", row_tag).option("attributePrefix", "@_").option("valueTag", "#text").option("inferSchema", False).load(path)
 
 
-def read_har(spark: SparkSession, path: str) -> DataFrame:
-    """(har_id, entry, text): a row an entry, dealt out at once, since a file is one task before."""
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("har_id"), F.from_json("value", "log struct<entries:array<string>>").alias("d"))
-    return files.select("har_id", F.posexplode("d.log.entries").alias("entry", "text")).repartition("har_id", "entry")
-
-
 def read_batch(spark: SparkSession, path: str) -> DataFrame:
     """(name, size, text) of the files in a folder; of files equal in name and size the first by path stays."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)

@@ -9,8 +9,10 @@ from __future__ import annotations
 import base64
 import csv
 import io
+import itertools
 import json
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl, urlencode
 from xml.parsers import expat
@@ -28,6 +30,10 @@ class Number(str):
     """A number's own text."""
 
 
+class Pairs(list):
+    """An object whose keys repeat out of order: (key, place among its kind or None, node), in order."""
+
+
 @dataclass
 class Parsed:
     """The documents of a text, and what is needed to write them again."""
@@ -72,44 +78,50 @@ def _json(text: str) -> Parsed:
 
 def xml_tree(text: str) -> tuple[str, object]:
     """(root tag, tree): attributes under ``@_name``, text under ``#text``; a repeated tag becomes a list."""
-    stack: list[tuple[str, dict, list[str]]] = [("", {}, [])]
+    stack: list[tuple[list, list[str]]] = [([], [])]
 
     def start(tag: str, attributes: dict) -> None:
-        stack.append((tag, {ATTRIBUTE + k: v for k, v in attributes.items()}, []))
+        stack.append(([(ATTRIBUTE + k, v) for k, v in attributes.items()], []))
 
     def end(tag: str) -> None:
-        _, node, words = stack.pop()
+        children, words = stack.pop()
         text = "".join(words).strip()
-        value = ({**node, TEXT: text} if text else node) if node else text
-        parent = stack[-1][1]
-        if tag in FORBIDDEN:
-            return
-        if tag not in parent:
-            parent[tag] = value
-        elif isinstance(parent[tag], list):
-            parent[tag].append(value)
-        else:
-            parent[tag] = [parent[tag], value]
+        if tag not in FORBIDDEN:
+            stack[-1][0].append((tag, _element(children + [(TEXT, text)] * bool(text)) if children else text))
 
     parser = expat.ParserCreate()
     parser.StartElementHandler, parser.EndElementHandler = start, end
-    parser.CharacterDataHandler = lambda data: stack[-1][2].append(data)
+    parser.CharacterDataHandler = lambda data: stack[-1][1].append(data)
     try:
         parser.Parse(text, True)
     except expat.ExpatError as error:
         raise ValueError(f"xml: {error}") from None
-    ((tag, tree),) = stack[0][1].items()
+    ((tag, tree),) = stack[0][0]
     return tag, tree
 
 
+def _element(children: list[tuple]) -> dict | Pairs:
+    """Repeated tags side by side become a list; where others stand between them, all stay in their order."""
+    runs = [(key, [value for _, value in some]) for key, some in itertools.groupby(children, key=lambda child: child[0])]
+    if len({key for key, _ in runs}) == len(runs):
+        return {key: values[0] if len(values) == 1 else values for key, values in runs}
+    count, place = Counter(key for key, _ in children), Counter()
+    out = Pairs()
+    for key, value in children:
+        out.append((key, place[key] if count[key] > 1 else None, value))
+        place[key] += 1
+    return out
+
+
 def xml_text(tag: str, node) -> str:
     """An element of a tree."""
-    if isinstance(node, list):
+    if isinstance(node, list) and not isinstance(node, Pairs):
         return "".join(xml_text(tag, item) for item in node)
-    if not isinstance(node, dict):
+    if not isinstance(node, dict | Pairs):
         return f"<{tag}>{escape(str(node))}</{tag}>" if node not in ("", None) else f"<{tag}/>"
-    attributes = "".join(f" {k[len(ATTRIBUTE) :]}={quoteattr(str(v))}" for k, v in node.items() if k.startswith(ATTRIBUTE))
-    inner = escape(str(node.get(TEXT, ""))) + "".join(xml_text(k, v) for k, v in node.items() if k != TEXT and not k.startswith(ATTRIBUTE))
+    items = [(k, v) for k, _, v in node] if isinstance(node, Pairs) else list(node.items())
+    attributes = "".join(f" {k[len(ATTRIBUTE) :]}={quoteattr(str(v))}" for k, v in items if k.startswith(ATTRIBUTE))
+    inner = "".join(escape(str(v)) for k, v in items if k == TEXT) + "".join(xml_text(k, v) for k, v in items if k != TEXT and not k.startswith(ATTRIBUTE))
     return f"<{tag}{attributes}>{inner}</{tag}>" if inner else f"<{tag}{attributes}/>"
 
 
@@ -128,13 +140,20 @@ def _unwrapped(packed: str) -> str | None:
 
 
 def _form(text: str) -> Parsed:
-    pairs = dict(parse_qsl(text, keep_blank_values=True))
+    listed = parse_qsl(text, keep_blank_values=True)
+    pairs = dict(listed)
     inner = _unwrapped(pairs[PAYLOAD].replace(" ", "+")) if PAYLOAD in pairs else _unwrapped(text)
     if inner is not None:
         return _xml(inner, {"wrapper": "form" if PAYLOAD in pairs else "bare"})
     if "=" not in text:
         raise ValueError("neither a form nor wrapped XML")
-    return Parsed("form", [{k: v for k, v in pairs.items() if k not in FORBIDDEN}])
+    return Parsed("form", [_record(listed)])
+
+
+def _record(listed: list[tuple[str, str]]) -> dict | Pairs:
+    """Named cells without forbidden names; names that repeat keep all their cells."""
+    kept = [(k, v) for k, v in listed if k not in FORBIDDEN]
+    return dict(kept) if len(dict(kept)) == len(kept) else Pairs((k, None, v) for k, v in kept)
 
 
 def delimiter_of(header: str) -> str:
@@ -148,7 +167,7 @@ def _csv(text: str) -> Parsed:
     mark = delimiter_of(text.split("\n", 1)[0])
     rows = [row for row in csv.reader(io.StringIO(text, newline=""), delimiter=mark) if any(cell != "" for cell in row)]
     names = rows[0]
-    documents = [{k: v for k, v in zip(names, [*row, *[""] * len(names)], strict=False) if k not in FORBIDDEN} for row in rows[1:]]
+    documents = [_record(list(zip(names, [*row, *[""] * len(names)], strict=False))) for row in rows[1:]]
     return Parsed("csv", [documents], {"names": [n for n in names if n not in FORBIDDEN], "mark": mark, "end": "\r\n" if "\r\n" in text else "\n"})
 
 
@@ -184,10 +203,11 @@ def write(parsed: Parsed) -> str:
         packed = base64.b64encode(text.encode()).decode()
         return packed if state["wrapper"] == "bare" else urlencode({SIGNATURE: PLACEHOLDER, PAYLOAD: packed})
     if parsed.format == "form":
-        return urlencode(docs[0])
+        return urlencode([(k, v) for k, _, v in docs[0]] if isinstance(docs[0], Pairs) else docs[0])
     if parsed.format == "csv":
         quoted = lambda cell: '"' + cell.replace('"', '""') + '"' if re.search('["\r\n\t,;]', cell) else cell
-        lines = [state["names"], *([str(row.get(n, "")) for n in state["names"]] for row in docs[0])]
+        cells = lambda row: [str(v) for _, _, v in row] if isinstance(row, Pairs) else [str(row.get(n, "")) for n in state["names"]]
+        lines = [state["names"], *map(cells, docs[0])]
         return state["end"].join(state["mark"].join(map(quoted, line)) for line in lines) + state["end"]
     return "\n".join(map(json_text, docs))
 
