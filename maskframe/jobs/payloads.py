@@ -99,6 +99,53 @@ def har_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where(~F.col("har_id").contains("/_manifest/")).select(name.alias("har_id"), F.col("entry").cast("long").alias("place"), part("request.url").alias("url"), part("serverIPAddress").alias("ip"), part("time").cast("double").alias("time"), "error")
 
 
+def har_entry_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Targets over all surfaces of the entries but the plain numbers of bodies, with replacement, reason and places."""
+    found = entries.targets(_log_entries(spark, sf_dir)).where("name <> 'value'")
+    places = F.array_join(F.transform("locations", lambda x: F.concat_ws("/", x["har_id"], x["entry"].cast("string"))), " ")
+    return found.select("section", "name", "original", "replacement", "redact", "reason", "occurrences", places.alias("places"))
+
+
+def _targets_sql() -> str:
+    mail = duck.pick(_names(), duck.number(duck.digest("email", "v")))
+    made = f"""CASE s WHEN 'email' THEN lower({mail}) || '.' || substr({duck.digest("email", "v")}, 9, 8) || '@example.com' WHEN 'sig' THEN split_part(v, '=', 1) || '=' || {duck.scramble("split_part(v, '=', 2)")}
+    WHEN 'auth' THEN 'Bearer ' || {duck.scramble("substr(v, 8)")} WHEN 'ip' THEN {duck.replacement("'ip'", "''", "v")} WHEN 'secret' THEN {duck.scramble("v")} ELSE v END"""
+    return f"""WITH e AS (SELECT event_id AS e, 'log-' || user_id h, user_id u FROM events),
+l AS (SELECT e, h, unnest([{{'s': '', 'section': 'header', 'name': 'accept', 'v': '*/*', 'r': NULL}}, {{'s': '', 'section': 'header', 'name': 'Server', 'v': 'x', 'r': NULL}}, {{'s': '', 'section': 'cookie', 'name': 'theme', 'v': 'dark', 'r': NULL}},
+  {{'s': '', 'section': 'param', 'name': 'page', 'v': '2', 'r': NULL}}, {{'s': 'auth', 'section': 'header', 'name': 'Authorization', 'v': 'Bearer ' || md5(CAST(u AS VARCHAR)), 'r': 'credential header'}},
+  {{'s': 'secret', 'section': 'cookie', 'name': 'session_id', 'v': md5('s' || u), 'r': 'session or token cookie'}}, {{'s': 'secret', 'section': 'param', 'name': 'clientSecret', 'v': 'k' || u, 'r': 'secret parameter'}},
+  {{'s': 'sig', 'section': 'url', 'name': 'request.url', 'v': 'https://api.example.com/v1/events/' || e || '?sig=' || md5(CAST(e AS VARCHAR)), 'r': 'secrets in the URL'}},
+  {{'s': 'ip', 'section': 'ip', 'name': 'serverIPAddress', 'v': '93.184.216.' || (e % 200), 'r': 'public address'}}, {{'s': 'email', 'section': 'body', 'name': 'email', 'v': 'u' || u || '@corp.test', 'r': 'personal data in a body'}},
+  {{'s': '', 'section': 'body', 'name': 'countryCode', 'v': 'AT', 'r': NULL}}]) x FROM e),
+k AS (SELECT e, h, x.* FROM l WHERE NOT (x.section = 'body' AND e % 7 = 0)),
+g AS (SELECT s, section, name, v, any_value(r) r, count(*) n, list(h || '/' || e ORDER BY h, e)[1:20] p FROM k GROUP BY ALL)
+SELECT section, name, v AS original, {made} AS replacement, s <> '' AS redact, r AS reason, n AS occurrences, array_to_string(p, ' ') places FROM g"""
+
+
+def field_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How the fields of customers and their orders are decided under a rule, a toggle, a literal and detection."""
+    orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
+    rows = read(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select(
+        F.col("c_custkey").alias("doc"), F.struct(F.col("c_custkey").alias("customer_id"), F.col("c_name").alias("name"), F.concat(F.lit("u"), "c_custkey", F.lit("@corp.test")).alias("email"),
+        F.col("c_mktsegment").alias("segment"), F.col("c_acctbal").alias("balance"), F.col("n_orders")).alias("c"))
+    rules = spark.createDataFrame([("c.customer_id", "id"), ("c.segment", "shortText"), ("c.balance", "priceAmount")], "path string, type string")
+    leaves = typed.leaves(rows, "doc").where("norm_path <> 'doc'")
+    return report.field_decisions(report.decided(leaves, rules, {"c.segment": False, "c.n_orders": True}, {"c.name": "Someone", "c.balance": "no number"}))
+
+
+def _decisions_sql() -> str:
+    rows = [
+        ("c.customer_id", "CAST(c_custkey AS VARCHAR)", "'id'", "'id'", "'rule'"), ("c.name", "c_name", "CASE WHEN regexp_matches(c_name, ' ') THEN 'preserve' ELSE 'id' END", "'custom'", "'literal'"),
+        ("c.email", "'u' || c_custkey || '@corp.test'", "'email'", "'email'", "'generic'"), ("c.segment", "c_mktsegment", "'shortText'", "'preserve'", "'toggle'"),
+        ("c.balance", "CAST(c_acctbal AS VARCHAR)", "'priceAmount'", "'priceAmount'", "'rule'"), ("c.n_orders", "CAST(k AS VARCHAR)", "'preserve'", "'id'", "'toggle'"),
+    ]
+    each = " UNION ALL ".join(
+        f"SELECT c_custkey d, '{path}' norm_path, {value} v, {default} t, {effective} f, {source} s FROM c" + (" WHERE k IS NOT NULL" if path == "c.n_orders" else "") for path, value, default, effective, source in rows
+    )
+    return f"""WITH c AS (SELECT * FROM customer LEFT JOIN (SELECT o_custkey, count(*) k FROM orders GROUP BY 1) ON c_custkey = o_custkey), l AS ({each})
+SELECT norm_path, arg_min(t, d) default_type, arg_min(f, d) effective_type, arg_min(s, d) AS source, arg_min(s IN ('literal', 'toggle'), d) overridden, arg_min(v, d) first_original, count(*) n FROM l GROUP BY norm_path"""
+
+
 def _shared(spark: SparkSession) -> str:
     """A folder that executors share."""
     return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
@@ -172,5 +219,5 @@ SELECT CASE WHEN page_id % 5 = 0 THEN 'shop/order' WHEN w IS NOT NULL THEN w WHE
 
 QUERIES = {
     "masked_payload_fields": (masked_payload_fields, _masked_sql()), "har_entries_redacted": (har_entries_redacted, _redacted_sql()),
-    "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, HAR_ENTRY_VIOLATIONS), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
+    "har_entry_targets": (har_entry_targets, _targets_sql()), "field_decisions": (field_decisions, _decisions_sql()), "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, HAR_ENTRY_VIOLATIONS), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
 }

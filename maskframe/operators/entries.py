@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, StringType, StructField
 
 from maskframe.functions import detect, network
 from maskframe.functions.hashing import SEED
+from maskframe.functions.paths import truncated
 from maskframe.operators import coded, har, raw
 from maskframe.sources import texts
 
@@ -228,14 +229,85 @@ def values(entries: DataFrame) -> DataFrame:
     return rows.select("har_id", "entry", "x.section", "x.name", "x.value", "method", "url")
 
 
-def targets(entries: DataFrame, policy: Mapping[str, bool] = POLICY, overrides: Iterable[tuple] = ()) -> DataFrame:
-    """(target_key, section, name, value, default, redact, reason, occurrences): one row a target, over all surfaces."""
+_PLACE = "struct<har_id:string,entry:bigint,method:string,url:string>"
+
+
+def _occurrences(entries: DataFrame, count: int) -> DataFrame:
+    """(__<field>, n, places): of each batch's distinct targets how often they stand there, and the first ``count`` entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: dict[tuple, list] = {}
+            for har_id, entry, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                try:
+                    leaves, _, tree, _ = _entry(text or "")
+                except (ValueError, RecursionError):
+                    continue
+                request = tree.get("request") if isinstance(tree.get("request"), dict) else {}
+                method, url = (str(request[k]) if isinstance(request.get(k), str) else None for k in ("method", "url"))
+                place = {"har_id": har_id, "entry": entry, "method": method, "url": url}
+                for leaf in leaves:
+                    if leaf["section"] and leaf["value"]:
+                        held = found.setdefault(tuple(leaf[field] for field in ("section", "name", "value", "norm_path", "kind", "path")), [0, {}])
+                        held[0] += 1
+                        held[1][har_id, entry] = place
+            rows = [(*key, n, [places[k] for k in sorted(places, key=_least)[:count]]) for key, (n, places) in found.items()]
+            columns = list(zip(*rows, strict=True)) or [()] * len(schema)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, schema.types, strict=True)], schema=schema)
+
+    text = [(f"__{field}", pa.string()) for field in ("section", "name", "value", "norm_path", "kind", "path")]
+    schema = pa.schema([*text, ("n", pa.int64()), ("places", pa.list_(pa.struct([("har_id", pa.string()), ("entry", pa.int64()), ("method", pa.string()), ("url", pa.string())])))])
+    ddl = ", ".join(f"{name} string" for name, _ in text) + f", n long, places array<{_PLACE}>"
+    return entries.select(F.col("har_id").cast("string"), F.col("entry").cast("long"), "text").mapInArrow(run, ddl)
+
+
+def _least(place: tuple) -> tuple:
+    return tuple((x is None, x if x is not None else "") for x in place)
+
+
+def targets(entries: DataFrame, policy: Mapping[str, bool] = POLICY, overrides: Iterable[tuple] = (), seed: str = SEED, locations: int = har.LOCATIONS) -> DataFrame:
+    """(target_key, section, name, original, replacement, default, redact, reason, occurrences, locations): one row a target, over all
+    surfaces, bodies and URLs too. ``locations`` are its first entries by (har_id, entry), 20 at most; original and replacement
+    are cut at 512 characters.
+
+    Each batch counts its targets and keeps their first entries; these rows are shuffled once, by target, and merged in a
+    stream, so that a header of every entry costs one row a batch and its task holds twenty places, not all."""
     overrides = list(overrides)
-    rows = flatten(entries).select(F.explode("leaves").alias("x")).where("x.section <> '' AND x.value <> ''").select(*(F.col(f"x.{field}").alias(f"__{field}") for field in _FIELDS))
-    rows = _decided(rows, policy, overrides)
-    key = network.target_key(F.col("__section"), F.col("__name"), F.col("__value"))
-    rows = rows.select(key.alias("target_key"), *(F.col(f"__{c}").alias(c) for c in ("section", "name", "value", "default", "redact")))
-    found = rows.groupBy("target_key").agg(F.min("section").alias("section"), F.min("name").alias("name"), F.min("value").alias("value"), F.max("default").alias("default"), F.max("redact").alias("redact"), F.count("*").alias("occurrences"))
+    section, name, value = F.col("__section"), F.col("__name"), F.col("__value")
+    rows = _decided(_occurrences(entries, locations), policy, overrides)
+    made = rows.withColumn("__made", _replaced(seed, overrides)).select(
+        network.target_key(section, name, value).alias("target_key"), section.alias("section"), name.alias("name"), truncated(value, har.SHOWN).alias("original"),
+        truncated(F.col("__made"), har.SHOWN).alias("replacement"), F.col("__default").alias("default"), F.col("__redact").alias("redact"), "n", "places",
+    )
+    dealt = made.repartition("target_key").sortWithinPartitions("target_key", F.col("name"))
+    flags = ("default", "redact")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: dict | None = None
+
+        def closed(row: dict) -> pa.RecordBatch:
+            row["locations"] = [row["locations"][k] for k in sorted(row["locations"], key=_least)]
+            return pa.RecordBatch.from_pylist([row], schema=schema)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                n, places = row.pop("n"), {(p["har_id"], p["entry"]): p for p in row.pop("places")}
+                if now is None or now["target_key"] != row["target_key"]:
+                    if now is not None:
+                        yield closed(now)
+                    now = {**row, "occurrences": 0, "locations": {}}
+                now["occurrences"] += n
+                if row["redact"] and not now["redact"]:
+                    now["replacement"] = row["replacement"]
+                now |= {flag: now[flag] or row[flag] for flag in flags}
+                both = now["locations"] | places
+                now["locations"] = {k: both[k] for k in sorted(both, key=_least)[:locations]}
+        if now is not None:
+            yield closed(now)
+
+    place = pa.struct([("har_id", pa.string()), ("entry", pa.int64()), ("method", pa.string()), ("url", pa.string())])
+    schema = pa.schema([*((c, pa.string()) for c in ("target_key", "section", "name", "original", "replacement")), *((c, pa.bool_()) for c in flags), ("occurrences", pa.int64()), ("locations", pa.list_(place))])
+    found = dealt.mapInArrow(merge, f"target_key string, section string, name string, original string, replacement string, default boolean, redact boolean, occurrences long, locations array<{_PLACE}>")
     return found.withColumn("reason", F.when(F.col("default"), reason(F.col("section"))))
 
 

@@ -119,3 +119,31 @@ def test_leaks_equal_all_pairs(spark):
     found = report.leaks(spark.createDataFrame([(v,) for v in values * 2], "value string"), spark.createDataFrame(docs, "doc_id long, text string"))
     want = {(v, i) for v, (i, t) in itertools.product(values, docs) if v and len(v) >= 8 and t and i is not None and v in t}
     assert sorted(map(tuple, found.collect())) == sorted(want)
+
+
+def test_targets_merge_over_batches(spark):
+    """Small batches in several tasks: counts add up, the first twenty entries are kept in order."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
+    entry = lambda i: json.dumps({"request": {"method": "GET", "url": f"/p{i}", "headers": [{"name": "Cookie" if i % 2 else "cookie", "value": "a=1"}, {"name": "x", "value": f"v{i % 3}"}]}})
+    df = spark.createDataFrame([(f"log{i % 4}", i, entry(i)) for i in range(300)] + [("log0", 500, "{"), (None, None, entry(0))], "har_id string, entry long, text string").repartition(5)
+    found = {(r.section, r["name"].lower(), r.original): r for r in entries.targets(df).collect()}
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    cookie = found["header", "cookie", "a=1"]
+    order = sorted((f"log{i % 4}", i) for i in range(300))
+    assert cookie.occurrences == 301 and [(x.har_id, x.entry) for x in cookie.locations] == order[:20] and cookie.redact and cookie.replacement != "a=1"
+    assert {k[2]: found[k].occurrences for k in found if k[1] == "x"} == {"v0": 101, "v1": 100, "v2": 100}
+    assert len(found) == 4 + 300  # the URLs stand once each, "/p0" twice
+
+
+def test_decisions_by_source(spark):
+    leaves = raw.flatten(spark.createDataFrame([(1, '{"a": {"id": "Cus_1234", "n": 5, "email": "a@b.co", "t": true, "z": "x"}}')], "doc_id int, text string"))
+    rows = leaves.select("doc_id", F.posexplode("leaves").alias("ord", "l")).select("doc_id", "ord", "l.*")
+    rules = spark.createDataFrame([("a.id", "sku"), ("a.email", "preserve"), ("a.n", "auto")], "path string, type string")
+    made = report.decided(rows, rules, {"a.email": True, "a.id": False, "a.t": True}, {"a.n": "7", "a.t": "maybe", "a.z": "y"})
+    got = {r.norm_path: (r.default_type, r.effective_type, r.source, r.overridden) for r in made.collect()}
+    assert got == {
+        "a.id": ("sku", "preserve", "toggle", True), "a.n": ("preserve", "custom", "literal", True), "a.email": ("preserve", "email", "toggle", True), "a.t": ("preserve", "boolean", "toggle", True), "a.z": ("preserve", "custom", "literal", True),
+    }
+    starred = report.decided(rows, rules.union(spark.createDataFrame([("*", "shortText")], rules.schema)))
+    assert {r.norm_path: r.source for r in starred.collect()} == {"a.id": "rule", "a.n": "generic", "a.email": "rule", "a.t": "rule", "a.z": "rule"}
+    assert report.decision_stats(made).first().asDict() == {"transformed": 4, "preserved": 1, "from_generic": 0, "overridden": 5, "leaves": 5}

@@ -74,6 +74,7 @@ def test_entries(spark, tmp_path):
     assert json.loads(rows[1].text) == picture and rows[1].errors and rows[2].text is None and rows[2].errors
     found = {(r.section, r["name"]): r for r in entries.targets(df).collect()}
     assert found["ip", "serverIPAddress"].reason == "public address" and found["header", "accept"].redact is False and found["body", "email"].redact
+    assert found["param", "secret"].original == "s3cr3t" != found["param", "secret"].replacement and [(x.entry, x.method) for x in found["ip", "serverIPAddress"].locations] == [(0, "GET")]
     lacking = df.where("entry = 0").select(entries.violations(F.col("text")).alias("v")).first().v
     assert "startedDateTime" in lacking and "request.method" not in lacking
     entries.write(df, str(tmp_path / "log"))
