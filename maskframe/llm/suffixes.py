@@ -27,6 +27,7 @@ cross documents; an empty table gives an empty result; other columns are ignored
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -127,9 +128,11 @@ class Block:
         share = -np.expm1((self.threshold - self.digit_bytes + 1) * np.log1p(-digit.astype(np.float64) / (1 << _DIGIT_BITS)))
         return np.minimum((share * self.buckets).astype(np.uint64), np.uint64(self.buckets - 1))
 
+    @cached_property
     def digits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First pass: order of the runs, heads, distinct digits, and whether two documents here share one."""
-        order = np.argsort(self.digit, kind="stable")
+        """First pass: order of the runs, heads, distinct digits, and whether two documents here share one. Runs of one
+        digit are in no order."""
+        order = np.argsort(self.digit)
         digit, rank = self.digit[order], self.rank[order]
         heads = np.flatnonzero(_heads(digit))
         many = np.minimum.reduceat(rank, heads) != np.maximum.reduceat(rank, heads) if len(heads) else np.zeros(0, bool)
@@ -137,7 +140,7 @@ class Block:
 
     def open_runs(self, elsewhere: np.ndarray) -> None:
         """Second pass: keeps the runs whose digit another document has, sorted, one key each."""
-        order, heads, _, many = self.digits()
+        order, heads, _, many = self.digits
         keep = order[np.repeat(elsewhere | many, np.diff(np.append(heads, len(order))))]
         self.run = keep[np.lexsort((self.rank[keep], self.whole[keep], self.digit[keep]))]
         heads = _heads(self.digit[self.run], self.whole[self.run])
@@ -286,10 +289,10 @@ def repeated(
                     row = batch.slice(i, 1).to_pylist()[0]
                     b = Block(row["ids"], row["sizes"], expand(row["text"]), threshold, digit, buckets)
                     if not passes:
-                        found = b.digits()[2]
+                        found = b.digits[2]
                         yield _rows(row["block"], b.bucket(found), [(found, True)])
                         continue
-                    b.open_runs(_flags(row["bits1"], _counts(b.bucket(b.digits()[2])), 1)[0])
+                    b.open_runs(_flags(row["bits1"], _counts(b.bucket(b.digits[2])), 1)[0])
                     bucket = b.bucket(b.digit[b.run_head])
                     if passes == 1:
                         yield _rows(row["block"], bucket, [(b.digit[b.run_head], True), (b.whole[b.run_head], False), (b.rank[b.run_head], False)])
