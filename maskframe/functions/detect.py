@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from maskframe.functions.paths import snake, tail
 
 # ---- Fixed values: keys, placeholders and shapes that decide the type of a field ----
+# Keys are listed one by one and not as patterns, as equality with a list (isin) is one hash lookup a value.
 PLACEHOLDERS = ("", "n/a", "na", "none", "null", "nil", "undefined", "unknown", "-", "—")
 HANDLE_KEYS = ("username", "user_name", "screenname", "screen_name", "displayname", "display_name", "handle", "login", "nick", "nickname", "prefixedname", "prefixed_name")
 ID_KEYS = (
@@ -53,6 +54,9 @@ ISO_DATE = r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?(?:Z|[+-]\
 CARD = r"^\d{13,19}$"
 PHONE = r"^\+?[\d\s\-().]{7,}$"
 PERSON = r"^\p{Lu}[\p{L}'.-]*(?: \p{Lu}[\p{L}'.-]*){1,3}$"
+LABEL = "^[a-z]+(?:[-_][a-z]+)*$"
+PHONE_MARK = r"[+\s\-().]"
+HANDLE = "[_0-9]"
 # ---- End of fixed values ----
 
 
@@ -77,7 +81,7 @@ def path_type(path: Column) -> Column:
 
 def id_like_key_value(value: Column, is_string: Column) -> Column:
     """Whether a value under an id key is an identifier and not a label or a small number."""
-    label = value.rlike("^[a-z]+(?:[-_][a-z]+)*$")
+    label = value.rlike(LABEL)
     return F.when(is_string, (F.length(value) >= 4) & ~label).otherwise(F.coalesce(value.try_cast("double") >= 1000, F.lit(False)))
 
 
@@ -104,7 +108,7 @@ def value_tests(value: Column) -> list[tuple[Column, str]]:
     """(condition, type) in order; the first that holds is the type of a whole string."""
     digits = F.length(F.regexp_replace(value, "[^0-9]", ""))
     card = value.rlike(CARD) & F.call_function("luhn_check", F.when(value.rlike(CARD), value))
-    phone = value.rlike(PHONE) & value.rlike(r"[+\s\-().]") & digits.between(7, 15)
+    phone = value.rlike(PHONE) & value.rlike(PHONE_MARK) & digits.between(7, 15)
     shapes = [(EMAIL, "email"), (JWT, "id"), (UUID, "uuid"), (LONG_HEX, "id"), (IPV4, "ipv4"), (URL, "url"), (ISO_DATE, "isoDate")]
     return [*((value.rlike(pattern), kind) for pattern, kind in shapes), (card, "redact"), (phone, "phone")]
 
@@ -120,7 +124,7 @@ def value_type(value: Column) -> Column:
 def name_tests(value: Column) -> list[tuple[Column, str]]:
     """Tests of the value under a bare ``name``: a person, or a handle."""
     trimmed = F.trim(value)
-    return [(trimmed.rlike(PERSON), "fullName"), ((F.length(trimmed) >= 5) & ~trimmed.rlike(r"\s") & trimmed.rlike("[_0-9]"), "id")]
+    return [(trimmed.rlike(PERSON), "fullName"), ((F.length(trimmed) >= 5) & ~trimmed.rlike(r"\s") & trimmed.rlike(HANDLE), "id")]
 
 
 def is_placeholder(value: Column) -> Column:
