@@ -11,7 +11,7 @@ from maskframe.functions import fakes
 from maskframe.jobs import duck
 from maskframe.jobs.masking import read
 from maskframe.jobs.network import _payloads
-from maskframe.operators import entries, matching, raw, report, typed
+from maskframe.operators import entries, matching, raw, report, shape, typed
 from maskframe.sources import catalog, logs
 
 
@@ -200,6 +200,46 @@ UNION ALL SELECT 'items', 'array', k, o.n, k < o.n FROM o, l UNION ALL SELECT 'i
 UNION ALL SELECT 'items[].line', 'number', l.n, l.n, false FROM l UNION ALL SELECT 'items[].discount', 'number', d, l.n, d < l.n FROM l"""
 
 
+def _order_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text): an order with its line items by number; even ids write nulls, odd ones leave them out."""
+    line = F.struct(F.col("l_linenumber").alias("line"), F.when(F.col("l_discount") > 0.05, F.col("l_discount")).alias("discount"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("items"))
+    orders = read(spark, sf_dir, "orders").join(lines, F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    status, priority = F.when(F.col("o_orderstatus") != "O", F.col("o_orderstatus")), F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    items = F.coalesce("items", F.array().cast("array<struct<line:int,discount:double>>"))
+    doc = F.struct(F.col("o_orderkey").alias("id"), status.alias("status"), F.col("o_totalprice").alias("price"), priority.alias("priority"), items.alias("items"))
+    text = F.when(F.col("o_orderkey") % 2 == 0, F.to_json(doc, {"ignoreNullFields": "false"})).otherwise(F.to_json(doc))
+    return orders.select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+
+
+def payload_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The kinds of every node of the orders' texts, and where a key is missing from some object."""
+    found = shape.lattice(shape.counts(_order_texts(spark, sf_dir)))
+    return found.select("norm_path", F.array_join("kinds", "|").alias("kinds"), "n", "of", "optional")
+
+
+_ORDER_PARTS = """WITH o AS (SELECT o_orderkey k, o_orderkey % 2 = 0 AS e, o_totalprice v, CASE WHEN o_orderstatus <> 'O' THEN o_orderstatus END s, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END p FROM orders),
+l AS (SELECT k, e, l_linenumber n, CASE WHEN l_discount > 0.05 THEN l_discount END d FROM lineitem JOIN o ON l_orderkey = k)"""
+
+PAYLOAD_LATTICE = f"""{_ORDER_PARTS}, a AS (SELECT count(*) n FROM o), b AS (SELECT count(*) n FROM l),
+f AS (SELECT 'status' p, 'string' t, s IS NOT NULL AS v, e FROM o UNION ALL SELECT 'priority', 'string', p IS NOT NULL, e FROM o UNION ALL SELECT 'items[].discount', 'number', d IS NOT NULL, e FROM l),
+g AS (SELECT p, concat_ws('|', CASE WHEN bool_or(v) THEN any_value(t) END, CASE WHEN bool_or(NOT v AND e) THEN 'null' END) kinds, count(*) FILTER (v OR e) n, count(*) "of" FROM f GROUP BY p)
+SELECT p norm_path, kinds, n, "of", n < "of" AS optional FROM g UNION ALL SELECT '', 'object', n, n, false FROM a UNION ALL SELECT 'id', 'integer', n, n, false FROM a
+UNION ALL SELECT 'price', CASE WHEN (SELECT bool_or(v <> floor(v)) FROM o) THEN 'number' ELSE 'integer' END, n, n, false FROM a UNION ALL SELECT 'items', 'array', n, n, false FROM a
+UNION ALL SELECT 'items[]', 'object', b.n, a.n, false FROM a, b UNION ALL SELECT 'items[].line', 'integer', n, n, false FROM b"""
+
+
+def payload_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each place of the orders' texts that a declared shape does not allow, inside line items too."""
+    wanted = shape.declare(spark, {"id": "integer", "status": "string", "price": "number", "items[].line": "integer", "items[].discount": "number"})
+    return shape.validate(_order_texts(spark, sf_dir), wanted)
+
+
+PAYLOAD_VIOLATIONS = f"""{_ORDER_PARTS}, i AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n, d NULLS FIRST) - 1 AS i FROM l)
+SELECT k doc_id, 'status' AS path, CASE WHEN e THEN 'wrong kind' ELSE 'missing' END problem FROM o WHERE s IS NULL UNION ALL SELECT k, 'priority', 'unknown path' FROM o WHERE e OR p IS NOT NULL
+UNION ALL SELECT k, 'items[' || i || '].discount', CASE WHEN e THEN 'wrong kind' ELSE 'missing' END FROM i WHERE d IS NULL"""
+
+
 def resolved_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by the endpoint that they name, that their URL or that their paths give, and how it was found."""
     endpoints, signatures, _ = catalog.tables(spark, catalog.SAMPLE)
@@ -220,4 +260,5 @@ SELECT CASE WHEN page_id % 5 = 0 THEN 'shop/order' WHEN w IS NOT NULL THEN w WHE
 QUERIES = {
     "masked_payload_fields": (masked_payload_fields, _masked_sql()), "har_entries_redacted": (har_entries_redacted, _redacted_sql()),
     "har_entry_targets": (har_entry_targets, _targets_sql()), "field_decisions": (field_decisions, _decisions_sql()), "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, HAR_ENTRY_VIOLATIONS), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
+    "payload_lattice": (payload_lattice, PAYLOAD_LATTICE), "payload_violations": (payload_violations, PAYLOAD_VIOLATIONS),
 }

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -113,6 +117,45 @@ def resolve_endpoint(docs: DataFrame, by_url: DataFrame, by_signature: DataFrame
     return joined.select("doc_id", F.coalesce("endpoint_id", "u", "s").alias("endpoint_id"), how.alias("how"))
 
 
+#: What a sample's field holds, by the type of its rule; all other types hold a text of their own.
+_HELD = {"boolean": True, "priceAmount": 4242.42, "null": None}
+
+
+def _sample(fields: list[tuple[str, str | None]]) -> str:
+    """One document with a value at each path; a path that others go through is a container."""
+    root: dict = {}
+    for number, (path, kind) in enumerate(sorted(fields, key=lambda f: (f[0], f[1] or ""))):
+        node = root
+        for part in re.findall(r"\[\]|[^.\[\]]+", path):
+            node = node.setdefault(part, {})
+        inner = f"sample{number}@example.test"
+        node.setdefault("", json.dumps({"email": inner}) if kind == "nestedJson" else _HELD.get(kind, f"Sample{number}Zqx"))
+
+    def built(node: dict):
+        if not node.keys() - {""}:
+            return node.get("")
+        items = [built(node["[]"])] if "[]" in node else None
+        fields = {k: built(v) for k, v in node.items() if k not in ("", "[]")}
+        return items if items is not None and not fields else fields
+
+    return json.dumps(built(root) if root else {})
+
+
+def sample_documents(rules: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(endpoint_id, text): a JSON document an endpoint with every path of its rules and of its signature, required or
+    optional, assembled along the trie of the paths. The catalog's own test is that each is matched to its endpoint and is
+    changed by masking. An endpoint without paths has none; rows without an endpoint or a path are left out; of repeated
+    paths the least type counts."""
+    listed = rules.where("path <> '*'").select("endpoint_id", "path", "type").unionByName(signatures.select("endpoint_id", "path", F.lit(None).cast("string").alias("type")))
+    fields = listed.where("endpoint_id IS NOT NULL AND path IS NOT NULL").groupBy("endpoint_id", "path").agg(F.min("type").alias("type"))
+
+    @F.pandas_udf("string")
+    def made(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda fields: _sample([(f["path"], f["type"]) for f in fields]))
+
+    return fields.groupBy("endpoint_id").agg(F.collect_list(F.struct("path", "type")).alias("fields")).select("endpoint_id", made("fields").alias("text"))  # an endpoint's rules
+
+
 def samples(rules: DataFrame, signatures: DataFrame) -> DataFrame:
     """(endpoint_id, paths): the paths of a document that conforms to an endpoint, from its rules and signature; the
     catalog's own test is that each matches itself."""
