@@ -111,6 +111,19 @@ g AS (SELECT section, lower(name) AS name, count(*) n, count(*) FILTER (redact)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY section ORDER BY flagged > 0 DESC, name) place FROM g) WHERE place <= 250"""
 
 
+def har_value_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All values of the log as a reviewer sees them, by group."""
+    return har.value_tree(har.targets(log_values(spark, sf_dir)), untouched=True)
+
+
+HAR_VALUE_TREE = f"""WITH {_JOINED}, {_LOG}, {_DISTINCT},
+t AS (SELECT *, CASE WHEN section = 'header' THEN lower(name) ELSE name END g FROM judged),
+g AS (SELECT section, g, row_number() OVER (PARTITION BY section ORDER BY bool_or(redact) DESC, any_value(name), g) place FROM t GROUP BY section, g),
+v AS (SELECT *, row_number() OVER (PARTITION BY section, g ORDER BY first_entry, value, target_key) value_place FROM t)
+SELECT section, name, place::INTEGER place, value_place::INTEGER value_place, target_key, value original, CASE WHEN redact THEN {duck.replacement("section", "name", "value")} ELSE value END replacement, redact, n occurrences
+FROM v JOIN g USING (section, g) WHERE place <= 250 AND value_place <= 100"""
+
+
 def url_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Page urls with a secret parameter added to some: whether they hold secrets, redacted, and short."""
     url = F.concat("url", F.expr("CASE WHEN page_id % 2 = 0 AND url NOT LIKE '%#%' THEN concat(CASE WHEN url LIKE '%?%' THEN '&' ELSE '?' END, 'sig=', md5(url)) ELSE '' END"))
@@ -254,7 +267,7 @@ l AS (SELECT doc_id, list_filter(range(1, len(a) + 1), lambda i: a[i] <> b[i]) l
 
 QUERIES = {
     "har_targets": (har_targets, HAR_TARGETS), "har_locations": (har_locations, HAR_LOCATIONS), "har_stats": (har_stats, HAR_STATS), "har_categories": (har_categories, HAR_CATEGORIES),
-    "har_top_groups": (har_top_groups, HAR_TOP_GROUPS),
+    "har_top_groups": (har_top_groups, HAR_TOP_GROUPS), "har_value_tree": (har_value_tree, HAR_VALUE_TREE),
     "url_redact": (url_redact, URL_REDACT), "url_match": (url_match, URL_MATCH), "token_pii": (token_pii, TOKEN_PII),
     "event_props": (event_props, EVENT_PROPS), "match_payloads": (match_payloads, MATCH_PAYLOADS), "unused_rules": (unused_rules, UNUSED_RULES), "catalog_stats": (catalog_stats, CATALOG_STATS),
     "format_detect": (format_detect, FORMAT_DETECT), "dedupe_files": (dedupe_files, DEDUPE_FILES), "modified_lines": (modified_lines, MODIFIED_LINES),

@@ -79,6 +79,36 @@ def top_groups(found: DataFrame, groups: int = GROUPS) -> DataFrame:
     return grouped.withColumn("place", place).where(F.col("place") <= groups)
 
 
+def value_tree(found: DataFrame, search: str = "", untouched: bool = False, overridden: DataFrame | None = None, groups: int = GROUPS, values: int = VALUES) -> DataFrame:
+    """(section, name, place, value_place, target_key, original, replacement, redact, occurrences): what a reviewer sees of targets().
+
+    Shown are flagged targets (redacted by default, or in ``overridden``, a table of target_key); all of them if ``untouched``;
+    or, if ``search`` is not empty, those with it in name, original or replacement in any case. Header names group in any
+    case, others as written; a group has the name of its first target. Groups with something redacted come first, then by name, ``groups`` a section;
+    a group's targets by first entry, then by original, ``values`` a group. Both cuts are made before rows are shuffled.
+    At most ``groups`` a section are left, so the groups are broadcast."""
+    rows = found.withColumn("__group", F.when(F.col("section") == "header", F.lower("name")).otherwise(F.col("name")))
+    if search:
+        hit = F.lit(False)
+        for column in ("name", "original", "replacement"):
+            hit = hit | F.contains(F.lower(column), F.lit(search.strip().lower()))
+        rows = rows.where(hit)
+    elif not untouched:
+        flagged = F.col("redact")
+        if overridden is not None:
+            rows = rows.join(overridden.select("target_key").distinct().withColumn("__set", F.lit(True)), "target_key", "left")
+            flagged = flagged | F.col("__set").isNotNull()
+        rows = rows.where(flagged)
+    order = F.struct("first_entry", "original", "target_key")
+    grouped = rows.groupBy("section", "__group").agg(F.max("redact").alias("any"), F.min_by("name", order).alias("__label"))
+    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("any"), "__label", "__group"))
+    shown = grouped.withColumn("place", place).where(F.col("place") <= groups).select(F.col("section").alias("__s"), F.col("__group").alias("__g"), "__label", "place")
+    inside = F.row_number().over(Window.partitionBy("section", "__group").orderBy("first_entry", "original", "target_key"))
+    kept = rows.withColumn("value_place", inside).where(F.col("value_place") <= values)
+    met = kept.join(F.broadcast(shown), (F.col("section") == F.col("__s")) & (F.col("__group") == F.col("__g")))
+    return met.select("section", F.col("__label").alias("name"), "place", "value_place", "target_key", "original", "replacement", "redact", "occurrences")
+
+
 def redact_values(items: Column, section: str, seed: Column | str = SEED) -> Column:
     """An array of (name, value) with what is redacted by default replaced; order and names stay."""
 

@@ -6,8 +6,10 @@ import re
 from collections.abc import Iterable
 from pathlib import Path
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from maskframe.functions.fakes import TYPES
 from maskframe.operators.typed import FORBIDDEN
@@ -21,7 +23,13 @@ SAMPLE = (
     ("web/de-item", "/de/{item}", None, (), (), {}),
     ("web/any-item", "/{lang}/{item}", None, (), (), {}),
 )
+# ---- Fixed values: names, patterns and sizes of the format ----
+MANIFEST = ("id", "name", "category", "icon", "color", "docs")
+PROVIDER_ID = r"[a-z0-9][a-z0-9_-]{1,40}"
+SLUG = r"[a-z0-9][a-z0-9_-]{0,80}"
+COLOUR = r"#(?:[0-9a-fA-F]{3}|[0-9a-fA-F]{4}|[0-9a-fA-F]{6}|[0-9a-fA-F]{8})"
 LARGEST_FILE, LARGEST_CATALOG = 200_000, 1_000_000
+# ---- End of fixed values ----
 
 
 def tables(spark: SparkSession, catalog: Iterable[tuple]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -94,3 +102,93 @@ def load_catalog(folder: str) -> tuple[list[tuple], list[str]]:
             entry = (f"{manifest.parent.name}/{file.stem}", head["path"], head.get("kind"), tuple(signature.get("required_paths") or ()), tuple(signature.get("optional_paths") or ()), rules)
             out.append((str(provider.get("name", manifest.parent.name)), head["path"], entry))
     return [entry for *_, entry in sorted(out, key=lambda x: x[:2])], warnings
+
+
+def _manifest_problems(doc) -> list[str]:
+    if not isinstance(doc, dict):
+        return ["no mapping"]
+    found = [f"{key}: forbidden key" for key in doc if key in FORBIDDEN]
+    found += [f"{key} is missing" for key in MANIFEST if not isinstance(doc.get(key), str) or not doc[key].strip()]
+    for key, pattern in (("id", PROVIDER_ID), ("color", COLOUR)):
+        if isinstance(doc.get(key), str) and doc[key].strip() and not re.fullmatch(pattern, doc[key] if key == "id" else doc[key].strip()):
+            found.append(f"{key} is not well-formed")
+    return found
+
+
+def _endpoint_problems(slug: str, doc) -> list[str]:
+    found = [] if re.fullmatch(SLUG, slug) else ["the file's name is no slug"]
+    if not isinstance(doc, dict):
+        return [*found, "no mapping"]
+    head, signature = doc.get("endpoint"), doc.get("signature")
+    blocks = {"": doc, "endpoint.": head, "signature.": signature}
+    found += [f"{at}{key}: forbidden key" for at, block in blocks.items() if isinstance(block, dict) for key in block if key in FORBIDDEN]
+    if signature is not None:
+        lists = {key: signature.get(key) for key in ("required_paths", "optional_paths")} if isinstance(signature, dict) else {}
+        for key, listed in lists.items():
+            if not (key == "optional_paths" and listed is None) and not (isinstance(listed, list) and all(isinstance(path, str) for path in listed)):
+                found.append(f"signature.{key} is no list of paths")
+        if not lists:
+            found.append("signature is no mapping")
+    return found + problems({**doc, "endpoint": head if isinstance(head, dict) else {}})
+
+
+_CHECKED = "provider string, slug string, id string, problems array<string>"
+
+
+def _checked(frames: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+    import yaml
+
+    for frame in frames:
+        rows = []
+        for provider, slug, content in zip(frame["provider"], frame["slug"], frame["content"], strict=True):
+            try:
+                doc = yaml.safe_load(bytes(content).decode())
+                found = _manifest_problems(doc) if slug is None else _endpoint_problems(slug, doc)
+            except (yaml.YAMLError, ValueError, RecursionError):
+                doc, found = None, ["does not parse"]
+            own = doc.get("id") if slug is None and isinstance(doc, dict) else None
+            rows.append((provider, slug, own if isinstance(own, str) else None, found))
+        yield pd.DataFrame(rows, columns=["provider", "slug", "id", "problems"])
+
+
+def validate_catalog(spark: SparkSession, folder: str, taken: Iterable[str] = ()) -> DataFrame:
+    """(provider, slug, problem): everything wrong with the catalog below ``folder``, a row a problem; none if it is fine.
+
+    Of a manifest the slug is null; of the whole catalog the provider too. Files past LARGEST_FILE are refused by their
+    size and never read. An id that two manifests have or that is ``taken`` is reported at each of them."""
+    path = F.regexp_replace("path", r"\.ya?ml$", "")
+    part = lambda i: F.regexp_extract(path, r"/([^/]+)/(?:manifest|endpoints/([^/]+))$", i)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    files = files.where(F.col("path").rlike(r"/[^/]+/(manifest|endpoints/[^/]+)\.ya?ml$")).withColumn("provider", part(1)).withColumn("slug", F.nullif(part(2), F.lit("")))
+    checked = files.where(F.col("length") <= LARGEST_FILE).select("provider", "slug", "content").mapInPandas(_checked, _CHECKED)
+    sizes = files.select("provider", "slug", "length")
+    row = lambda df, text: df.select("provider", "slug", F.lit(text).alias("problem"))
+    ids = checked.where("slug IS NULL AND id IS NOT NULL").select("provider", "slug", "id")
+    twice = ids.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    reserved = spark.createDataFrame([(t,) for t in taken], "id string")
+    alone = sizes.where("slug IS NOT NULL").join(sizes.where("slug IS NULL").select("provider"), "provider", "left_anti").select("provider").distinct().withColumn("slug", F.lit(None).cast("string"))
+    whole = sizes.agg(F.sum("length").alias("length")).where(F.col("length") > LARGEST_CATALOG).select(F.lit(None).cast("string").alias("provider"), F.lit(None).cast("string").alias("slug"))
+    out = checked.select("provider", "slug", F.explode("problems").alias("problem"))
+    for more in (
+        row(sizes.where(F.col("length") > LARGEST_FILE), f"file of over {LARGEST_FILE} bytes"), row(whole, f"files of over {LARGEST_CATALOG} bytes in all"), row(alone, "no manifest"),
+        row(ids.join(twice, "id", "left_semi"), "id of two providers"), row(ids.join(reserved, "id", "left_semi"), "id is taken"),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+def duplicate_signatures(signatures: DataFrame) -> DataFrame:
+    """(required, endpoints): sets of required paths that several endpoints share, whatever their order and repeats; no
+    document can tell such endpoints apart but by optional paths. Optional paths alone are no signature."""
+    sets = signatures.where("required AND path IS NOT NULL").groupBy("endpoint_id").agg(F.array_sort(F.collect_set("path")).alias("required"))
+    return sets.groupBy("required").agg(F.array_sort(F.collect_list("endpoint_id")).alias("endpoints")).where(F.size("endpoints") > 1)
+
+
+def provider_stats(endpoints: DataFrame, signatures: DataFrame, rules: DataFrame) -> DataFrame:
+    """(provider, endpoints, webhooks, unsigned, rules, anchors): the provider is what stands before an endpoint id's first
+    slash; ``unsigned`` endpoints have no required path and are found by their URL alone."""
+    provider = F.split_part("endpoint_id", F.lit("/"), F.lit(1)).alias("provider")
+    signed = signatures.where("required").select("endpoint_id").distinct().withColumn("signed", F.lit(True))
+    heads = endpoints.join(signed, "endpoint_id", "left").groupBy(provider).agg(F.count("*").alias("endpoints"), F.count_if(F.col("kind") == "webhook").alias("webhooks"), F.count_if(F.col("signed").isNull()).alias("unsigned"))
+    ruled = rules.groupBy(provider).agg(F.count("*").alias("rules"), F.count_if("anchor").alias("anchors"))
+    return heads.join(ruled, "provider", "left").na.fill(0, ["rules", "anchors"])
