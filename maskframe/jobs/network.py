@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -35,17 +37,25 @@ def _exploded(joined: DataFrame) -> DataFrame:
     )
 
 
+def shared(spark: SparkSession) -> str:
+    """A folder that executors share."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+
+
 def log_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(har_id, entry, section, name, value, method, url) of a log with an entry an event. Events are spread over all
-    rows of pages by their place in the order of page_id and url: places within ranges of the order, and before each range the rows of those below it (a row a range)."""
+    rows of pages by their place in the order of page_id and url: places within ranges of the order, and before each range the rows of those below it (a row a range).
+    Ranges are written once, as their bounds come from a sample and may differ from one evaluation to the next."""
     pages = read(spark, sf_dir, "pages").select("page_id", "url")
     order = [F.asc_nulls_first("page_id"), F.asc_nulls_first("url")]
-    ranged = pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id())
+    folder = f"{shared(spark)}/maskframe/pages-{uuid.uuid4().hex}"
+    pages.repartitionByRange(*order).withColumn("part", F.spark_partition_id()).write.parquet(folder)
+    ranged = spark.read.parquet(folder)
     within = ranged.withColumn("within", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
     sizes = within.groupBy("part").agg(F.count("*").alias("size"))
     before = sizes.select(F.col("part").alias("of"), (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"))
     numbered = within.join(before, F.col("part") == F.col("of")).select(F.split_part("url", F.lit("#"), F.lit(1)).alias("url"), (F.col("before") + F.col("within")).alias("place"))
-    events = read(spark, sf_dir, "events").withColumn("place", F.expr(f"pmod(event_id, nullif({pages.count()}L, 0L))"))
+    events = read(spark, sf_dir, "events").withColumn("place", F.expr(f"pmod(event_id, nullif({ranged.count()}L, 0L))"))
     return _exploded(events.join(numbered, "place"))
 
 

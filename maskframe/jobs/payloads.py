@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from maskframe.functions import fakes
 from maskframe.jobs import duck
 from maskframe.jobs.masking import read
-from maskframe.jobs.network import _payloads
+from maskframe.jobs.network import _payloads, shared
 from maskframe.operators import entries, matching, raw, report, shape, typed
 from maskframe.sources import catalog, logs
 
@@ -90,7 +90,7 @@ SELECT har_id, entry, '*/*' accept, 'Bearer ' || {duck.scramble("tok")} auth, 'd
 def har_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries redacted, written as whole logs and read back: their place in their log, and parts of them."""
     made = entries.redact(_log_entries(spark, sf_dir))
-    folder = f"{_shared(spark)}/maskframe/logs-{uuid.uuid4().hex}"
+    folder = f"{shared(spark)}/maskframe/logs-{uuid.uuid4().hex}"
     head = made.select("har_id").distinct().select("har_id", F.lit('{"log":{"version":"1.2","pages":[],"entries":[').alias("head"), F.lit('],"comment":"end"}}').alias("tail"))
     logs.write_har(made, folder, head)
     part = lambda path: F.get_json_object("text", f"$.{path}")
@@ -146,11 +146,6 @@ def _decisions_sql() -> str:
 SELECT norm_path, arg_min(t, d) default_type, arg_min(f, d) effective_type, arg_min(s, d) AS source, arg_min(s IN ('literal', 'toggle'), d) overridden, arg_min(v, d) first_original, count(*) n FROM l GROUP BY norm_path"""
 
 
-def _shared(spark: SparkSession) -> str:
-    """A folder that executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-
-
 def _written_sql() -> str:
     inner = _redacted_sql()
     return f"SELECT har_id, row_number() OVER (PARTITION BY har_id ORDER BY entry) - 1 AS place, url, ip, 1.5::DOUBLE AS \"time\", NULL::VARCHAR AS error FROM ({inner}) x"
