@@ -111,12 +111,12 @@ def _targets_sql() -> str:
     made = f"""CASE s WHEN 'email' THEN lower({mail}) || '.' || substr({duck.digest("email", "v")}, 9, 8) || '@example.com' WHEN 'sig' THEN split_part(v, '=', 1) || '=' || {duck.scramble("split_part(v, '=', 2)")}
     WHEN 'auth' THEN 'Bearer ' || {duck.scramble("substr(v, 8)")} WHEN 'ip' THEN {duck.replacement("'ip'", "''", "v")} WHEN 'secret' THEN {duck.scramble("v")} ELSE v END"""
     return f"""WITH e AS (SELECT event_id AS e, 'log-' || user_id h, user_id u FROM events),
-l AS (SELECT e, h, unnest([{{'s': '', 'section': 'header', 'name': 'accept', 'v': '*/*', 'r': NULL}}, {{'s': '', 'section': 'header', 'name': 'Server', 'v': 'x', 'r': NULL}}, {{'s': '', 'section': 'cookie', 'name': 'theme', 'v': 'dark', 'r': NULL}},
-  {{'s': '', 'section': 'param', 'name': 'page', 'v': '2', 'r': NULL}}, {{'s': 'auth', 'section': 'header', 'name': 'Authorization', 'v': 'Bearer ' || md5(CAST(u AS VARCHAR)), 'r': 'credential header'}},
+l AS (SELECT e, h, unnest([{{'s': '', 'section': 'header', 'name': 'accept', 'v': '*/*', 'r': 'standard header'}}, {{'s': '', 'section': 'header', 'name': 'Server', 'v': 'x', 'r': 'standard header'}}, {{'s': '', 'section': 'cookie', 'name': 'theme', 'v': 'dark', 'r': 'preference cookie'}},
+  {{'s': '', 'section': 'param', 'name': 'page', 'v': '2', 'r': 'plain parameter'}}, {{'s': 'auth', 'section': 'header', 'name': 'Authorization', 'v': 'Bearer ' || md5(CAST(u AS VARCHAR)), 'r': 'credential header'}},
   {{'s': 'secret', 'section': 'cookie', 'name': 'session_id', 'v': md5('s' || u), 'r': 'session or token cookie'}}, {{'s': 'secret', 'section': 'param', 'name': 'clientSecret', 'v': 'k' || u, 'r': 'secret parameter'}},
   {{'s': 'sig', 'section': 'url', 'name': 'request.url', 'v': 'https://api.example.com/v1/events/' || e || '?sig=' || md5(CAST(e AS VARCHAR)), 'r': 'secrets in the URL'}},
-  {{'s': 'ip', 'section': 'ip', 'name': 'serverIPAddress', 'v': '93.184.216.' || (e % 200), 'r': 'public address'}}, {{'s': 'email', 'section': 'body', 'name': 'email', 'v': 'u' || u || '@corp.test', 'r': 'personal data in a body'}},
-  {{'s': '', 'section': 'body', 'name': 'countryCode', 'v': 'AT', 'r': NULL}}]) x FROM e),
+  {{'s': 'ip', 'section': 'ip', 'name': 'serverIPAddress', 'v': '93.184.216.' || (e % 200), 'r': 'public address'}}, {{'s': 'email', 'section': 'body', 'name': 'email', 'v': 'u' || u || '@corp.test', 'r': 'email'}},
+  {{'s': '', 'section': 'body', 'name': 'countryCode', 'v': 'AT', 'r': 'regional data'}}]) x FROM e),
 k AS (SELECT e, h, x.* FROM l WHERE NOT (x.section = 'body' AND e % 7 = 0)),
 g AS (SELECT s, section, name, v, any_value(r) r, count(*) n, list(h || '/' || e ORDER BY h, e)[1:20] p FROM k GROUP BY ALL)
 SELECT section, name, v AS original, {made} AS replacement, s <> '' AS redact, r AS reason, n AS occurrences, array_to_string(p, ' ') places FROM g"""
@@ -177,7 +177,17 @@ def har_entry_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("field").agg(F.count("*").alias("n"))
 
 
-HAR_ENTRY_VIOLATIONS = "SELECT field, count(*) n FROM events, (VALUES ('startedDateTime'), ('response.cookies'), ('timings')) t(field) GROUP BY field"
+def _violations_sql() -> str:
+    """The checks by JSON functions over texts that hold what the entries do."""
+    text = """json_object('request', json_object('method', upper(event_type), 'url', 'u', 'httpVersion', 'HTTP/1.1', 'headers', [{'name': 'a', 'value': 'b'}], 'cookies', [{'name': 'a', 'value': 'b'}],
+      'queryString', [{'name': 'a', 'value': 'b'}]), 'response', json_object('status', 200, 'headers', [{'name': 'a', 'value': 'b'}], 'content', json_object('mimeType', 'm', 'text', props)), 'time', 1.5)"""
+    kinds = {"OBJECT": "('OBJECT')", "STRING": "('VARCHAR')", "NUMBER": "('UBIGINT', 'BIGINT', 'DOUBLE')", "PAIRS": "('ARRAY')"}
+    whole = lambda path: f"coalesce(json_type(j, '$.{path}') = 'OBJECT', false)"
+    checks = [
+        f"SELECT '{path}' AS field FROM e WHERE coalesce(json_type(j, '$.{path}'), 'NULL') NOT IN {kinds[wanted]}" + (f" AND {whole(path.rpartition('.')[0])}" if "." in path else "")
+        for wanted, listed in entries.REQUIRED.items() for path in listed
+    ]
+    return f"WITH e AS (SELECT {text} j FROM events) SELECT field, count(*) n FROM ({' UNION ALL '.join(checks)}) x GROUP BY field"
 
 
 def infer_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,6 +264,6 @@ SELECT CASE WHEN page_id % 5 = 0 THEN 'shop/order' WHEN w IS NOT NULL THEN w WHE
 
 QUERIES = {
     "masked_payload_fields": (masked_payload_fields, _masked_sql()), "har_entries_redacted": (har_entries_redacted, _redacted_sql()),
-    "har_entry_targets": (har_entry_targets, _targets_sql()), "field_decisions": (field_decisions, _decisions_sql()), "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, HAR_ENTRY_VIOLATIONS), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
+    "har_entry_targets": (har_entry_targets, _targets_sql()), "field_decisions": (field_decisions, _decisions_sql()), "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, _violations_sql()), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
     "payload_lattice": (payload_lattice, PAYLOAD_LATTICE), "payload_violations": (payload_violations, PAYLOAD_VIOLATIONS),
 }

@@ -8,6 +8,7 @@ reported.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterable, Iterator, Mapping
 
@@ -34,7 +35,16 @@ _BODIES = ("request.postData.text", "response.content.text")
 KEPT_TYPES = ("country", "countryCode", "currency", "stateOrProvince", "isoDate", "sku")
 # ---- End of fixed values ----
 POLICY = {"headers": True, "params": True, "bodies": True, "ips": True}
-REASONS = {"header": "credential header", "cookie": "session or token cookie", "param": "secret parameter", "url": "secrets in the URL", "ip": "public address", "body": "personal data in a body"}
+#: By section, of what is redacted and of what is kept by default.
+REASONS = {
+    "header": ("credential header", "standard header"), "cookie": ("session or token cookie", "preference cookie"), "param": ("secret parameter", "plain parameter"),
+    "url": ("secrets in the URL", "public URL"), "ip": ("public address", "private address"),
+}
+#: Types of bodies' values whose words are not those of their names.
+KIND_WORDS = {
+    "id": "identifier", "ipv4": "IP address", "uuid": "UUID", "isoDate": "date", "sku": "catalog data", "redact": "sensitive value", "country": "regional data", "countryCode": "regional data",
+    "currency": "regional data", "stateOrProvince": "regional data",
+}
 
 
 def _maskable(mime: str, encoding: str) -> bool:
@@ -268,7 +278,7 @@ def _least(place: tuple) -> tuple:
 def targets(entries: DataFrame, policy: Mapping[str, bool] = POLICY, overrides: Iterable[tuple] = (), seed: str = SEED, locations: int = har.LOCATIONS) -> DataFrame:
     """(target_key, section, name, original, replacement, default, redact, reason, occurrences, locations): one row a target, over all
     surfaces, bodies and URLs too. ``locations`` are its first entries by (har_id, entry), 20 at most; original and replacement
-    are cut at 512 characters.
+    are cut at 512 characters; ``reason`` says why it is redacted or kept by default.
 
     Each batch counts its targets and keeps their first entries; these rows are shuffled once, by target, and merged in a
     stream, so that a header of every entry costs one row a batch and its task holds twenty places, not all."""
@@ -277,7 +287,8 @@ def targets(entries: DataFrame, policy: Mapping[str, bool] = POLICY, overrides:
     rows = _decided(_occurrences(entries, locations), policy, overrides)
     made = rows.withColumn("__made", _replaced(seed, overrides)).select(
         network.target_key(section, name, value).alias("target_key"), section.alias("section"), name.alias("name"), truncated(value, har.SHOWN).alias("original"),
-        truncated(F.col("__made"), har.SHOWN).alias("replacement"), F.col("__default").alias("default"), F.col("__redact").alias("redact"), "n", "places",
+        truncated(F.col("__made"), har.SHOWN).alias("replacement"), F.col("__default").alias("default"), F.col("__redact").alias("redact"),
+        reason(section, F.col("__found"), F.col("__default")).alias("reason"), "n", "places",
     )
     dealt = made.repartition("target_key").sortWithinPartitions("target_key", F.col("name"))
     flags = ("default", "redact")
@@ -297,6 +308,7 @@ def targets(entries: DataFrame, policy: Mapping[str, bool] = POLICY, overrides:
                         yield closed(now)
                     now = {**row, "occurrences": 0, "locations": {}}
                 now["occurrences"] += n
+                now["reason"] = min((not x["default"], x["reason"]) for x in (now, row))[1]
                 if row["redact"] and not now["redact"]:
                     now["replacement"] = row["replacement"]
                 now |= {flag: now[flag] or row[flag] for flag in flags}
@@ -306,24 +318,69 @@ def targets(entries: DataFrame, policy: Mapping[str, bool] = POLICY, overrides:
             yield closed(now)
 
     place = pa.struct([("har_id", pa.string()), ("entry", pa.int64()), ("method", pa.string()), ("url", pa.string())])
-    schema = pa.schema([*((c, pa.string()) for c in ("target_key", "section", "name", "original", "replacement")), *((c, pa.bool_()) for c in flags), ("occurrences", pa.int64()), ("locations", pa.list_(place))])
-    found = dealt.mapInArrow(merge, f"target_key string, section string, name string, original string, replacement string, default boolean, redact boolean, occurrences long, locations array<{_PLACE}>")
-    return found.withColumn("reason", F.when(F.col("default"), reason(F.col("section"))))
+    schema = pa.schema([*((c, pa.string()) for c in ("target_key", "section", "name", "original", "replacement")), *((c, pa.bool_()) for c in flags), ("reason", pa.string()), ("occurrences", pa.int64()), ("locations", pa.list_(place))])
+    return dealt.mapInArrow(merge, f"target_key string, section string, name string, original string, replacement string, default boolean, redact boolean, reason string, occurrences long, locations array<{_PLACE}>")
 
 
-def reason(section: Column) -> Column:
-    """Why something is redacted, in a few words."""
-    return F.create_map(*(F.lit(x) for pair in REASONS.items() for x in pair))[section]
+def reason(section: Column, kind: Column, default: Column) -> Column:
+    """Why something is redacted or kept by default, in a few words: by section, in bodies by the type that was found."""
+    words = F.coalesce(F.create_map(*map(F.lit, itertools.chain.from_iterable(KIND_WORDS.items())))[kind], F.lower(F.regexp_replace(kind, "([A-Z])", " $1")))
+    in_body = (
+        F.when(kind == "url", F.when(default, REASONS["url"][0]).otherwise(REASONS["url"][1])).when(kind.isin(*KEPT_TYPES), words).when(default, words)
+        .otherwise("nothing personal found")
+    )
+    named = F.lit(None).cast("string")
+    for of, (redacted, kept) in REASONS.items():
+        named = F.when(section == of, F.when(default, redacted).otherwise(kept)).otherwise(named)
+    return F.when(section == "body", in_body).otherwise(named)
+
+
+#: What the format requires of an entry, by kind; a part that is missing or of another kind is reported, and nothing below it.
+REQUIRED = {
+    "OBJECT": ("cache", "timings", "request", "response", "response.content"),
+    "STRING": (
+        "startedDateTime", "request.method", "request.url", "request.httpVersion", "response.statusText", "response.httpVersion", "response.redirectURL", "response.content.mimeType",
+    ),
+    "NUMBER": (
+        "time", "timings.send", "timings.wait", "timings.receive", "request.headersSize", "request.bodySize", "response.status", "response.headersSize", "response.bodySize", "response.content.size",
+    ),
+    "PAIRS": ("request.headers", "request.cookies", "request.queryString", "response.headers", "response.cookies"),
+}
 
 
 def violations(text: Column) -> Column:
-    """What an entry lacks of the format's required fields."""
-    rules = {
-        "startedDateTime": r"^\d{4}-\d\d-\d\dT", "time": r"^-?\d", "request.method": ".", "request.url": ".", "request.httpVersion": ".", "request.headers": r"^\[", "request.queryString": r"^\[",
-        "request.cookies": r"^\[", "response.status": r"^-?\d+$", "response.headers": r"^\[", "response.cookies": r"^\[", "response.content": r"^\{", "timings": r"^\{",
-    }
-    checks = [F.when(~F.coalesce(F.get_json_object(text, f"$.{path}").rlike(shape), F.lit(False)), path) for path, shape in rules.items()]
-    return F.filter(F.array(*checks), lambda x: x.isNotNull())
+    """The paths of an entry's text that are not what the format requires, in the order of REQUIRED: objects, strings and numbers
+    that are missing or of another kind, a body's text that is no string, lists of pairs that are no lists, and their elements that are no
+    {name, value} of strings (``request.headers[2]``). A text that is null, no JSON object or has a key twice is ``$`` alone.
+
+    The text is parsed once, into a variant; each check is a look at one path of it."""
+    number = r"^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+    def kind(node: Column, path: str) -> Column:
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(node, path, "variant")), F.lit("VOID"))
+
+    def is_a(node: Column, path: str, wanted: str) -> Column:
+        found = kind(node, path)
+        return found.startswith("OBJECT") if wanted == "OBJECT" else found.rlike(number) if wanted == "NUMBER" else found == "STRING"
+
+    def pairs(root: Column, path: str) -> Column:
+        listed = F.try_variant_get(root, f"$.{path}", "array<variant>")
+        numbered = F.transform(listed, lambda x, i: F.when(~(is_a(x, "$.name", "STRING") & is_a(x, "$.value", "STRING")), F.concat(F.lit(f"{path}["), i.cast("string"), F.lit("]"))))
+        return F.when(listed.isNull(), F.array(F.lit(path))).otherwise(F.filter(numbered, lambda x: x.isNotNull()))
+
+    def checked(root: Column) -> Column:
+        def below(path: str, found: Column) -> Column:
+            parent = path.rpartition(".")[0]
+            return F.when(is_a(root, f"$.{parent}", "OBJECT"), found) if parent else found
+
+        plain = [below(path, F.when(~is_a(root, f"$.{path}", wanted), path)) for wanted in ("OBJECT", "STRING", "NUMBER") for path in REQUIRED[wanted]]
+        body = F.when(~kind(root, "$.response.content.text").isin("STRING") & F.try_variant_get(root, "$.response.content.text", "variant").isNotNull(), "response.content.text")
+        none = F.array().cast("array<string>")
+        lists = [F.coalesce(below(path, pairs(root, path)), none) for path in REQUIRED["PAIRS"]]
+        return F.when(is_a(root, "$", "OBJECT"), F.concat(F.filter(F.array(*plain, body), lambda x: x.isNotNull()), *lists)).otherwise(F.array(F.lit("$")))
+
+    # Bound to a lambda's variable, so that the text is parsed once and not for each check.
+    return F.element_at(F.transform(F.array(F.try_parse_json(text)), checked), 1)
 
 
 def write(entries: DataFrame, folder: str) -> None:

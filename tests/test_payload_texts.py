@@ -77,10 +77,30 @@ def test_entries(spark, tmp_path):
     assert found["param", "secret"].original == "s3cr3t" != found["param", "secret"].replacement and [(x.entry, x.method) for x in found["ip", "serverIPAddress"].locations] == [(0, "GET")]
     lacking = df.where("entry = 0").select(entries.violations(F.col("text")).alias("v")).first().v
     assert "startedDateTime" in lacking and "request.method" not in lacking
+    assert found["header", "accept"].reason == "standard header" and found["body", "email"].reason == "email" and found["body", "country_code"].reason == "regional data"
     entries.write(df, str(tmp_path / "log"))
     assert spark.read.text(str(tmp_path / "log")).count() == 3
 
 
+def test_checks_of_entries_tell_kinds_apart(spark):
+    pair = [{"name": "a", "value": "b"}]
+    whole = {
+        "startedDateTime": "2024-01-01T00:00:00Z", "time": 1.5, "cache": {}, "timings": {"send": 0, "wait": 1, "receive": 2.5},
+        "request": {"method": "GET", "url": "u", "httpVersion": "h", "headersSize": -1, "bodySize": 0, "headers": pair, "cookies": [], "queryString": pair},
+        "response": {"status": 200, "statusText": "", "httpVersion": "h", "redirectURL": "", "headersSize": -1, "bodySize": 0, "headers": pair, "cookies": [], "content": {"size": 0, "mimeType": "m"}},
+    }
+    spoilt = json.loads(json.dumps(whole))
+    spoilt["time"], spoilt["timings"]["wait"], spoilt["request"]["method"], spoilt["response"]["content"]["text"] = "1.5", None, 5, 7
+    spoilt["request"]["headers"] = [*pair, {"name": "x"}, {"name": 1, "value": "b"}, None, "x"]
+    spoilt["response"]["cookies"] = {}
+    del spoilt["cache"]
+    bare = {**whole, "timings": [], "request": None, "response": {**whole["response"], "content": "c"}}
+    texts = [json.dumps(whole), json.dumps(spoilt), json.dumps(bare), "[]", "{", "", None, '{"time": 1, "time": 2}']
+    found = [sorted(r.v) for r in spark.createDataFrame([(t,) for t in texts], "text string").select(entries.violations(F.col("text")).alias("v")).collect()]
+    assert found[0] == [] and found[2] == ["request", "response.content", "timings"] and found[3:] == [["$"]] * 5
+    assert found[1] == sorted(["time", "timings.wait", "request.method", "response.content.text", *(f"request.headers[{i}]" for i in range(1, 5)), "response.cookies", "cache"])
+
+
 def test_shapes_reports_and_matching(spark):
     leaves = spark.createDataFrame(
         [(1, "items[0].q", "items[].q", "number"), (1, "items[0].r", "items[].r", "string"), (1, "items[1].r", "items[].r", "string"), (2, "a", "a", "string")], "doc_id long, path string, norm_path string, kind string"
