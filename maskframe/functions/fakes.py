@@ -18,6 +18,7 @@ CITIES = ("Ashford", "Brookdale", "Clayton", "Dunmore", "Eastvale", "Fairview",
 STREETS = ("Alder Way", "Birch Lane", "Cedar Road", "Dogwood Drive", "Elm Street", "Fir Court", "Grove Avenue", "Hazel Close")
 COMPANIES = ("Acorn Works", "Bluefield Ltd", "Cobalt Group", "Driftwood Inc", "Evergreen Co", "Foxglove Labs", "Granite Partners", "Harbor Goods")
 COUNTRIES = (("Austria", "AT"), ("Belgium", "BE"), ("Canada", "CA"), ("Denmark", "DK"), ("Estonia", "EE"), ("Finland", "FI"), ("Greece", "GR"), ("Hungary", "HU"))
+LONG_CODES = ("AUT", "BEL", "CAN", "DNK", "EST", "FIN", "GRC", "HUN")
 STATES = (("Alberta", "AB"), ("Bavaria", "BY"), ("Colorado", "CO"), ("Delaware", "DE"), ("Florida", "FL"), ("Georgia", "GA"), ("Idaho", "ID"), ("Kansas", "KS"))
 CURRENCIES = ("CHF", "CZK", "DKK", "EUR", "GBP", "NOK", "PLN", "SEK")
 WORDS = ("amber", "basin", "cloud", "delta", "ember", "field", "grain", "hill", "inlet", "jade", "kelp", "lake", "moss", "night", "oak", "pine")
@@ -37,6 +38,19 @@ def other_pick(options: tuple[str, ...], at: Column, value: Column) -> Column:
     return F.when(F.lower(first) == F.lower(value), pick(options, at + 1)).otherwise(first)
 
 
+def in_case(made: Column, value: Column) -> Column:
+    """``made`` in lower or upper case where the value is written so; a value without letters of case decides nothing."""
+    lower, upper = F.lower(value), F.upper(value)
+    return F.when(lower == upper, made).when(value == lower, F.lower(made)).when(value == upper, F.upper(made)).otherwise(made)
+
+
+def postal_code(value: Column, seed: Column | str = SEED, salt: Column | str = "") -> Column:
+    """Another code of the same pattern: letters, digits, blanks, hyphens and a leading zero stay what and where they are, and so
+    does a country's prefix of one to three capital letters before a hyphen (``D-10115``)."""
+    prefix = F.regexp_extract(value, r"^([A-Z]{1,3}-)[0-9A-Za-z]", 1)
+    return F.concat(prefix, scramble(F.substring(value, F.length(prefix) + 1, F.length(value)), seed, salt, "postalCode", True))
+
+
 def scramble(value: Column, seed: Column | str = SEED, salt: Column | str = "", kind: Column | str = "id", every: bool = False) -> Column:
     """Character by character within its class; the first digit stays zero or non-zero as it was, unless that
     zero is all there is. Letters and digits outside ASCII stay unless ``every`` is set, as all masking does. One md5 for 16 characters: the first 64 characters take theirs from the value, later
@@ -164,7 +178,13 @@ def fake(kind: str, value: Column, seed: Column | str = SEED, salt: Column | str
     """The fake of a string value of a semantic type; ``parent`` is the parent path of paired codes."""
     key = digest(seed, kind, value, salt)
     h, g = number(key), number(key, 9)
-    code_or_name = lambda pairs: F.when(F.length(value) == 2, other_pick(tuple(c for _, c in pairs), h, value)).otherwise(other_pick(tuple(n for n, _ in pairs), h, value))
+    other = lambda options: in_case(other_pick(options, h, value), value)
+    letters = value.rlike("^([A-Z]{3}|[a-z]{3})$")
+
+    def code_or_name(pairs: tuple[tuple[str, str], ...], long: Column) -> Column:
+        """A code for a code, of its width and case, a name for a name."""
+        return F.when(F.length(value) == 2, other(tuple(c for _, c in pairs))).when(letters, long).otherwise(other(tuple(n for n, _ in pairs)))
+
     row = number(digest(seed, kind.removesuffix("Code").removesuffix("Message"), F.lit(""), parent))
     made = {
         "preserve": lambda: value,
@@ -174,7 +194,7 @@ def fake(kind: str, value: Column, seed: Column | str = SEED, salt: Column | str
         "id": lambda: scramble(value, seed, salt, every=True),
         "sku": lambda: scramble(value, seed, salt, "sku", True),
         "phone": lambda: scramble(value, seed, salt, "phone", True),
-        "postalCode": lambda: scramble(value, seed, salt, "postalCode", True),
+        "postalCode": lambda: postal_code(value, seed, salt),
         "uuid": lambda: F.regexp_replace(key, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"),
         "firstName": lambda: other_pick(FIRST_NAMES, h, value),
         "lastName": lambda: other_pick(LAST_NAMES, h, value),
@@ -182,13 +202,13 @@ def fake(kind: str, value: Column, seed: Column | str = SEED, salt: Column | str
         "email": lambda: F.concat(F.lower(pick(FIRST_NAMES, h)), F.lit("."), F.substring(key, 9, 8), F.lit("@example.com")),
         "company": lambda: other_pick(COMPANIES, h, value),
         "productName": lambda: F.concat_ws(" ", F.initcap(pick(WORDS, h)), F.initcap(pick(WORDS, g))),
-        "street": lambda: F.concat_ws(" ", (h % 899 + 100).cast("string"), pick(STREETS, g)),
-        "streetSecondary": lambda: F.concat_ws(" ", F.lit("Unit"), (h % 899 + 100).cast("string")),
-        "city": lambda: other_pick(CITIES, h, value),
-        "state": lambda: code_or_name(STATES),
-        "stateOrProvince": lambda: code_or_name(STATES),
-        "country": lambda: code_or_name(COUNTRIES),
-        "countryCode": lambda: other_pick(tuple(c for _, c in COUNTRIES), h, value),
+        "street": lambda: in_case(F.concat_ws(" ", (h % 899 + 100).cast("string"), pick(STREETS, g)), value),
+        "streetSecondary": lambda: in_case(F.concat_ws(" ", F.lit("Unit"), (h % 899 + 100).cast("string")), value),
+        "city": lambda: other(CITIES),
+        "state": lambda: code_or_name(STATES, scramble(value, seed, salt, kind)),
+        "stateOrProvince": lambda: code_or_name(STATES, scramble(value, seed, salt, kind)),
+        "country": lambda: code_or_name(COUNTRIES, other(LONG_CODES)),
+        "countryCode": lambda: F.when(letters, other(LONG_CODES)).otherwise(other(tuple(c for _, c in COUNTRIES))),
         "currency": lambda: F.when(value == F.lower(value), F.lower(other_pick(CURRENCIES, h, value))).otherwise(other_pick(CURRENCIES, h, value)),
         "ipv4": lambda: F.concat_ws(".", pick(("192.0.2", "198.51.100", "203.0.113"), h), (g % 254 + 1).cast("string")),
         "isoDate": lambda: iso_date(value, seed, salt),

@@ -51,6 +51,47 @@ def pick(options: tuple[str, ...], at: str) -> str:
     return f"list_extract({listed(options)}, CAST({at} % {len(options)} + 1 AS INT))"
 
 
+def other_pick(options: tuple[str, ...], at: str, value: str) -> str:
+    first = pick(options, at)
+    return f"CASE WHEN lower({first}) = lower({value}) THEN {pick(options, at + ' + 1')} ELSE {first} END"
+
+
+def in_case(made: str, value: str) -> str:
+    return f"CASE WHEN lower({value}) = upper({value}) THEN {made} WHEN {value} = lower({value}) THEN lower({made}) WHEN {value} = upper({value}) THEN upper({made}) ELSE {made} END"
+
+
+def fake(kind: str, value: str, salt: str = "''", parent: str = "''") -> str:
+    """Values that are neither null nor empty."""
+    key = digest(kind, value, salt)
+    h, g = number(key), number(key, 9)
+    other = lambda options: f"({in_case('(' + other_pick(options, h, value) + ')', value)})"
+    names, codes = (lambda pairs: tuple(n for n, _ in pairs)), (lambda pairs: tuple(c for _, c in pairs))
+    long = f"(regexp_full_match({value}, '[A-Z]{{3}}|[a-z]{{3}}'))"
+    place = lambda pairs, wide: f"CASE WHEN length({value}) = 2 THEN {other(codes(pairs))} WHEN {long} THEN {wide} ELSE {other(names(pairs))} END"
+    front = f"regexp_extract({value}, '^([A-Z]{{1,3}}-)[0-9A-Za-z]', 1)"
+    row = f"CAST({number(digest(kind.removesuffix('Code').removesuffix('Message'), quoted(''), parent))} % {len(fakes.CHECK_RESULTS)} + 1 AS INT)"
+    words = lambda n, width: " || ' ' || ".join(pick(fakes.WORDS, number(key, 1 + width * k, width)) for k in range(n))
+    titled = lambda word: f"(upper(substr({word}, 1, 1)) || substr({word}, 2))"
+    currency = other_pick(fakes.CURRENCIES, h, value)
+    made = {
+        "phone": scramble(value, salt, "phone"), "sku": scramble(value, salt, "sku"),
+        "postalCode": f"{front} || {scramble(f'substr({value}, length({front}) + 1)', salt, 'postalCode')}",
+        "uuid": f"regexp_replace({key}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')", "firstName": other_pick(fakes.FIRST_NAMES, h, value),
+        "lastName": other_pick(fakes.LAST_NAMES, h, value), "company": other_pick(fakes.COMPANIES, h, value),
+        "productName": f"{titled(pick(fakes.WORDS, h))} || ' ' || {titled(pick(fakes.WORDS, g))}",
+        "street": in_case(f"(({h} % 899 + 100) || ' ' || {pick(fakes.STREETS, g)})", value), "streetSecondary": in_case(f"('Unit ' || ({h} % 899 + 100))", value), "city": other(fakes.CITIES),
+        "state": place(fakes.STATES, scramble(value, salt, "state")), "stateOrProvince": place(fakes.STATES, scramble(value, salt, "stateOrProvince")),
+        "country": place(fakes.COUNTRIES, other(fakes.LONG_CODES)), "countryCode": f"CASE WHEN {long} THEN {other(fakes.LONG_CODES)} ELSE {other(codes(fakes.COUNTRIES))} END",
+        "currency": f"CASE WHEN {value} = lower({value}) THEN lower({currency}) ELSE {currency} END", "url": f"'https://example.com/' || substr({key}, 1, 12)",
+        "isoDate": f"strftime(CAST(substr({value}, 1, 10) AS DATE) - CAST({h} % 700 + 1 AS INT), '%Y-%m-%d') || substr({value}, 11)",
+        "birthDate": f"strftime(CAST(substr({value}, 1, 10) AS DATE) - CAST({h} % 700 + 1 AS INT), '%Y-%m-%d') || substr({value}, 11)",
+        "shortText": words(3, 4), "longText": words(10, 3) + " || '.'",
+        **{f"{k}Code": f"list_extract({listed(codes([(m, c) for c, m in fakes.CHECK_RESULTS]))}, {row})" for k in ("cvv", "avs")},
+        **{f"{k}Message": f"list_extract({listed(codes(fakes.CHECK_RESULTS))}, {row})" for k in ("cvv", "avs")},
+    }
+    return f"({made[kind]})"
+
+
 def amount(value: str, salt: str = "''") -> str:
     cents = f"CAST(floor(abs({value}) * 100) AS BIGINT)"
     share = f"({number(digest('priceAmount', cents, salt))} % 900 + 100)"

@@ -51,6 +51,22 @@ def test_every_string_type_has_a_fake(spark, kind):
     assert column(spark, ["", None], fakes.fake(kind, F.col("v"))) in (["", None], [None, None], [fakes.REDACTED] * 2)
 
 
+def test_places_keep_width_and_case(spark):
+    shape = lambda v: re.sub("[A-Z]", "A", re.sub("[a-z]", "a", re.sub("[0-9]", "9", v)))
+    codes = ["97403", "01234", "SW1A 1AA", "K1A-0B1", "D-10115", "AT-1010", "12345-6789", "1010 ab"]
+    made = column(spark, codes, fakes.fake("postalCode", F.col("v")))
+    assert [shape(v) for v in made] == [shape(v) for v in codes] and not set(made) & set(codes)
+    assert made[1][0] == "0" and made[4].startswith("D-") and made[5].startswith("AT-") and not made[3].startswith("K1A-")
+    for kind in ("country", "countryCode", "state", "stateOrProvince"):
+        short = ["US", "us", "USA", "usa"]
+        made = column(spark, short, fakes.fake(kind, F.col("v")))
+        assert [shape(v) for v in made] == [shape(v) for v in short] and not set(made) & set(short), kind
+    names = ["SPRINGFIELD", "springfield", "Springfield", "12", "\u00dcBERLINGEN"]
+    for kind in ("city", "country", "state", "street", "streetSecondary"):
+        upper, lower, mixed, digits, accent = column(spark, names, fakes.fake(kind, F.col("v")))
+        assert upper == upper.upper() and lower == lower.lower() and mixed not in (mixed.upper(), mixed.lower()) and accent == accent.upper(), kind
+
+
 def test_dates_keep_their_form_and_codes_their_row(spark):
     made = column(spark, ["2024-02-29", "2024-02-29T10:11:12.5Z"], fakes.fake("isoDate", F.col("v")))
     assert re.fullmatch(r"\d{4}-\d\d-\d\d", made[0]) and made[1].endswith("T10:11:12.5Z")
