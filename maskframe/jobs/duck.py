@@ -48,7 +48,7 @@ def whole_number(value: str, kind: str = "id") -> str:
 
 
 def pick(options: tuple[str, ...], at: str) -> str:
-    return f"list_extract({listed(options)}, CAST({at} % {len(options)} + 1 AS INT))"
+    return f"list_extract({listed(options)}, CAST(({at}) % {len(options)} + 1 AS INT))"
 
 
 def other_pick(options: tuple[str, ...], at: str, value: str) -> str:
@@ -76,7 +76,7 @@ def fake(kind: str, value: str, salt: str = "''", parent: str = "''") -> str:
     made = {
         "phone": scramble(value, salt, "phone"), "sku": scramble(value, salt, "sku"),
         "postalCode": f"{front} || {scramble(f'substr({value}, length({front}) + 1)', salt, 'postalCode')}",
-        "uuid": f"regexp_replace({key}, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5')", "firstName": other_pick(fakes.FIRST_NAMES, h, value),
+        "uuid": " || '-' || ".join(f"substr({key}, {at}, {width})" for at, width in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))), "firstName": other_pick(fakes.FIRST_NAMES, h, value),
         "lastName": other_pick(fakes.LAST_NAMES, h, value), "company": other_pick(fakes.COMPANIES, h, value),
         "productName": f"{titled(pick(fakes.WORDS, h))} || ' ' || {titled(pick(fakes.WORDS, g))}",
         "street": in_case(f"(({h} % 899 + 100) || ' ' || {pick(fakes.STREETS, g)})", value), "streetSecondary": in_case(f"('Unit ' || ({h} % 899 + 100))", value), "city": other(fakes.CITIES),

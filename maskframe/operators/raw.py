@@ -122,7 +122,7 @@ def _number(value: Column, found: Column, seed: Column | str, salt: Column) -> C
     return made.when(plain, fakes.whole_text(value, seed)).otherwise(digits)
 
 
-_SCRAMBLED = ("id", "sku", "phone", "postalCode")
+_SCRAMBLED = ("id", "sku", "phone")
 
 
 def masked_value(leaf: Leaf, seed: Column | str = SEED, values: Mapping[str, str] | None = None) -> Column:
