@@ -51,33 +51,51 @@ def template_pattern(template: Column) -> Column:
     return F.concat(F.lit("(^|/)"), F.regexp_replace(F.regexp_replace(literal, r"\{[^}]*\}", "[^/]+"), "^/", ""), F.lit(r"/?($|\?)"))
 
 
+_VARIABLE = "\x01"
+
+
+def _shaped(template: Column) -> tuple[Column, Column]:
+    """(shape, key) of a template: which of its segments hold a variable (``lvl``), and its other segments in their places."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(template, r"\{[^}]*\}", _VARIABLE), "^/", ""), "/")
+    held = lambda x: x.contains(_VARIABLE)
+    return F.array_join(F.transform(parts, lambda x: F.when(held(x), "v").otherwise("l")), ""), F.array_join(F.transform(parts, lambda x: F.when(held(x), "").otherwise(x)), "/")
+
+
+def _keys(path: Column, shapes: list[str]) -> Column:
+    """(shape, key) of all ends of a path that a template of these shapes could fit: up to its end, each question mark or a
+    final line break, with and without a last slash."""
+    asked = F.split(path, r"\?")
+    cut = F.transform(F.sequence(F.lit(1), F.size(asked)), lambda i: F.array_join(F.slice(asked, F.lit(1), i), "?"))
+    cut = F.concat(cut, F.array(F.regexp_replace(path, r"(\r\n|[\n\r\x{85}\x{2028}\x{2029}])$", "")))
+    ends = F.transform(F.array_distinct(F.flatten(F.transform(cut, lambda x: F.array(x, F.regexp_replace(x, "/$", ""))))), lambda x: F.split(x, "/"))
+
+    def keyed(parts: Column) -> Column:
+        found = []
+        for shape in shapes:
+            places = [F.get(parts, F.size(parts) - len(shape) + i) if of == "l" else F.lit("") for i, of in enumerate(shape)]
+            found.append(F.when(F.size(parts) >= len(shape), F.struct(F.lit(shape).alias("shape"), F.concat_ws("/", *places).alias("key"))))
+        return F.filter(F.array(*found), lambda x: x.isNotNull())
+
+    return F.array_distinct(F.flatten(F.transform(ends, keyed)))
+
+
 def match_url(urls: DataFrame, endpoints: DataFrame) -> DataFrame:
-    """(path, endpoint_id) of the distinct ``path`` values: the first endpoint in catalog order whose
-    template fits, webhooks left out. Up to ``MAX_TEMPLATES`` templates become one expression without a join. Of
-    more, those that end in the path's last segment are joined on it, and those that end in a variable are
-    tested against every distinct path in a join of their own."""
-    usable = endpoints.where("kind IS NULL OR kind <> 'webhook'").select("endpoint_id", template_pattern(F.col("path")).alias("pattern"), "path", "rank")
-    listed = usable.orderBy("rank").limit(MAX_TEMPLATES + 1).collect()
-    if len(listed) > MAX_TEMPLATES:
-        return _match_many(urls.select("path").distinct(), usable)
-    chain = None
-    for row in listed:
-        fits = F.col("path").rlike(row.pattern)
-        chain = F.when(fits, row.endpoint_id) if chain is None else chain.when(fits, row.endpoint_id)
-    found = F.lit(None).cast("string") if chain is None else chain
-    return urls.select("path").distinct().select("path", found.alias("endpoint_id"))
-
-
-def _match_many(paths: DataFrame, templates: DataFrame) -> DataFrame:
-    last = lambda c: F.regexp_extract(c, "([^/?]*)/?(?:$|[?])", 1)
-    named = templates.select("endpoint_id", "pattern", "rank", F.when(~last(F.col("path")).contains("{"), last(F.col("path"))).alias("last"))
-    keyed = paths.select("path", F.explode(F.array(last(F.col("path")), F.lit(None).cast("string"))).alias("end"))
-    met = keyed.join(named, F.col("end").eqNullSafe(F.col("last"))).where("path RLIKE pattern")
-    first = met.groupBy("path").agg(F.min_by("endpoint_id", "rank").alias("endpoint_id"))
-    return paths.join(first, "path", "left")
-
-
-MAX_TEMPLATES = 500
+    """(path, endpoint_id) of the distinct ``path`` values: the first endpoint in catalog order whose template fits, webhooks left
+    out; a null path has none.
+
+    Templates are joined on their literal segments in their places: a path has a key for each shape of template (which
+    segments are variables; a catalog has few, and only they are brought to the driver) and each place where it may end, and what
+    meets is tested by pattern. The one shuffle is by path; any number of templates takes the same plan."""
+    shape, key = _shaped(F.col("path"))
+    usable = endpoints.where("(kind IS NULL OR kind <> 'webhook') AND path IS NOT NULL").select(F.struct("rank", "endpoint_id").alias("__first"), template_pattern(F.col("path")).alias("__pattern"), shape.alias("__shape"), key.alias("__key"))
+    shapes = sorted(row[0] for row in usable.select("__shape").distinct().collect())
+    paths = urls.select("path").distinct()
+    if not shapes:
+        return paths.withColumn("endpoint_id", F.lit(None).cast("string"))
+    keyed = paths.select("path", F.explode_outer(_keys(F.col("path"), shapes)).alias("k"))
+    fits = (F.col("k.shape") == F.col("__shape")) & (F.col("k.key") == F.col("__key")) & F.rlike("path", F.col("__pattern"))
+    met = keyed.join(usable, fits, "left").groupBy("path").agg(F.min("__first").alias("__first"))
+    return met.select("path", F.col("__first.endpoint_id").alias("endpoint_id"))
 
 
 def attach_rules(leaves: DataFrame, rules: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -117,8 +118,31 @@ def test_shapes_reports_and_matching(spark):
     assert [r.doc_id for r in matching.covered_docs(own, own, signatures, "shop/order").select("doc_id").collect()] == ["shop/order"]
     paths = spark.createDataFrame([("/en/x.html",), ("/de/7",), ("/a/b/c",), ("/",)], "path string")
     one = {r.path: r.endpoint_id for r in matching.match_url(paths, endpoints).collect()}
-    many = matching._match_many(paths, endpoints.where("kind IS NULL").select("endpoint_id", matching.template_pattern(F.col("path")).alias("pattern"), "path", "rank"))
-    assert {r.path: r.endpoint_id for r in many.collect()} == one
+    assert one == {r.path: r.endpoint_id for r in brute_urls(paths, endpoints).collect()}
+
+
+def brute_urls(paths, endpoints):
+    """Every distinct path against every template."""
+    plain = endpoints.where("kind IS NULL OR kind <> 'webhook'").select(F.struct("rank", "endpoint_id").alias("e"), matching.template_pattern(F.col("path")).alias("p")).where("p IS NOT NULL")
+    met = paths.distinct().join(plain, F.rlike(F.col("path"), F.col("p")), "left").groupBy("path").agg(F.min("e").alias("e"))
+    return met.select("path", F.col("e.endpoint_id").alias("endpoint_id"))
+
+
+@pytest.mark.parametrize("count", [0, 5, 499, 501])
+def test_urls_meet_any_number_of_templates(spark, count):
+    draw = random.Random(count)
+    piece = lambda: draw.choice(["a", "b", "c", "{x}", "{id}.json", "v1", "a.b", "{a/b}"])
+    made = [draw.choice(["/", ""]) + "/".join(piece() for _ in range(draw.randint(1, 4))) + draw.choice(["", "", "", "/", "?q={x}"]) for _ in range(count)]
+    rows = [(f"e{i}", path, draw.choice([None, None, "rest", "webhook"]), i) for i, path in enumerate(made)]
+    if count == 5:  # variables at the end of all
+        rows = [("e0", "/{x}", None, 3), ("e1", "/{x}/{y}", None, 2), ("e2", "a/{x}", None, 1), ("e3", "", None, 0), ("e4", None, None, 4)]
+    endpoints = spark.createDataFrame(rows, "endpoint_id string, path string, kind string, rank int")
+    bit = lambda: draw.choice(["a", "b", "c", "v1", "a.b", "axb", "7.json", "zz", ""])
+    urls = ["/".join(bit() for _ in range(draw.randint(1, 6))) + draw.choice(["", "/", "?q=1", "?a/b", "?q=1?c", "\n", "/\n", "//"]) for _ in range(400)]
+    paths = spark.createDataFrame([(u,) for u in [*urls, "", "/", "?", None]], "path string")
+    found = {r.path: r.endpoint_id for r in matching.match_url(paths, endpoints).collect()}
+    assert found == {r.path: r.endpoint_id for r in brute_urls(paths, endpoints).collect()} and len(found) == paths.distinct().count()
+    assert count < 5 or any(found.values())
 
 
 def test_batches(spark, tmp_path):
