@@ -8,9 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from maskframe.functions import detect
 from maskframe.jobs import duck
 from maskframe.jobs.masking import ORDERS, read
-from maskframe.jobs.network import shared
+from maskframe.jobs.network import _payloads, shared
 from maskframe.operators import matching, raw, typed
 from maskframe.operators.typed import Rule
 from maskframe.sources import catalog, formats
@@ -213,8 +214,49 @@ def streamed_endpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 STREAMED_ENDPOINTS = "SELECT 'orders-' || o_orderkey doc_id, 'shop/order' endpoint_id FROM orders UNION ALL SELECT 'events-' || event_id, 'hooks/event' FROM events"
 
+
+#: Paths under which the values of events are judged.
+_JUDGED = ("user.email", "card.cvv_result.code", "note", "session_id", "data.name")
+
+
+def detected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of events, placeholders among them, by the type found under several paths and the type they get when opted in."""
+    marks = F.array(*map(F.lit, detect.PLACEHOLDERS))
+    user, at = F.col("user_id").cast("string"), (F.col("event_id") / 7).cast("long")
+    value = (
+        F.when(F.col("event_id") % 7 == 0, F.concat(F.lit(" "), F.upper(F.get(marks, (at % len(detect.PLACEHOLDERS)).cast("int"))))).when(F.col("event_id") % 7 == 1, F.concat(F.lit("u"), user, F.lit("@corp.test")))
+        .when(F.col("event_id") % 7 == 2, F.regexp_replace(F.md5(user.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).when(F.col("event_id") % 7 == 3, user)
+        .when(F.col("event_id") % 7 == 4, F.concat(F.lit("Ab_"), user, F.lit("-x"))).when(F.col("event_id") % 7 == 5, F.col("props")).otherwise(F.col("event_type"))
+    )
+    rows = read(spark, sf_dir, "events").select("event_id", value.alias("value"), F.explode(F.array(*map(F.lit, _JUDGED))).alias("path"))
+    found = detect.detect(detect.path_type(F.col("path")), F.col("value"), F.lit("string"))
+    return rows.select("event_id", "path", found.alias("found"), detect.id_like(F.col("value"), F.lit("string")).alias("opted"))
+
+
+def _detected_sql() -> str:
+    key, at = "md5(user_id::VARCHAR)", f"event_id // 7 % {len(detect.PLACEHOLDERS)} + 1"
+    parts = " || '-' || ".join(f"substr({key}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    value = f"""CASE event_id % 7 WHEN 0 THEN ' ' || upper(list_extract({duck.listed(detect.PLACEHOLDERS)}, {at})) WHEN 1 THEN 'u' || user_id || '@corp.test' WHEN 2 THEN {parts} WHEN 3 THEN user_id::VARCHAR
+      WHEN 4 THEN 'Ab_' || user_id || '-x' WHEN 5 THEN props ELSE event_type END"""
+    opted = "CASE WHEN regexp_full_match(v, '[0-9]+') THEN 'id' WHEN regexp_full_match(v, '[0-9a-fA-F-]{36}') THEN 'uuid' WHEN regexp_full_match(v, '[A-Za-z0-9_-]{6,}') THEN 'id' ELSE 'shortText' END"
+    each = " UNION ALL ".join(f"SELECT event_id, '{path}' AS path, {duck.detect_type(duck.quoted(path), 'v', duck.quoted('string'))} AS found, {opted} AS opted FROM r" for path in _JUDGED)
+    return f"WITH r AS (SELECT event_id, {value} AS v FROM events) {each}"
+
+
+def covered_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payloads of all tables that have every path that orders must have."""
+    _, signatures, _ = catalog.tables(spark, catalog.SAMPLE)
+    docs = _payloads(spark, sf_dir)
+    return matching.covered_docs(docs, raw.flatten(docs).select("doc_id", "paths"), signatures, "shop/order").select("doc_id")
+
+
+COVERED_PAYLOADS = """WITH p AS (SELECT 'orders-' || o_orderkey doc_id, json_object('order_id', o_orderkey, 'customer_id', o_custkey, 'total', o_totalprice) j FROM orders
+  UNION ALL SELECT 'customer-' || c_custkey, json_object('customer_id', c_custkey, 'name', c_name, 'segment', c_mktsegment) FROM customer
+  UNION ALL SELECT 'events-' || event_id, json_object('id', event_id, 'type', event_type, 'data', props) FROM events UNION ALL SELECT 'part-' || p_partkey, json_object('sku', p_partkey, 'size', p_size) FROM part)
+SELECT doc_id FROM p WHERE list_has_all(json_keys(j), ['order_id', 'customer_id'])"""
+
 QUERIES = {
-    "masked_addresses": (masked_addresses, _typed_sql(_ADDRESS, "c_custkey", "customer JOIN nation ON c_nationkey = n_nationkey")), "masked_order_facts": (masked_order_facts, _order_facts_sql()),
+    "detected_values": (detected_values, _detected_sql()), "covered_payloads": (covered_payloads, COVERED_PAYLOADS), "masked_addresses": (masked_addresses, _typed_sql(_ADDRESS, "c_custkey", "customer JOIN nation ON c_nationkey = n_nationkey")), "masked_order_facts": (masked_order_facts, _order_facts_sql()),
     "masked_formats": (masked_formats, _formats_sql()), "streamed_masked_orders": (streamed_masked_orders, STREAMED_MASKED_ORDERS), "streamed_event_stats": (streamed_event_stats, _event_stats_sql()),
     "streamed_first_targets": (streamed_first_targets, _first_targets_sql()), "streamed_endpoints": (streamed_endpoints, STREAMED_ENDPOINTS),
 }

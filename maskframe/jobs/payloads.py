@@ -101,7 +101,17 @@ def har_written_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def har_entry_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets over all surfaces of the entries but the plain numbers of bodies, with replacement, reason and places."""
-    found = entries.targets(_log_entries(spark, sf_dir)).where("name <> 'value'")
+    return _shown(entries.targets(_log_entries(spark, sf_dir)))
+
+
+def har_entry_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same targets after a review: one value replaced by a literal, one redacted, one kept, and addresses switched off."""
+    reviewed = [("header", "Accept", "*/*", True, "text/html"), ("cookie", "theme", "dark", True, None), ("body", "email", "u1@corp.test", False, None), ("ip", "serverIPAddress", "93.184.216.7", True, "10.0.0.1")]
+    return _shown(entries.targets(_log_entries(spark, sf_dir), {**entries.POLICY, "ips": False}, reviewed))
+
+
+def _shown(found: DataFrame) -> DataFrame:
+    found = found.where("name <> 'value'")
     places = F.array_join(F.transform("locations", lambda x: F.concat_ws("/", x["har_id"], x["entry"].cast("string"))), " ")
     return found.select("section", "name", "original", "replacement", "redact", "reason", "occurrences", places.alias("places"))
 
@@ -122,6 +132,12 @@ g AS (SELECT s, section, name, v, any_value(r) r, count(*) n, list(h || '/' || e
 SELECT section, name, v AS original, {made} AS replacement, s <> '' AS redact, r AS reason, n AS occurrences, array_to_string(p, ' ') places FROM g"""
 
 
+def _overrides_sql() -> str:
+    return f"""WITH t AS ({_targets_sql()}), j AS (SELECT *, section = 'header' AND name = 'accept' AS literal, section = 'cookie' AND name = 'theme' AS opted, section = 'ip' OR original = 'u1@corp.test' AS kept FROM t)
+SELECT section, name, original, CASE WHEN literal THEN 'text/html' WHEN opted THEN {duck.scramble("original")} WHEN kept THEN original ELSE replacement END AS replacement,
+  (redact OR literal OR opted) AND NOT kept AS redact, reason, occurrences, places FROM j"""
+
+
 def field_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the fields of customers and their orders are decided under a rule, a toggle, a literal and detection."""
     orders = read(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("n_orders"))
@@ -264,6 +280,6 @@ SELECT CASE WHEN page_id % 5 = 0 THEN 'shop/order' WHEN w IS NOT NULL THEN w WHE
 
 QUERIES = {
     "masked_payload_fields": (masked_payload_fields, _masked_sql()), "har_entries_redacted": (har_entries_redacted, _redacted_sql()),
-    "har_entry_targets": (har_entry_targets, _targets_sql()), "field_decisions": (field_decisions, _decisions_sql()), "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, _violations_sql()), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
+    "har_entry_targets": (har_entry_targets, _targets_sql()), "har_entry_overrides": (har_entry_overrides, _overrides_sql()), "field_decisions": (field_decisions, _decisions_sql()), "har_written_back": (har_written_back, _written_sql()), "leaks_in_texts": (leaks_in_texts, LEAKS_IN_TEXTS), "har_entry_violations": (har_entry_violations, _violations_sql()), "infer_elements": (infer_elements, INFER_ELEMENTS), "resolved_endpoints": (resolved_endpoints, RESOLVED_ENDPOINTS),
     "payload_lattice": (payload_lattice, PAYLOAD_LATTICE), "payload_violations": (payload_violations, PAYLOAD_VIOLATIONS),
 }
