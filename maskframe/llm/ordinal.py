@@ -110,9 +110,9 @@ def fit(features: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, epoch
         rows.append((at[known], v[known]) if len(names) else (at, v[:0]))
     share = np.array([np.clip((grades >= k).mean(), 0.01, 0.99) for k in range(1, GRADES)])
     start = -np.log(share / (1 - share))
-    steps = np.log(np.maximum(np.diff(start), 0.1))
+    gaps = np.log(np.maximum(np.diff(start), 0.1))
     size = max(len(names), 1)
-    weights, theta = np.zeros(size), np.concatenate((start[:1], steps))
+    weights, theta = np.zeros(size), np.concatenate((start[:1], gaps))
     moments = [np.zeros(size), np.zeros(size), np.zeros(len(theta)), np.zeros(len(theta))]
     random, t = np.random.default_rng(6), 0
     for _ in range(max(epochs, steps // -(-len(rows) // batch))):

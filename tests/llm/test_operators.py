@@ -335,6 +335,33 @@ def test_rows_of_one_id_are_judged_by_their_texts(spark):
     assert sorted(str(r.doc_id) for r in simhash.first_of_each(docs).collect()) == ["1", "1", "None"]
 
 
+def test_ordinal_fit_is_near_the_best_of_its_likelihood():
+    """Against a climb by coordinates over the penalised likelihood, written out, of two features and two thresholds."""
+    draw, n, prior = np.random.default_rng(3), 400, 3.0
+    features = [(np.array([7, 9]), draw.normal(size=2)) for _ in range(n)]
+    x = np.array([v for _, v in features])
+    grades = np.digitize(x @ [1.5, -0.8] + draw.logistic(size=n), [-0.7, 0.9])
+    logistic = lambda z: 1 / (1 + np.exp(-z))
+
+    def loss(p):
+        cuts = np.array([-np.inf, p[2], p[3], np.inf])
+        if p[3] <= p[2]:
+            return np.inf
+        f = x @ p[:2]
+        share = logistic(cuts[grades + 1] - f) - logistic(cuts[grades] - f)
+        return -np.log(np.maximum(share, 1e-12)).mean() + prior / n / 2 * (p[:2] ** 2).sum()
+
+    best, step = np.array([0.0, 0.0, -1.0, 1.0]), 0.5
+    while step > 1e-4:
+        tries = [best + step * sign * np.eye(4)[i] for i in range(4) for sign in (-1, 1)]
+        found = min(tries, key=loss)
+        best, step = (found, step) if loss(found) < loss(best) else (best, step / 2)
+    with np.errstate(over="ignore"):
+        model = ordinal.fit(features, grades, prior=prior)
+    made = np.array([model.weights[7], model.weights[9], *model.thresholds])
+    assert loss(made) < loss(best) + 0.005 and np.abs(made - best).max() < 0.2
+
+
 def test_ordinal_scores_equal_a_plain_sum(spark):
     model = ordinal.Model(np.random.default_rng(8).normal(size=ordinal.SPACE).astype(np.float32), np.array([-0.5, 0.7]))
     text = "Some words, SOME words!! 123 the end"
