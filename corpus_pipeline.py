@@ -28,7 +28,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by a similarity of 0.8 or more of their five-word shingles the one with
-    the smallest id stays: SimHash links first, completed where fingerprints cannot reach."""
+    the smallest id stays: candidates are what SimHash balls bring together, verified on whole sets."""
     return minhash.first_of_each(docs)
 
 

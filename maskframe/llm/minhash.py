@@ -1,21 +1,26 @@
-"""SimHash near-duplicates completed to a Jaccard similarity of 0.8 of five-word shingles, verified on whole sets.
+"""Texts with a Jaccard similarity of 0.8 or more of their five-word shingles, found by SimHash and ball hashing
+and verified on whole sets. (The module's name is that of an earlier method.)
 
 Texts with equal shingle sets are one set before anything is emitted.
 
-1. Ball hashing of the sets' fingerprints (module simhash) links those within two bits, and those of one
-   fingerprint.
-2. Ball hashing cannot reach all of 0.8: such a pair differs in about ten bits of 64. So each distinct set
-   emits ``BANDS`` keys besides, a key made of ``ROWS`` least hashes; two sets that share a key are a
-   candidate pair, and a pair of similarity s shares none with probability (1 - s ** ROWS) ** BANDS:
-   0.00005 at 0.8, less above. The sets of a key are first compared with one of them, that with the most
-   candidates, which in a group of near copies is the one most are similar to.
-3. Every pair of a key whose sets are still in different components is compared, so that no candidate link
-   that matters is missed. Two exact bounds count against a pair before it is made: shingles that no other set
-   has are in its union and not in its intersection, and of shingles dealt out to ``PARITY`` classes each class
-   of which one set has an odd and the other an even number holds one at least that only one of them has.
+1. A pair of similarity 0.8 differs in about ten bits of one fingerprint of 64, out of reach of any ball that can be
+   written down. So each set has ``TABLES`` fingerprints of ``BITS`` bits, and its ball in each of them is not that of
+   all bits but of the ``UNSURE`` bits whose counts are nearest to one half, as it is those that differ between similar
+   sets: 128 values instead of 821 within two bits of 40, and more of the pairs. Sets with a common value in a table meet.
+   A table brings a pair of similarity 0.8 together with probability 0.23, all tables miss it with about 0.00005
+   (simulated for sets of 60 to 300 shingles), less above 0.8; ``FEW_UNSURE`` bits are tried for sets below ``FEW``.
+2. Ball hashing is the only source of candidates. Each set is first compared, in every bucket in which it meets
+   others, with the one of its largest company that has the most: in a group of near copies the one most are similar to.
+3. The balls are dealt out once more with the components found so far, and only what meets across components is
+   written down: every such pair is compared, so that no candidate link that matters is missed. Two exact bounds count against a pair before it is made: shingles that no other set has are in its union
+   and not in its intersection, and of shingles dealt out to ``PARITY`` classes each class of which one set has an odd
+   and the other an even number holds one at least that only one of them has.
 
 Candidates are verified on their whole sets, so no pair below the threshold is ever linked.
 
+A ball's values are never shuffled: a set goes, in 18 bytes, to the few buckets of a table that the first bits of its
+values name, and the rest of its values are made there. Buckets grow in number with the sets.
+
 Defined results: null texts and those without words have the empty set and are equal to each other; texts
 of fewer than ``WORDS`` words are one shingle; sets are compared by 64-bit hashes; a null id is kept and never
 a component's name unless all ids of it are null; an empty table gives an empty result.
@@ -37,13 +42,20 @@ from maskframe.llm import common, simhash
 
 #: Similar are sets whose intersection is ``SIMILAR[0] / SIMILAR[1]`` of their union.
 WORDS, SIMILAR = 5, (4, 5)
-BANDS, ROWS = 25, 5
+TABLES, BITS, UNSURE = 38, 40, 7
+#: Margins are coarse in sets of few shingles, so more bits count as unsure there.
+FEW, FEW_UNSURE = 64, 9
 #: Classes of the bound on what two sets do not share, a bit each; a multiple of 64.
 PARITY = 1024
-_FLIP = np.random.default_rng(60).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] << np.uint64(1)
-_ODD = np.random.default_rng(61).integers(1 << 62, 1 << 63, BANDS * ROWS, dtype=np.uint64)[:, None] | np.uint64(1)
+#: A bucket of a table gets about so many sets, as a power of two.
+BUCKET = 13
+_LANES = -(-TABLES * BITS // 64)
+_FLIP = np.random.default_rng(60).integers(0, 1 << 63, _LANES, dtype=np.uint64) << np.uint64(1)
+_ODD = np.random.default_rng(61).integers(1 << 62, 1 << 63, _LANES, dtype=np.uint64) | np.uint64(1)
+_LEAN = np.random.default_rng(62).integers(0, 2, TABLES * BITS) * 2 - 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_CHUNK = 1024
+_BYTES = BITS // 8
+_ROW, _SOME = 24, 100
 
 
 def shingles(hashes: list[int]) -> np.ndarray:
@@ -56,22 +68,38 @@ def whole(found: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(found.tobytes(), simhash.SEED)
 
 
-def bands(found: np.ndarray) -> np.ndarray:
-    """The set's band keys; none of an empty set."""
-    if not len(found):
-        return np.zeros(0, np.uint64)
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(found), _CHUNK):
-        x = found[at : at + _CHUNK] ^ _FLIP
+def margins(found: np.ndarray) -> np.ndarray:
+    """By bit of all tables: by how much the set's shingles that have it outnumber the others; never zero."""
+    counts = np.zeros(_LANES * 64, np.int64)
+    for at in range(0, len(found), 255):
+        x = found[at : at + 255, None] ^ _FLIP
         x *= _ODD
         x ^= x >> np.uint64(32)
         x *= _MIX
-        np.minimum(least, x.min(axis=1), out=least)
-    least, key = least.reshape(BANDS, ROWS), np.arange(1, BANDS + 1, dtype=np.uint64)
-    for k in range(ROWS):
-        key = (key ^ least[:, k]) * _MIX
-        key ^= key >> np.uint64(29)
-    return key
+        x ^= x >> np.uint64(29)
+        counts += np.add.reduce(np.unpackbits(x.view(np.uint8), axis=1, bitorder="little"), axis=0, dtype=np.uint8)
+    return 2 * (2 * counts[: TABLES * BITS] - len(found)) + _LEAN
+
+
+def balls(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """(sets, tables) of fingerprints and of their unsure bits."""
+    margin = np.array(list(map(margins, found)), np.int64).reshape(-1, TABLES, BITS)
+    bit = np.uint64(1) << np.arange(BITS, dtype=np.uint64)
+    prints = np.where(margin > 0, bit, np.uint64(0)).sum(axis=2, dtype=np.uint64)
+    order = np.argsort(np.abs(margin) * BITS + np.arange(BITS), axis=2)[..., :FEW_UNSURE]
+    unsure = np.array([UNSURE if len(x) >= FEW else FEW_UNSURE for x in found])[:, None, None]
+    return prints, np.where(np.arange(FEW_UNSURE) < unsure, bit[order], np.uint64(0)).sum(axis=2, dtype=np.uint64)
+
+
+def flipped(values: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value): each row's value under every choice of its free bits."""
+    rows = np.arange(len(values))
+    while (some := np.flatnonzero(free)).size:
+        low = free & (~free + np.uint64(1))
+        values, rows = np.concatenate([values, values[some] ^ low[some]]), np.concatenate([rows, rows[some]])
+        free = free ^ low
+        free = np.concatenate([free, free[some]])
+    return rows, values
 
 
 def parity(found: np.ndarray) -> np.ndarray:
@@ -86,20 +114,181 @@ def _lists(found: list[np.ndarray]) -> pa.Array:
 
 
 def _mapped(docs: DataFrame, id_col: str, text_col: str, kept: str) -> DataFrame:
-    """(id, whole, print, n, bands and parity or shingles) of each row, as ``kept`` says."""
-    short = kept == "bands"
+    """(id, whole, n, balls and parity or shingles) of each row, as ``kept`` says."""
+    short = kept == "balls"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hashes = [simhash.shingle_hashes(text.as_py(), WORDS) for text in batch.column(1)]
-            found = list(map(shingles, hashes))
-            numbers = [np.fromiter(x, np.uint64, len(found)).view(np.int64) for x in (map(whole, found), map(simhash.fingerprint, hashes) if short else [0] * len(found))]
-            lists = [_lists(list(map(bands, found))), _lists(list(map(parity, found)))] if short else [_lists(found)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), pa.array(list(map(len, found)), pa.int64()), *lists], names)
+            found = [shingles(simhash.shingle_hashes(text.as_py(), WORDS)) for text in batch.column(1)]
+            numbers = [np.fromiter(map(whole, found), np.uint64, len(found)).view(np.int64), np.fromiter(map(len, found), np.int64, len(found))]
+            lists = [_packed(found), _lists(list(map(parity, found)))] if short else [_lists(found)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, numbers), *lists], names)
+
+    names = ["id", "whole", "n", *(["balls", "parity"] if short else [kept])]
+    ddl = "balls binary, parity array<long>" if short else f"{kept} array<long>"
+    return common.texts(docs, id_col, text_col).mapInArrow(run, f"id {common.id_ddl(docs, id_col)}, whole long, n long, {ddl}")
+
+
+def _bytes(x: np.ndarray, width: int) -> np.ndarray:
+    """(len(x), width): the low bytes of 64-bit numbers."""
+    return np.ascontiguousarray(x, "<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+
+
+def _numbers(x: np.ndarray) -> np.ndarray:
+    """The reverse of _bytes()."""
+    out = np.zeros((len(x), 8), np.uint8)
+    out[:, : x.shape[1]] = x
+    return out.view("<u8").ravel()
+
 
-    names = ["id", "whole", "print", "n", *(["bands", "parity"] if short else [kept])]
-    ddl = ", ".join(f"{name} array<long>" for name in names[4:])
-    return common.texts(docs, id_col, text_col).mapInArrow(run, f"id {common.id_ddl(docs, id_col)}, whole long, print long, n long, {ddl}")
+def _binaries(rows: np.ndarray, starts: np.ndarray) -> pa.Array:
+    """Binaries of the rows of bytes from each start to the next."""
+    ends = np.append(starts, len(rows)) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends.astype(np.int32).tobytes()), pa.py_buffer(rows.tobytes())])
+
+
+def _packed(found: list[np.ndarray]) -> pa.Array:
+    """A binary a set: by table, the fingerprint and its unsure bits."""
+    some = [balls(found[at : at + _SOME]) for at in range(0, len(found), _SOME)]
+    rows = [np.concatenate([_bytes(x.ravel(), _BYTES) for x in ball], axis=1) for ball in some]
+    return _binaries(np.concatenate([np.zeros((0, 2 * _BYTES), np.uint8), *rows]), np.arange(len(found)) * TABLES)
+
+
+def _dealt(sketches: DataFrame, bits: int) -> DataFrame:
+    """(bucket, part): the sets of each bucket of each table that a batch has, with their roots, if any, and what
+    is left of their balls."""
+    shift = np.uint64(BITS - bits)
+    below = (np.uint64(1) << shift) - np.uint64(1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ball = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 2 * _BYTES)
+            prints, free = _numbers(ball[:, :_BYTES]), _numbers(ball[:, _BYTES:])
+            rows, bucket = flipped(prints >> shift, free >> shift)
+            bucket = (rows % TABLES).astype(np.uint64) << np.uint64(bits) | bucket
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            sets = [_bytes(np.array(column.to_numpy())[rows // TABLES], 8) for column in batch.columns[:1] + batch.columns[2:]]
+            parts = np.concatenate([*sets, _bytes(prints[rows] & below, _BYTES), _bytes(free[rows] & below, _BYTES)], axis=1)
+            starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].view(np.int64)), _binaries(parts, starts)], ["bucket", "part"])
+
+    names = [c for c in ("whole", "balls", "root") if c in sketches.columns]
+    return sketches.where(F.col("n") >= SIMILAR[0]).select(*names).mapInArrow(run, "bucket long, part binary")
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and lengths of the runs of equal values."""
+    starts = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+    return starts, np.diff(np.append(starts, len(values)))
+
+
+def company(low: np.ndarray, free: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, value) of the values that several balls of a bucket have, with different roots if given, by value, and
+    which of them is in its row's largest value. Of values that the same balls have one stays, and none whose balls
+    all have one and the same larger value as their largest."""
+    rows, values = flipped(low, free)
+    met = values << np.uint64(_ROW) | rows.astype(np.uint64)
+    met.sort()
+    same = met[1:] >> np.uint64(_ROW) == met[:-1] >> np.uint64(_ROW)
+    met = met[np.append(same, False) | np.append(False, same)]
+    rows, values = (met & np.uint64((1 << _ROW) - 1)).astype(np.int64), met >> np.uint64(_ROW)
+    if len(rows) and root is not None:
+        starts, sizes = _runs(values)
+        split = np.repeat(np.minimum.reduceat(root[rows], starts) != np.maximum.reduceat(root[rows], starts), sizes)
+        rows, values = rows[split], values[split]
+    if not len(rows):
+        return rows, values, np.zeros(0, bool)
+    starts, sizes = _runs(values)
+    mark = (rows.astype(np.uint64) + np.uint64(1)) * _MIX
+    mark = (mark ^ mark >> np.uint64(29)) * _ODD[0]
+    kept = np.zeros(len(starts), bool)
+    kept[np.unique(np.add.reduceat(mark ^ mark >> np.uint64(32), starts), return_index=True)[1]] = True
+    rank = np.empty(len(starts), np.int64)
+    rank[np.lexsort((sizes, kept))] = np.arange(len(starts))
+    top = np.zeros(rows.max() + 1, np.int64)
+    np.maximum.at(top, rows, np.repeat(rank, sizes))
+    least, most = np.minimum.reduceat(top[rows], starts), np.maximum.reduceat(top[rows], starts)
+    kept &= (least != most) | (rank == most)
+    kept, largest = np.repeat(kept, sizes), top[rows] == np.repeat(rank, sizes)
+    return rows[kept], values[kept], largest[kept]
+
+
+def merged(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) by value, with values that balls in common connect made one where that gives at most twice as
+    many pairs: a group of near copies has far fewer rows so, and no pair is lost."""
+    if not len(rows):
+        return rows, values
+    (starts, sizes), label = _runs(values), np.arange(rows.max() + 1)
+    while True:  # labels fall to the smallest one they are connected to
+        least = label.copy()
+        np.minimum.at(least, rows, np.repeat(np.minimum.reduceat(label[rows], starts), sizes))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    group = label[rows[starts]]
+    balls_in = np.bincount(label[np.unique(rows)], minlength=len(label)).astype(float)
+    pairs = np.bincount(group, weights=sizes.astype(float) ** 2, minlength=len(label))
+    first = np.full(len(label), len(starts))
+    np.minimum.at(first, group, np.arange(len(starts)))
+    named = np.where((balls_in**2 <= 2 * pairs)[group], first[group], np.arange(len(starts)))
+    values = np.repeat(values[starts][named], sizes)
+    order = np.lexsort((rows, values))
+    rows, values = rows[order], values[order]
+    new = np.append(True, (rows[1:] != rows[:-1]) | (values[1:] != values[:-1]))
+    return rows[new], values[new]
+
+
+def _stars(rows: np.ndarray, values: np.ndarray, largest: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """(pairs, 2): each set, and that of its largest value which has the most company."""
+    often = np.bincount(rows, minlength=len(sets))
+    order = np.lexsort((sets[rows], often[rows], values))
+    rows, values, largest = rows[order], values[order], largest[order]
+    starts, sizes = _runs(values)
+    hub = np.repeat(rows[starts + sizes - 1], sizes)
+    some = largest & (rows != hub)
+    return np.stack([sets[rows[some]], sets[hub[some]]], 1)
+
+
+def _ball_pairs(sketches: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b, key) of sets that meet, found by their balls. Without ``roots`` (node, root): each set and the one that
+    has the most company where it has the most itself, no key. With ``roots``: where sets of different roots meet,
+    pairs without a key of those that meet alone, and else one set ``a`` of those that meet in ``key``."""
+    bits = max(2, (sketches.count() >> BUCKET).bit_length())
+    wide = 8 if roots is None else 16
+    if roots is not None:
+        sketches = sketches.join(roots, sketches["whole"] == roots["node"], "left").withColumn("root", F.coalesce("root", "whole"))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        part = np.frombuffer(b"".join(group["part"].to_pylist()), np.uint8).reshape(-1, wide + 2 * _BYTES)
+        sets, root = (_numbers(part[:, at : at + 8]).view(np.int64) for at in (0, wide - 8))
+        rows, values, largest = company(_numbers(part[:, wide : wide + _BYTES]), _numbers(part[:, wide + _BYTES :]), None if wide == 8 else root)
+        if wide > 8:
+            rows, values = merged(rows, values)
+        starts, sizes = _runs(values)
+        if wide == 8:
+            pairs, keyed = _stars(rows, values, largest, sets), np.zeros(len(rows), bool)
+        else:
+            two, keyed = starts[sizes == 2], np.repeat(sizes > 2, sizes)
+            pairs = np.stack([sets[rows[two]], sets[rows[two + 1]]], 1)
+        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        keys = (key[0].as_py() << (BITS - bits)) + values[keyed].view(np.int64)
+        single = np.arange(len(pairs) + len(keys)) >= len(pairs)
+        a, b = np.concatenate([pairs[:, 1], sets[rows[keyed]]]), np.concatenate([pairs[:, 0], np.zeros(len(keys), np.int64)])
+        return pa.table({"a": a, "b": pa.array(b, mask=single), "key": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), keys]), mask=~single)})
+
+    return _dealt(sketches, bits).groupBy("bucket").applyInArrow(run, "a long, b long, key long")
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) that sizes and parities do not rule out."""
+    part, of = SIMILAR
+    left, right = (sketches.select(F.col("whole").alias(side), F.col("n").alias(f"n_{side}"), F.col("parity").alias(f"parity_{side}")) for side in ("a", "b"))
+    near = _close("n_a", "n_b") & (_apart("parity_a", "parity_b") * (of + part) <= (F.col("n_a") + F.col("n_b")) * (of - part))
+    return pairs.join(left, "a").join(right, "b").where(near).select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -128,28 +317,25 @@ def _apart(a: str, b: str) -> Column:
     return reduce(add, (F.bit_count(F.col(a)[k].bitwiseXOR(F.col(b)[k])) for k in range(PARITY // 64)))
 
 
-def _ball_pairs(found: DataFrame) -> DataFrame:
-    """(a, b) of sets with one fingerprint and of those whose fingerprints ball hashing links."""
-    own = found.select("print", "whole").distinct()
-    first = common.materialize(own.groupBy("print").agg(F.min("whole").alias("first")), "prints")
-    same = own.join(first, "print").where("whole != first").select(*_pair("whole", "first"))
-    sides = [first.select(F.col("print").alias(side), F.col("first").alias(f"{side}_whole")) for side in ("a", "b")]
-    linked = simhash.star_links(first.select("print")).join(sides[0], "a").join(sides[1], "b").select(*_pair("a_whole", "b_whole"))
-    return same.union(linked)
-
-
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, whole, component): each document's set and the smallest id that links reach from it."""
-    found = common.materialize(_mapped(docs, id_col, text_col, "bands"), "sketches")
-    keys = found.select("whole", "n", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("whole").alias("low"), F.max("whole").alias("high")).where("low != high").select("key")
-    members = common.materialize(keys.join(shared, "key").distinct(), "members")
-    pairs = common.materialize(_ball_pairs(found), "pairs")
+    found = common.materialize(_mapped(docs, id_col, text_col, "balls"), "found")
+    sketches = common.materialize(found.select("whole", "n", "balls", "parity").dropDuplicates(["whole"]), "sketches")
+    def whole_sets(wanted: DataFrame) -> DataFrame:
+        one = found.join(wanted, "whole").groupBy("whole").agg(F.min("id").alias("one")).select("one").distinct()
+        some = docs.join(one, F.col(id_col).eqNullSafe(F.col("one")), "left_semi")
+        sets = _mapped(some, id_col, text_col, "shingles").join(wanted, "whole", "left_semi").select("whole", "shingles")
+        return common.materialize(sets.dropDuplicates(["whole"]), "sets")
+
+    stars = common.materialize(_possible(_ball_pairs(sketches).select("a", "b").distinct(), sketches), "pairs")
+    sets = whole_sets(stars.select(F.explode(F.array("a", "b")).alias("whole")).distinct())
+    links = common.materialize(_verified(stars, sets), "links")
+    met = common.materialize(_ball_pairs(sketches, simhash.components(links)), "met")
+    pairs = _possible(met.where("key IS NULL").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), sketches)
+    pairs = common.materialize(pairs, "pairs")
+    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("whole")).join(sketches.select("whole", "n"), "whole")
     wanted = members.select("whole").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
-    one = found.join(wanted, "whole").groupBy("whole").agg(F.min("id").alias("one")).select("one").distinct()
-    some = docs.join(one, F.col(id_col).eqNullSafe(F.col("one")), "left_semi")
-    sets = _mapped(some, id_col, text_col, "shingles").join(wanted, "whole", "left_semi").select("whole", "shingles")
-    sets = common.materialize(sets.dropDuplicates(["whole"]), "sets")
+    sets = sets.union(whole_sets(wanted.join(sets, "whole", "left_anti")))
 
     def rooted(links: DataFrame) -> DataFrame:
         """(key, whole, n, root) of the keys whose sets are in different components."""
@@ -158,33 +344,32 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
         return common.materialize(rows.join(split, "key"), "rooted")
 
-    links = common.materialize(_verified(pairs, sets), "links")
+    links = links.union(common.materialize(_verified(pairs, sets), "links"))
+    pairs = pairs.union(stars)
     rows = rooted(links)
     sizes = members.groupBy("key").agg(F.count("*").alias("size"))
     many = members.join(sizes, "key").groupBy("whole").agg(F.sum("size").alias("met"))
     hubs = rows.join(many, "whole").groupBy("key").agg(F.max(F.struct("met", "whole", "n", "root")).alias("hub"))
     to_hub = rows.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & _close("n", "hub.n"))
     to_hub = to_hub.select(*_pair("whole", "hub.whole")).distinct().join(pairs, ["a", "b"], "left_anti")
-    to_hub = common.materialize(to_hub, "pairs")
+    to_hub = common.materialize(_possible(to_hub, sketches), "pairs")
     links = links.union(common.materialize(_verified(to_hub, sets), "links"))
-    crossing = _crossing(rooted(links), found, sets).join(pairs.union(to_hub), ["a", "b"], "left_anti")
+    crossing = _crossing(rooted(links), sketches, sets).join(pairs.union(to_hub), ["a", "b"], "left_anti")
     links = links.union(common.materialize(_verified(crossing, sets), "links"))
     return simhash.named(found, "whole", simhash.components(links), id_col)
 
 
-def _crossing(rows: DataFrame, found: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of a key in different components that may be similar, each in the least key it shares."""
+def _crossing(rows: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): pairs of a key in different components that may be similar."""
     part, of = SIMILAR
     held = sets.select("whole", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets"), F.min("whole").alias("whole"))
     alone = held.where("sets = 1").groupBy("whole").agg(F.count("*").alias("own"))
-    bands = found.join(rows.select("whole").distinct(), "whole", "left_semi").groupBy("whole").agg(F.any_value("bands").alias("bands"), F.any_value("parity").alias("parity"))
     left = rows.join(alone, "whole", "left").withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("n") - F.col("own")) * of >= F.col("n") * part)
-    left = common.materialize(left.join(bands, "whole"), "crossing")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("whole", "n", "root", "own", "bands", "parity")))
+    left = common.materialize(left.join(sketches.select("whole", "parity"), "whole"), "crossing")
+    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("whole", "n", "root", "own", "parity")))
     shared = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) * of >= F.greatest(F.col("n") + F.col("own2"), F.col("n2") + F.col("own")) * part
     alike = _apart("parity", "parity2") * (of + part) <= (F.col("n") + F.col("n2")) * (of - part)
-    least = F.array_min(F.array_intersect("bands", "bands2")) == F.col("key")
-    return left.join(right, "key").where((F.col("whole") > F.col("whole2")) & (F.col("root") != F.col("root2")) & shared & alike & least).select(*_pair("whole", "whole2"))
+    return left.join(right, "key").where((F.col("whole") > F.col("whole2")) & (F.col("root") != F.col("root2")) & shared & alike).select(*_pair("whole", "whole2")).distinct()
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

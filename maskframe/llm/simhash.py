@@ -13,7 +13,7 @@ numbers a round.
 
 Two bits of 64 are the reach of op9's contract. A ball of radius two would reach four bits at 2,081 values a
 fingerprint, more bytes than the texts, and a pair of similarity 0.8 differs in about ten; so the stage for
-similar texts (module minhash) starts from these links and completes them.
+similar texts (module minhash) has several fingerprints a set and flips only the bits nearest to a tie.
 
 Defined results: a null or empty text (no words) has fingerprint zero; repeated rows get equal results;
 a null id is kept and never a component's name unless all ids of it are null; an empty table gives an

@@ -73,3 +73,39 @@ def test_a_near_copy_beyond_two_bits_goes(spark, tmp_path):
     assert similar(text, copy) and (brute_print(text) ^ brute_print(copy)).bit_count() > 2
     docs = spark.createDataFrame([(4, text), (1002, copy)], "doc_id long, text string")
     assert [r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()] == [4]
+
+
+def test_balls_bring_similar_sets_together():
+    chance = np.random.default_rng(7)
+    for size, shared in ((5, 4), (60, 54), (300, 268)):
+        for _ in range(20):
+            x, y = chance.integers(0, 1 << 63, (2, size), dtype=np.uint64)
+            y[:shared] = x[:shared]
+            prints, free = minhash.balls([np.unique(x), np.unique(y)])
+            assert not ((prints[0] ^ prints[1]) & ~(free[0] | free[1])).all()
+
+
+def test_values_kept_cover_all_company():
+    chance = np.random.default_rng(9)
+    low, free, root = chance.integers(0, 1 << 6, 60, dtype=np.uint64), chance.integers(0, 1 << 4, 60, dtype=np.uint64), chance.integers(0, 9, 60)
+    rows, values = minhash.flipped(low, free)
+    for roots in (None, root):
+        kept, at, _ = minhash.company(low, free, roots)
+        pairs = [{(a, b) for v in set(found.tolist()) for a in of[found == v].tolist() for b in of[found == v].tolist() if a < b and (roots is None or root[a] != root[b])} for of, found in ((rows, values), (kept, at))]
+        assert pairs[0] == pairs[1] and pairs[0]
+        whole, of = minhash.merged(kept, at)
+        assert all(((whole == a) & (of == v)).sum() <= 1 for a, v in zip(whole, of, strict=True))
+        assert pairs[0] <= {(a, b) for v in set(of.tolist()) for a in whole[of == v].tolist() for b in whole[of == v].tolist()}
+
+
+def test_near_copies_are_found_by_simhash_balls(spark, tmp_path, monkeypatch):
+    """Without the balls no near copy goes: nothing beside them finds links."""
+    texts = near_copies()
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = minhash._ball_pairs
+    monkeypatch.setattr(minhash, "_ball_pairs", lambda rows, *more: found(rows.limit(0), *more))
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    first = {}
+    for i in sorted(texts):
+        first.setdefault(frozenset(sets_of(texts[i])), i)
+    assert left == set(first.values())
