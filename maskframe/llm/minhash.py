@@ -9,12 +9,15 @@ Texts with equal shingle sets are one set before anything is emitted.
    sets: 128 values instead of 821 within two bits of 40, and more of the pairs. Sets with a common value in a table meet.
    A table brings a pair of similarity 0.8 together with probability 0.23, all tables miss it with about 0.00005
    (simulated for sets of 60 to 300 shingles), less above 0.8; ``FEW_UNSURE`` bits are tried for sets below ``FEW``.
-2. Ball hashing is the only source of candidates. Each set is first compared, in every bucket in which it meets
-   others, with the one of its largest company that has the most: in a group of near copies the one most are similar to.
-3. The balls are dealt out once more with the components found so far, and only what meets across components is
-   written down: every such pair is compared, so that no candidate link that matters is missed. Two exact bounds count against a pair before it is made: shingles that no other set has are in its union
-   and not in its intersection, and of shingles dealt out to ``PARITY`` classes each class of which one set has an odd
-   and the other an even number holds one at least that only one of them has.
+2. Ball hashing is the only source of candidates. Each set is first compared, in each bucket of ``STARS`` tables in which
+   it meets others, with the one of its largest company that has the most: in a group of near copies the one most are
+   similar to.
+3. The balls of all tables are dealt out with the components found so far, which names the sets that meet one of another
+   component; only these go on. Their balls are dealt out twice more: once to compare each with the one that has the most
+   company, and then for all pairs that still meet across components, so that no candidate link that matters is missed.
+   Exact bounds are tried where the sets meet, and only pairs that pass them become rows, however large the group: shingles that
+   no other set has are in a pair's union and not in its intersection, and of shingles dealt out to ``PARITY`` classes
+   each class of which one set has an odd and the other an even number holds one at least that only one of them has.
 
 Candidates are verified on their whole sets, so no pair below the threshold is ever linked.
 
@@ -36,13 +39,15 @@ import numpy as np
 import pyarrow as pa
 import pyspark.sql.functions as F
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 
 from maskframe.llm import common, simhash
 
 #: Similar are sets whose intersection is ``SIMILAR[0] / SIMILAR[1]`` of their union.
 WORDS, SIMILAR = 5, (4, 5)
 TABLES, BITS, UNSURE = 38, 40, 7
+#: Tables whose balls make the first links.
+STARS = 8
 #: Margins are coarse in sets of few shingles, so more bits count as unsure there.
 FEW, FEW_UNSURE = 64, 9
 #: Classes of the bound on what two sets do not share, a bit each; a multiple of 64.
@@ -154,9 +159,16 @@ def _packed(found: list[np.ndarray]) -> pa.Array:
     return _binaries(np.concatenate([np.zeros((0, 2 * _BYTES), np.uint8), *rows]), np.arange(len(found)) * TABLES)
 
 
-def _dealt(sketches: DataFrame, bits: int) -> DataFrame:
-    """(bucket, part): the sets of each bucket of each table that a batch has, with their roots, if any, and what
-    is left of their balls."""
+def _wide(column: pa.Array) -> np.ndarray:
+    """A row of bytes for each long or list of longs of one length."""
+    if pa.types.is_list(column.type):
+        return np.array(column.flatten().to_numpy()).reshape(len(column), -1).view(np.uint8)
+    return _bytes(np.array(column.to_numpy()), 8)
+
+
+def _dealt(sketches: DataFrame, bits: int, tables: int, others: tuple[str, ...]) -> DataFrame:
+    """(bucket, part): the sets of each bucket of each table that a batch has, with other columns of theirs and what is
+    left of their balls."""
     shift = np.uint64(BITS - bits)
     below = (np.uint64(1) << shift) - np.uint64(1)
 
@@ -164,19 +176,32 @@ def _dealt(sketches: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ball = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, 2 * _BYTES)
+            ball = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint8).reshape(-1, TABLES, 2 * _BYTES)
+            ball = ball[:, :tables].reshape(-1, 2 * _BYTES)
             prints, free = _numbers(ball[:, :_BYTES]), _numbers(ball[:, _BYTES:])
             rows, bucket = flipped(prints >> shift, free >> shift)
-            bucket = (rows % TABLES).astype(np.uint64) << np.uint64(bits) | bucket
+            bucket = (rows % tables).astype(np.uint64) << np.uint64(bits) | bucket
             order = np.argsort(bucket, kind="stable")
             rows, bucket = rows[order], bucket[order]
-            sets = [_bytes(np.array(column.to_numpy())[rows // TABLES], 8) for column in batch.columns[:1] + batch.columns[2:]]
-            parts = np.concatenate([*sets, _bytes(prints[rows] & below, _BYTES), _bytes(free[rows] & below, _BYTES)], axis=1)
+            sets = np.concatenate([_wide(column) for column in batch.columns[1:]], axis=1)[rows // tables]
+            parts = np.concatenate([sets, _bytes(prints[rows] & below, _BYTES), _bytes(free[rows] & below, _BYTES)], axis=1)
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].view(np.int64)), _binaries(parts, starts)], ["bucket", "part"])
 
-    names = [c for c in ("whole", "balls", "root") if c in sketches.columns]
-    return sketches.where(F.col("n") >= SIMILAR[0]).select(*names).mapInArrow(run, "bucket long, part binary")
+    return sketches.where(F.col("n") >= SIMILAR[0]).select("balls", "whole", *others).mapInArrow(run, "bucket long, part binary")
+
+
+def _buckets(sketches: DataFrame, tables: int, *others: str) -> GroupedData:
+    """The sets of a number of tables by bucket; see _read()."""
+    bits = max(2, (sketches.count() >> BUCKET).bit_length())
+    return _dealt(sketches, bits, tables, others).groupBy("bucket")
+
+
+def _read(group: pa.Table, longs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(longs of each set, low, free) of a bucket."""
+    part = np.frombuffer(b"".join(group["part"].to_pylist()), np.uint8).reshape(-1, 8 * longs + 2 * _BYTES)
+    numbers = np.ascontiguousarray(part[:, : 8 * longs]).view("<i8")
+    return numbers, _numbers(part[:, 8 * longs : -_BYTES]), _numbers(part[:, -_BYTES:])
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,34 +278,70 @@ def _stars(rows: np.ndarray, values: np.ndarray, largest: np.ndarray, sets: np.n
     return np.stack([sets[rows[some]], sets[hub[some]]], 1)
 
 
-def _ball_pairs(sketches: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(a, b, key) of sets that meet, found by their balls. Without ``roots`` (node, root): each set and the one that
-    has the most company where it has the most itself, no key. With ``roots``: where sets of different roots meet,
-    pairs without a key of those that meet alone, and else one set ``a`` of those that meet in ``key``."""
-    bits = max(2, (sketches.count() >> BUCKET).bit_length())
-    wide = 8 if roots is None else 16
-    if roots is not None:
-        sketches = sketches.join(roots, sketches["whole"] == roots["node"], "left").withColumn("root", F.coalesce("root", "whole"))
+def crossing(rows: np.ndarray, values: np.ndarray, known: np.ndarray, hubs: bool) -> np.ndarray:
+    """(pairs, 2): rows with a common value and different roots that no bound rules out, by what is ``known`` of each:
+    root, size, shingles no other set has, parities. With ``hubs`` only pairs with the row of a value that has the most company."""
+    (part, of), (root, n, own), odd = SIMILAR, known[:, :3].T, known[:, 3:].astype(np.uint64)
+    order = np.lexsort((n[rows], values))
+    rows, often = rows[order], np.bincount(rows, minlength=len(known))
+    pairs = [np.zeros((0, 2), np.int64)]
+    for at, size in zip(*map(np.ndarray.tolist, _runs(values[order])), strict=True):
+        some = rows[at : at + size]
+        if hubs:
+            left = some[often[some].argmax()][None]
+        else:  # every pair of different roots has one outside of the largest component
+            names, of_name, counts = np.unique(root[some], return_inverse=True, return_counts=True)
+            left = some[of_name != counts.argmax()]
+        sizes = n[some]
+        for x in left.tolist():
+            both = n[x] - own[x]
+            y = some[np.searchsorted(sizes, -(-n[x] * part // of)) : np.searchsorted(sizes, both * of // part - own[x], "right")]
+            shared = np.minimum(both, n[y] - own[y]) * of >= np.maximum(n[x] + own[y], n[y] + own[x]) * part
+            y = y[shared & (root[y] != root[x])]
+            apart = np.bitwise_count(odd[y] ^ odd[x]).sum(axis=1, dtype=np.int64)
+            y = y[apart * (of + part) <= (n[x] + n[y]) * (of - part)]
+            pairs.append(np.stack([np.full(len(y), x), y], 1))
+    return np.concatenate(pairs)
+
+
+def _ball_pairs(sketches: DataFrame, hubs: bool | None = None) -> DataFrame:
+    """(a, b) of sets that meet, found by their balls: each set and the one that has the most company where it has the most
+    itself; with ``hubs`` given, of sets with a root, pairs of different roots that may be similar: see crossing()."""
+    known = ("root", "n", "own", "parity")
+
+    def stars(key: tuple, group: pa.Table) -> pa.Table:
+        numbers, low, free = _read(group, 1)
+        return _ordered(_stars(*company(low, free), numbers[:, 0]))
+
+    def across(key: tuple, group: pa.Table) -> pa.Table:
+        numbers, low, free = _read(group, 4 + PARITY // 64)
+        rows, values, _ = company(low, free, numbers[:, 1])
+        return _ordered(numbers[:, 0][crossing(*merged(rows, values), numbers[:, 1:], hubs)])
+
+    if hubs is None:
+        return _buckets(sketches, STARS).applyInArrow(stars, "a long, b long").distinct()
+    return _buckets(sketches, TABLES, *known).applyInArrow(across, "a long, b long").distinct()
+
+
+def _ordered(pairs: np.ndarray) -> pa.Table:
+    """(a, b) of pairs, each once."""
+    pairs = np.unique(np.sort(pairs.reshape(-1, 2), axis=1), axis=0)
+    return pa.table({"a": pairs[:, 1], "b": pairs[:, 0]})
+
+
+def _met(sketches: DataFrame) -> DataFrame:
+    """(whole) of the sets that meet one of another root."""
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
-        part = np.frombuffer(b"".join(group["part"].to_pylist()), np.uint8).reshape(-1, wide + 2 * _BYTES)
-        sets, root = (_numbers(part[:, at : at + 8]).view(np.int64) for at in (0, wide - 8))
-        rows, values, largest = company(_numbers(part[:, wide : wide + _BYTES]), _numbers(part[:, wide + _BYTES :]), None if wide == 8 else root)
-        if wide > 8:
-            rows, values = merged(rows, values)
-        starts, sizes = _runs(values)
-        if wide == 8:
-            pairs, keyed = _stars(rows, values, largest, sets), np.zeros(len(rows), bool)
-        else:
-            two, keyed = starts[sizes == 2], np.repeat(sizes > 2, sizes)
-            pairs = np.stack([sets[rows[two]], sets[rows[two + 1]]], 1)
-        pairs = np.unique(np.sort(pairs, axis=1), axis=0)
-        keys = (key[0].as_py() << (BITS - bits)) + values[keyed].view(np.int64)
-        single = np.arange(len(pairs) + len(keys)) >= len(pairs)
-        a, b = np.concatenate([pairs[:, 1], sets[rows[keyed]]]), np.concatenate([pairs[:, 0], np.zeros(len(keys), np.int64)])
-        return pa.table({"a": a, "b": pa.array(b, mask=single), "key": pa.array(np.concatenate([np.zeros(len(pairs), np.int64), keys]), mask=~single)})
+        numbers, low, free = _read(group, 2)
+        return pa.table({"whole": numbers[np.unique(company(low, free, numbers[:, 1])[0]), 0]})
+
+    return _buckets(sketches, TABLES, "root").applyInArrow(run, "whole long").distinct()
 
-    return _dealt(sketches, bits).groupBy("bucket").applyInArrow(run, "a long, b long, key long")
+
+def _rooted(sketches: DataFrame, roots: DataFrame) -> DataFrame:
+    """The sketches with their roots."""
+    return sketches.join(roots, sketches["whole"] == roots["node"], "left").withColumn("root", F.coalesce("root", "whole")).drop("node")
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -302,10 +363,6 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.where(alike).select("a", "b")
 
 
-def _pair(a: str, b: str) -> list:
-    return [F.greatest(a, b).alias("a"), F.least(a, b).alias("b")]
-
-
 def _close(a: str, b: str) -> Column:
     """Whether sets of these sizes can be similar."""
     part, of = SIMILAR
@@ -327,49 +384,27 @@ def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         sets = _mapped(some, id_col, text_col, "shingles").join(wanted, "whole", "left_semi").select("whole", "shingles")
         return common.materialize(sets.dropDuplicates(["whole"]), "sets")
 
-    stars = common.materialize(_possible(_ball_pairs(sketches).select("a", "b").distinct(), sketches), "pairs")
-    sets = whole_sets(stars.select(F.explode(F.array("a", "b")).alias("whole")).distinct())
-    links = common.materialize(_verified(stars, sets), "links")
-    met = common.materialize(_ball_pairs(sketches, simhash.components(links)), "met")
-    pairs = _possible(met.where("key IS NULL").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti"), sketches)
-    pairs = common.materialize(pairs, "pairs")
-    members = met.where("key IS NOT NULL").select("key", F.col("a").alias("whole")).join(sketches.select("whole", "n"), "whole")
-    wanted = members.select("whole").union(pairs.select(F.explode(F.array("a", "b")))).distinct()
-    sets = sets.union(whole_sets(wanted.join(sets, "whole", "left_anti")))
-
-    def rooted(links: DataFrame) -> DataFrame:
-        """(key, whole, n, root) of the keys whose sets are in different components."""
-        roots = simhash.components(links)
-        rows = members.join(roots, members["whole"] == roots["node"], "left").select("key", "whole", "n", F.coalesce("root", "whole").alias("root"))
-        split = rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("key")
-        return common.materialize(rows.join(split, "key"), "rooted")
-
-    links = links.union(common.materialize(_verified(pairs, sets), "links"))
-    pairs = pairs.union(stars)
-    rows = rooted(links)
-    sizes = members.groupBy("key").agg(F.count("*").alias("size"))
-    many = members.join(sizes, "key").groupBy("whole").agg(F.sum("size").alias("met"))
-    hubs = rows.join(many, "whole").groupBy("key").agg(F.max(F.struct("met", "whole", "n", "root")).alias("hub"))
-    to_hub = rows.join(hubs, "key").where((F.col("root") != F.col("hub.root")) & _close("n", "hub.n"))
-    to_hub = to_hub.select(*_pair("whole", "hub.whole")).distinct().join(pairs, ["a", "b"], "left_anti")
-    to_hub = common.materialize(_possible(to_hub, sketches), "pairs")
-    links = links.union(common.materialize(_verified(to_hub, sets), "links"))
-    crossing = _crossing(rooted(links), sketches, sets).join(pairs.union(to_hub), ["a", "b"], "left_anti")
-    links = links.union(common.materialize(_verified(crossing, sets), "links"))
-    return simhash.named(found, "whole", simhash.components(links), id_col)
-
-
-def _crossing(rows: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): pairs of a key in different components that may be similar."""
+    tried = common.materialize(_possible(_ball_pairs(sketches), sketches), "pairs")
+    sets = whole_sets(tried.select(F.explode(F.array("a", "b")).alias("whole")).distinct())
+    roots = simhash.components(_verified(tried, sets))
+    met = common.materialize(_met(_rooted(sketches, roots)), "met")
+    sets = sets.union(whole_sets(met.join(sets, "whole", "left_anti")))
+    left = common.materialize(_bounded(sketches.join(met, "whole"), sets.join(met, "whole", "left_semi")), "left")
+    for hubs in (True, False):
+        pairs = _ball_pairs(_rooted(left, roots), hubs).join(tried, ["a", "b"], "left_anti")
+        pairs = common.materialize(pairs, "pairs")
+        known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots, tried = simhash.components(_verified(pairs, sets).union(known)), tried.union(pairs)
+    return simhash.named(found, "whole", roots, id_col)
+
+
+def _bounded(sketches: DataFrame, sets: DataFrame) -> DataFrame:
+    """The sketches with how many shingles none of the other sets has (``own``), but for those that can be similar to
+    none of them for it."""
     part, of = SIMILAR
     held = sets.select("whole", F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count("*").alias("sets"), F.min("whole").alias("whole"))
     alone = held.where("sets = 1").groupBy("whole").agg(F.count("*").alias("own"))
-    left = rows.join(alone, "whole", "left").withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("n") - F.col("own")) * of >= F.col("n") * part)
-    left = common.materialize(left.join(sketches.select("whole", "parity"), "whole"), "crossing")
-    right = left.select("key", *(F.col(c).alias(f"{c}2") for c in ("whole", "n", "root", "own", "parity")))
-    shared = F.least(F.col("n") - F.col("own"), F.col("n2") - F.col("own2")) * of >= F.greatest(F.col("n") + F.col("own2"), F.col("n2") + F.col("own")) * part
-    alike = _apart("parity", "parity2") * (of + part) <= (F.col("n") + F.col("n2")) * (of - part)
-    return left.join(right, "key").where((F.col("whole") > F.col("whole2")) & (F.col("root") != F.col("root2")) & shared & alike).select(*_pair("whole", "whole2")).distinct()
+    return sketches.join(alone, "whole", "left").withColumn("own", F.coalesce("own", F.lit(0))).where((F.col("n") - F.col("own")) * of >= F.col("n") * part)
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:

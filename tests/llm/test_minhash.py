@@ -109,3 +109,54 @@ def test_near_copies_are_found_by_simhash_balls(spark, tmp_path, monkeypatch):
     for i in sorted(texts):
         first.setdefault(frozenset(sets_of(texts[i])), i)
     assert left == set(first.values())
+
+
+def test_a_large_group_makes_few_rows(spark, tmp_path, monkeypatch):
+    """Copies of one text with 1 to 12 words replaced: they all meet, and not all are similar. No table that the stage
+    writes has rows for their pairs, and the rows kept are those of all pairs."""
+    chance = random.Random(12)
+    base = [f"w{chance.randrange(5000)}" for _ in range(300)]
+    texts = {}
+    for i in range(400):
+        words = list(base)
+        for at in chance.sample(range(300), chance.randrange(1, 13)):
+            words[at] = f"x{chance.randrange(5000)}"
+        texts[i] = " ".join(words)
+    sets, root = {i: sets_of(text) for i, text in texts.items()}, {i: i for i in texts}
+    for i in texts:
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) * 5 >= len(sets[i] | sets[j]) * 4:
+                low, high = sorted((root[i], root[j]))
+                root = {k: low if r == high else r for k, r in root.items()}
+    written, write = {}, minhash.common.materialize
+
+    def counted(df, tag):
+        out = write(df, tag)
+        written[tag] = max(written.get(tag, 0), out.count())
+        return out
+
+    monkeypatch.setattr(minhash.common, "materialize", counted)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    left = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()}
+    assert left == set(root.values()) and 1 < len(left) < 400
+    assert max(written.values()) <= 10 * len(texts), written
+
+
+def test_bounds_where_sets_meet_lose_no_similar_pair():
+    chance = np.random.default_rng(13)
+    base, found = chance.integers(0, 1 << 63, 200, dtype=np.uint64), []
+    for _ in range(60):
+        at = chance.permutation(200)[: chance.integers(0, 40)]
+        found.append(base.copy())
+        found[-1][at] = chance.integers(0, 1 << 63, len(at), dtype=np.uint64)
+        found[-1] = np.unique(found[-1][chance.integers(0, 30) :])
+    every, times = np.unique(np.concatenate(found), return_counts=True)
+    own = [int(np.isin(x, every[times == 1]).sum()) for x in found]
+    root = chance.integers(0, 5, 60)
+    known = np.array([[r, len(x), o, *minhash.parity(x).view(np.int64)] for r, x, o in zip(root, found, own, strict=True)])
+    similar_pairs = {(a, b) for a in range(60) for b in range(a) if root[a] != root[b] and len(np.intersect1d(found[a], found[b])) * 5 >= len(np.union1d(found[a], found[b])) * 4}
+    rows, values = np.arange(60), np.zeros(60, np.uint64)
+    pairs = {(max(p), min(p)) for p in minhash.crossing(rows, values, known, False).tolist()}
+    assert similar_pairs and similar_pairs <= pairs and len(pairs) < 60 * 59 // 2
+    hubs = {(max(p), min(p)) for p in minhash.crossing(rows, values, known, True).tolist()}
+    assert hubs <= pairs
