@@ -54,6 +54,8 @@ FEW, FEW_UNSURE = 64, 9
 PARITY = 1024
 #: A bucket of a table gets about so many sets, as a power of two.
 BUCKET = 13
+#: Values of a bucket that are made at once where its balls are dealt out whole.
+VALUES = 1 << 17
 _LANES = -(-TABLES * BITS // 64)
 _FLIP = np.random.default_rng(60).integers(0, 1 << 63, _LANES, dtype=np.uint64) << np.uint64(1)
 _ODD = np.random.default_rng(61).integers(1 << 62, 1 << 63, _LANES, dtype=np.uint64) | np.uint64(1)
@@ -210,12 +212,29 @@ def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(values)))
 
 
+def divided(low: np.ndarray, free: np.ndarray, most: int = VALUES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, low, free) of the balls cut by the first bits of their values, so far that no part has more values than ``most``
+    or a ball is one value: what a bucket takes in memory does not grow with it. Balls with a common value meet in one part."""
+    parts = [(np.arange(len(low)), low, free, BITS)]
+    while parts:
+        rows, low, free, bits = parts.pop()
+        if not bits or np.exp2(np.bitwise_count(free), dtype=np.float64).sum() <= most:
+            yield rows, low, free
+            continue
+        one = np.uint64(1 << (bits - 1))
+        for side in (np.uint64(0), one):
+            some = np.flatnonzero((free & one != 0) | (low & one == side))
+            parts.append((rows[some], low[some] & ~one | side, free[some] & ~one, bits - 1))
+
+
 def company(low: np.ndarray, free: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, value) of the values that several balls of a bucket have, with different roots if given, by value, and
     which of them is in its row's largest value. Of values that the same balls have one stays, and none whose balls
     all have one and the same larger value as their largest."""
-    rows, values = flipped(low, free)
-    met = values << np.uint64(_ROW) | rows.astype(np.uint64)
+    rows, met = flipped(low, free)
+    met <<= np.uint64(_ROW)
+    met |= rows.view(np.uint64)
+    del rows
     met.sort()
     same = met[1:] >> np.uint64(_ROW) == met[:-1] >> np.uint64(_ROW)
     met = met[np.append(same, False) | np.append(False, same)]
@@ -315,8 +334,11 @@ def _ball_pairs(sketches: DataFrame, hubs: bool | None = None) -> DataFrame:
 
     def across(key: tuple, group: pa.Table) -> pa.Table:
         numbers, low, free = _read(group, 4 + PARITY // 64)
-        rows, values, _ = company(low, free, numbers[:, 1])
-        return _ordered(numbers[:, 0][crossing(*merged(rows, values), numbers[:, 1:], hubs)])
+        pairs = []
+        for some, low, free in divided(low, free):
+            rows, values, _ = company(low, free, numbers[some, 1])
+            pairs.append(_ordered(numbers[some, 0][crossing(*merged(rows, values), numbers[some, 1:], hubs)]))
+        return pa.concat_tables(pairs)
 
     if hubs is None:
         return _buckets(sketches, STARS).applyInArrow(stars, "a long, b long").distinct()
@@ -334,7 +356,10 @@ def _met(sketches: DataFrame) -> DataFrame:
 
     def run(key: tuple, group: pa.Table) -> pa.Table:
         numbers, low, free = _read(group, 2)
-        return pa.table({"whole": numbers[np.unique(company(low, free, numbers[:, 1])[0]), 0]})
+        met = np.zeros(len(numbers), bool)
+        for some, low, free in divided(low, free):
+            met[some[company(low, free, numbers[some, 1])[0]]] = True
+        return pa.table({"whole": numbers[met, 0]})
 
     return _buckets(sketches, TABLES, "root").applyInArrow(run, "whole long").distinct()
 

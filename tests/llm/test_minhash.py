@@ -160,3 +160,17 @@ def test_bounds_where_sets_meet_lose_no_similar_pair():
     assert similar_pairs and similar_pairs <= pairs and len(pairs) < 60 * 59 // 2
     hubs = {(max(p), min(p)) for p in minhash.crossing(rows, values, known, True).tolist()}
     assert hubs <= pairs
+
+
+def test_divided_balls_keep_all_company():
+    chance = np.random.default_rng(15)
+    low, free = chance.integers(0, 1 << 6, 60, dtype=np.uint64), chance.integers(0, 1 << 4, 60, dtype=np.uint64)
+
+    def met(rows, low, free):
+        of, values = minhash.flipped(low, free)
+        return {(int(v), int(rows[k])) for k, v in zip(of, values, strict=True)}
+
+    parts = list(minhash.divided(low, free, 40))
+    assert len(parts) > 4 and all(len(minhash.flipped(*part[1:])[0]) <= 40 for part in parts)
+    assert set().union(*(met(*part) for part in parts)) == met(np.arange(60), low, free)
+    assert sum(len(met(*part)) for part in parts) == len(met(np.arange(60), low, free))
