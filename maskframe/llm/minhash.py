@@ -224,7 +224,8 @@ def divided(low: np.ndarray, free: np.ndarray, most: int = VALUES) -> Iterator[t
         one = np.uint64(1 << (bits - 1))
         for side in (np.uint64(0), one):
             some = np.flatnonzero((free & one != 0) | (low & one == side))
-            parts.append((rows[some], low[some] & ~one | side, free[some] & ~one, bits - 1))
+            if len(some):
+                parts.append((rows[some], low[some] & ~one | side, free[some] & ~one, bits - 1))
 
 
 def company(low: np.ndarray, free: np.ndarray, root: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

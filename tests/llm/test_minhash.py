@@ -171,6 +171,7 @@ def test_divided_balls_keep_all_company():
         return {(int(v), int(rows[k])) for k, v in zip(of, values, strict=True)}
 
     parts = list(minhash.divided(low, free, 40))
-    assert len(parts) > 4 and all(len(minhash.flipped(*part[1:])[0]) <= 40 for part in parts)
+    assert len(list(minhash.divided(low[:1], free[:1], 1))) == 2 ** int(free[0]).bit_count()
+    assert len(parts) > 4 and all(len(part[0]) and len(minhash.flipped(*part[1:])[0]) <= 40 for part in parts)
     assert set().union(*(met(*part) for part in parts)) == met(np.arange(60), low, free)
     assert sum(len(met(*part)) for part in parts) == len(met(np.arange(60), low, free))
