@@ -8,7 +8,8 @@ window over one row a partition, then one over the shards of each partition.
 
 Encoding is by the tokenizers library. For tokenizers that lower-case and split as ``_SPLITS`` says, texts are cut
 where no token can reach across (blanks, and between letters and plain punctuation) and each distinct piece of a
-task is encoded once; pieces are told apart by their bytes. Any other tokenizer encodes texts whole.
+block is looked up once, by its bytes, among those that the process knows from its earlier blocks and tasks; what is
+new is encoded by the library, many pieces a call. Any other tokenizer encodes texts whole.
 
 Defined results: a null or empty text has the end id alone; null ids come first; repeated rows and ids
 are kept, ties in order of their text; an empty table gives no files and an empty result; other
@@ -23,7 +24,7 @@ import json
 import os
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -50,6 +51,9 @@ def _classes() -> np.ndarray:
 
 
 _CLASS = _classes()
+#: Whether a piece begins or ends between bytes of two classes (4 * left + right).
+_BOUND = np.zeros(16, bool)
+_BOUND[[_BLANK * 4 + k for k in (_LETTER, _MARK, _OTHER)] + [k * 4 + _BLANK for k in (_LETTER, _MARK, _OTHER)] + [_LETTER * 4 + _MARK, _MARK * 4 + _LETTER]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 #: The normaliser and pre-tokenizer that the cuts are right for.
@@ -65,6 +69,10 @@ _SPLITS = {
 }
 #: Pieces of up to so many bytes are their own key.
 _SHORT = 7
+#: Plain pieces that are encoded in one call.
+_AT_ONCE = 1 << 13
+#: Bytes of texts whose pieces are found at once; arrays over them are the most memory that an encoder takes.
+_RUN = 1 << 21
 
 
 @lru_cache(maxsize=1)
@@ -96,12 +104,27 @@ def tokenizer_of(path: str):
     return _tokenizer(path)[0]
 
 
+@lru_cache(maxsize=2)
+def _listing(path: str):
+    """The model under a pre-tokenizer that takes plain pieces joined by zeros one by one, and the id of a zero; None where
+    zeros have no token of their own."""
+    import tokenizers
+
+    listing, kinds = tokenizers.Tokenizer(tokenizer_of(path).model), tokenizers.pre_tokenizers
+    listing.pre_tokenizer = kinds.Sequence([kinds.Digits(individual_digits=True), kinds.ByteLevel(add_prefix_space=False, use_regex=False)])
+    zero = listing.encode("0", add_special_tokens=False).ids
+    return (listing, zero[0]) if len(zero) == 1 and listing.id_to_token(zero[0]).startswith("0") else None
+
+
 class Encoder:
-    """Encodes runs of documents; remembers the ids of pieces, CACHE_PIECES at most. With ``normalised`` the
-    texts have been through the normaliser and hold no special tokens."""
+    """Encodes runs of documents; remembers the ids of pieces, CACHE_PIECES at most besides those of one run, and forgets
+    first what it has met in one run only. With ``normalised`` the texts have been through the normaliser and hold no
+    special tokens."""
 
     def __init__(self, path: str, normalised: bool = False):
-        (self.tokenizer, self.cuts, self.special), self.known = _tokenizer(path), {}
+        (self.tokenizer, self.cuts, self.special), self.path, self.known = _tokenizer(path), path, {}
+        #: By the number that a piece has in ``known``: its ids, one piece after the other, how many, and whether it was met again.
+        self.values, self.sizes, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
         self.plain, self.normalised = re.compile(_PLAIN).fullmatch, normalised
         self.marks = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special and not normalised else None
 
@@ -114,23 +137,56 @@ class Encoder:
         """The ids of a normalised piece."""
         return [token.id for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text) for token in self.tokenizer.model.tokenize(word)]
 
-    def _ids(self, keys: list, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of pieces, by their keys; unknown ones are learnt."""
-        unseen = [i for i, key in enumerate(keys) if key not in self.known]
-        if len(self.known) + len(unseen) > CACHE_PIECES:
-            self.known.clear()
-            unseen = range(len(keys))
-        rest, model, letters = [], self.tokenizer.model.tokenize, _byte_letters()
-        for i in unseen:
-            if self.plain(pieces[i]):
-                self.known[keys[i]] = [token.id for token in model(pieces[i].decode("latin-1").translate(letters))]
+    def _numbers(self, keys: list[int | bytes | tuple[bytes]]) -> np.ndarray:
+        """The numbers of pieces, by their keys; unknown ones are learnt."""
+        at = np.fromiter(map(self.known.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+        had, unseen = np.flatnonzero(at >= 0), np.flatnonzero(at < 0).tolist()
+        self.again[at[had]] = True
+        if self.known and len(self.known) + len(unseen) > CACHE_PIECES:
+            at[had] = self._forget(at[had])
+        if unseen:
+            self._learn(dict.fromkeys([keys[i] for i in unseen]))
+            at[unseen] = [self.known[keys[i]] for i in unseen]
+        return at
+
+    def _forget(self, needed: np.ndarray) -> np.ndarray:
+        """Forgets the pieces met once, and all but ``needed`` ones if those met again are many; the new numbers of ``needed``."""
+        keep = self.again
+        if keep.sum() > CACHE_PIECES // 2:
+            keep = np.zeros(len(keep), bool)
+            keep[needed] = True
+        self.known = {key: k for k, key in enumerate(itertools.compress(self.known, keep.tolist()))}
+        self.values, self.sizes, self.again = self.values[np.repeat(keep, self.sizes)], self.sizes[keep], np.zeros(keep.sum(), bool)
+        return (np.cumsum(keep) - 1)[needed]
+
+    def _learn(self, keys: Iterable[int | bytes | tuple[bytes]]) -> None:
+        """Encodes the pieces of distinct keys: those plain ones first that need no normaliser."""
+        plain, rest = {}, {}
+        for key in keys:
+            if isinstance(key, int):
+                piece, mixed = key.to_bytes(8, "little")[: key >> 57], key >> 56 & 1
+            else:
+                piece, mixed = (key, False) if isinstance(key, bytes) else (key[0], True)
+            (plain if not mixed and piece.isascii() or self.plain(piece) else rest)[key] = piece
+        texts = [piece.decode("utf-8", "replace") for piece in rest.values()]
+        encoded = map(self._model, texts) if self.normalised else (found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+        made = [*self._plain(list(plain.values())), _flat(list(encoded))]
+        self.values = np.concatenate([self.values, *(values for values, _ in made)])
+        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in made)])
+        first = len(self.known)
+        self.known.update(zip(itertools.chain(plain, rest), range(first, len(self.sizes)), strict=True))
+        self.again = np.concatenate((self.again, np.zeros(len(self.known) - first, bool)))
+
+    def _plain(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The ids of plain pieces, and how many each has, run by run."""
+        listing, model, letters = _listing(self.path), self.tokenizer.model.tokenize, _byte_letters()
+        for some in (pieces[k : k + _AT_ONCE] for k in range(0, len(pieces), _AT_ONCE)):
+            if listing:
+                ids = np.array(listing[0].encode_batch_fast([b"0".join(some).decode()], add_special_tokens=False)[0].ids, np.uint32)
+                zeros = np.flatnonzero(ids == listing[1])
+                yield np.delete(ids, zeros), np.diff(np.concatenate(([-1], zeros, [len(ids)]))) - 1
             else:
-                rest.append(i)
-        plain = [pieces[i].decode("utf-8", "replace") for i in rest]
-        encoded = map(self._model, plain) if self.normalised else (found.ids for found in self.tokenizer.encode_batch_fast(plain, add_special_tokens=False))
-        for i, found in zip(rest, encoded, strict=True):
-            self.known[keys[i]] = found
-        return [self.known[key] for key in keys]
+                yield _flat([[token.id for token in model(piece.decode("latin-1").translate(letters))] for piece in some])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -139,10 +195,16 @@ class Encoder:
             return [np.array(found.ids, np.uint32) for found in encoded]
         if self.marks and any(map(self.marks.search, texts)):
             parts = list(map(self.parts, texts))
-            found = iter(self._run([part for some in parts for part in some if isinstance(part, bytes)]))
+            found = iter(self._runs([part for some in parts for part in some if isinstance(part, bytes)]))
             ids = [[next(found) if isinstance(part, bytes) else np.array([part], np.uint32) for part in some] for some in parts]
             return [np.concatenate(some) if some else np.zeros(0, np.uint32) for some in ids]
-        return self._run(texts)
+        return self._runs(texts)
+
+    def _runs(self, texts: list[bytes]) -> list[np.ndarray]:
+        """The ids of texts without special tokens, run by run."""
+        run = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts))) // _RUN
+        cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(texts)]
+        return [ids for a, b in itertools.pairwise(cuts) for ids in self._run(texts[a:b])]
 
     def _run(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of texts without special tokens."""
@@ -153,58 +215,71 @@ class Encoder:
         kind = _CLASS[raw]
         accent = np.flatnonzero((raw[:-1] == 0xC3) & (raw[1:] != 0x97) & (raw[1:] != 0xB7) & (raw[1:] >= 0x80))
         kind[accent] = kind[accent + 1] = _LETTER
-        before = np.concatenate((np.zeros(1, np.uint8), kind[:-1]))
-        pair = before * 4 + kind
-        begin = np.flatnonzero((kind != _BLANK) & ((before == _BLANK) | (pair == _LETTER * 4 + _MARK) | (pair == _MARK * 4 + _LETTER)))
-        if not len(begin):
+        pair = kind.copy()
+        pair[1:] += kind[:-1] * 4
+        bounds = np.flatnonzero(_BOUND[pair])  # the last byte is blank, so each piece has one where it ends
+        starts = np.flatnonzero(kind[bounds] != _BLANK)
+        if not len(starts):
             return [np.zeros(0, np.uint32)] * len(texts)
-        blanks = np.flatnonzero(kind == _BLANK)
-        stop = np.minimum(blanks[np.searchsorted(blanks, begin)], np.append(begin[1:], len(raw)))
-        mixed = np.add.reduceat(kind == _OTHER, begin, dtype=np.int64) > 0
+        begin, stop = bounds[starts], bounds[starts + 1]
+        mixed = np.maximum.reduceat(kind, begin) == _OTHER
         lower = _LOWER[raw]
         high = accent + 1
         lower[high[raw[high] <= 0x9E]] += 0x20
         lower = np.where(np.repeat(np.concatenate(([False], mixed)), np.diff(np.concatenate(([0], begin, [len(raw)])))), raw, lower)
-        found, place = self._pieces(lower, begin, stop, mixed)
-        size = np.fromiter(map(len, found), np.int64, len(found))
-        values = np.fromiter(itertools.chain.from_iterable(found), np.uint32)
-        sizes_at = size[place]
+        number = self._pieces(lower, begin, stop, mixed)
+        sizes_at = self.sizes[number]
         ends = np.concatenate(([0], np.cumsum(sizes_at)))
-        ids = values[np.arange(ends[-1]) + np.repeat((np.cumsum(size) - size)[place] - ends[:-1], sizes_at)]
+        ids = self.values[np.arange(ends[-1]) + np.repeat((np.cumsum(self.sizes) - self.sizes)[number] - ends[:-1], sizes_at)]
         return np.split(ids, ends[np.searchsorted(begin, np.cumsum(sizes)[:-1])])
 
-    def _pieces(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, mixed: np.ndarray) -> tuple[list[list[int]], np.ndarray]:
-        """The ids of the distinct pieces, and which of them each piece is. A short piece's bytes, size and kind are a
-        key of 64 bits. Long ones are grouped by some of their bytes and compared with the first of their group
-        in full; what differs is looked up by itself."""
+    def _pieces(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """The number of each piece. A short piece's bytes, size and kind are a key of 64 bits. Long ones are grouped by
+        some of their bytes and compared with one of their group in full; what differs is looked up by itself."""
         padded = np.concatenate((data, np.zeros(8, np.uint8)))
         words = np.ndarray(len(data) + 1, "<u8", padded.data, strides=(1,))  # the eight bytes at each place
         size = (stop - begin).astype(np.uint64)
         short, place = size <= _SHORT, np.empty(len(begin), np.int64)
         first = words[begin]
         key = first[short] & ~(~np.uint64(0) << (size[short] * np.uint64(8))) | (size[short] * np.uint64(2) + mixed[short]) << np.uint64(56)
-        keys, at, place[short] = np.unique(key, return_index=True, return_inverse=True)
-        text = data.tobytes()
-        pieces = lambda which: [text[a:b] for a, b in zip(begin[which].tolist(), stop[which].tolist(), strict=True)]
-        found = self._ids(keys.tolist(), pieces(np.flatnonzero(short)[at]))
-        long = np.flatnonzero(~short)
+        keys, place[short] = _distinct(key)
+        keys, long = keys.tolist(), np.flatnonzero(~short)
         if len(long):
             some = first[long] * np.uint64(0x9E3779B97F4A7C15) ^ words[stop[long] - 8] * np.uint64(0xC2B2AE3D27D4EB4F)
             some += words[(begin[long] + stop[long]) // 2 - 4] * np.uint64(0x165667B19E3779F9) + size[long] * np.uint64(2) + mixed[long]
-            _, at, group = np.unique(some, return_index=True, return_inverse=True)
+            groups, group = _distinct(some)
+            at = np.empty(len(groups), np.int64)
+            at[group] = np.arange(len(group))
             one = long[at][group]
             width = (stop - begin)[long]
             equal = (width == (stop - begin)[one]) & (mixed[long] == mixed[one])
             width = np.where(equal, width, 1)
             step = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
             differs = data[np.repeat(begin[long], width) + step] != data[np.repeat(begin[one], width) + step]
-            equal &= np.add.reduceat(differs, np.cumsum(width) - width, dtype=np.int64) == 0
-            place[long] = len(found) + group
-            place[long[~equal]] = len(found) + len(at) + np.arange((~equal).sum())
-            which = np.concatenate((long[at], long[~equal]))
-            listed = pieces(which)
-            found = found + self._ids(list(zip(listed, mixed[which].tolist(), strict=True)), listed)
-        return found, place
+            equal &= ~np.logical_or.reduceat(differs, np.cumsum(width) - width)
+            place[long] = len(keys) + group
+            place[long[~equal]] = len(keys) + len(at) + np.arange((~equal).sum())
+            which, text = np.concatenate((long[at], long[~equal])), data.tobytes()
+            listed = (text[a:b] for a, b in zip(begin[which].tolist(), stop[which].tolist(), strict=True))
+            keys += [(piece,) if odd else piece for piece, odd in zip(listed, mixed[which].tolist(), strict=True)]
+        return self._numbers(keys)[place]
+
+
+def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Lists one after the other, and their sizes."""
+    return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, and which of them each one is."""
+    coded = pa.array(values).dictionary_encode()
+    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """The encoder of a process, which its tasks share."""
+    return Encoder(path)
 
 
 def write(
@@ -219,7 +294,7 @@ def write(
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
 
-        part, encode, made = TaskContext.get().partitionId(), Encoder(tokenizer), []
+        part, encode, made = TaskContext.get().partitionId(), encoder(tokenizer), []
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root)
 

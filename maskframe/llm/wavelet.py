@@ -10,25 +10,34 @@ first needed.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
 MAGIC = b"WVM2"
 _ROW = 64  # bytes of a plane between two counts of its directory
 
 
+def _narrow(planes: int) -> type:
+    """The type that ids of so many bits are moved in."""
+    return np.uint16 if planes <= 16 else np.uint32 if planes <= 32 else np.uint64
+
+
+def _flags(packed: np.ndarray, n: int) -> pa.Array:
+    """The first n bits as booleans."""
+    return pa.Array.from_buffers(pa.bool_(), n, [None, pa.py_buffer(packed)])
+
+
 def dump(ids: np.ndarray, docs: bytes = b"", n_docs: int = 0) -> bytes:
     """The file for ``ids`` (unsigned); ``docs`` describes the documents they belong to."""
     n, planes = len(ids), max(1, int(ids.max()).bit_length() if len(ids) else 1)
     squeeze = zstandard.ZstdCompressor(level=1).compress
-    order, out, directories = ids, [], []
+    order, out, directories = ids.astype(_narrow(planes)), [], []
     for k in range(planes - 1, -1, -1):
-        bit = ((order >> k) & 1).view(np.uint8) if order.itemsize == 1 else ((order >> k) & 1).astype(np.uint8)
-        raw = np.packbits(bit, bitorder="little")
+        raw = np.packbits((order & order.dtype.type(1 << k)) != 0, bitorder="little")
         out.append(squeeze(raw.tobytes()))
         counts = np.add.reduceat(np.bitwise_count(raw), np.arange(0, len(raw), _ROW), dtype=np.uint16) if len(raw) else np.zeros(0, np.uint16)
         directories.append(squeeze(counts.astype("<u2").tobytes()))
-        one = bit.view(bool)
-        order = np.concatenate((order[~one], order[one]))
+        order = np.concatenate([pa.array(order).filter(_flags(some, n)).to_numpy() for some in (~raw, raw)])
     docs = squeeze(docs)
     head = np.array([n, planes, n_docs, len(docs), *map(len, out), *map(len, directories)], np.int64).tobytes()
     return b"".join((MAGIC, head, docs, *out, *directories))
@@ -146,11 +155,11 @@ class WaveletMatrix:
 
     def ids(self) -> np.ndarray:
         """All ids, from the lowest plane up."""
-        out = np.zeros(self.n, np.uint32)
+        out = np.zeros(self.n, _narrow(self.planes))
         for plane in range(self.planes - 1, -1, -1):
             one = np.unpackbits(self._plane(plane), count=self.n, bitorder="little").view(bool)
             back, zeros = np.empty_like(out), self._zeros(plane)
-            back[~one] = out[:zeros]
-            back[one] = out[zeros:] | np.uint32(1 << (self.planes - 1 - plane))
+            back[np.flatnonzero(~one)] = out[:zeros]
+            back[np.flatnonzero(one)] = out[zeros:] | out.dtype.type(1 << (self.planes - 1 - plane))
             out = back
-        return out
+        return out.astype(np.uint32)

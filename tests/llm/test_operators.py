@@ -257,6 +257,32 @@ def test_encoder_equals_the_library():
     assert [x.tolist() for x in encode([t.encode() for t in texts])] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_encoder_forgets_what_it_met_once(monkeypatch):
+    """Over many runs the pieces met again stay known, the others make room, and the ids are the library's."""
+    monkeypatch.setattr(tokens, "CACHE_PIECES", 200)
+    monkeypatch.setattr(tokens, "_RUN", 300)
+    tokenizer, chance = tokenizers.Tokenizer.from_file(registry.WORD_BPE), random.Random(4)
+    encode = tokens.Encoder(registry.WORD_BPE)
+    for _ in range(60):
+        texts = ["The stra\u00dfe-keeper's 10 \u00c9coles " + "".join(chance.choices("aeinrst\u00e9\u00b2,' ", k=chance.randint(0, 90))) for _ in range(12)]
+        assert [x.tolist() for x in encode([t.encode() for t in texts])] == [x.ids for x in tokenizer.encode_batch(texts, add_special_tokens=False)]
+        assert len(encode.known) == len(encode.sizes) <= 300 and encode.sizes.sum() == len(encode.values)
+        learnt, encode._learn = encode._learn, None
+        assert [x.tolist() for x in encode(["\u00e9coles THE stra\u00dfe".encode()])] == [tokenizer.encode("\u00e9coles the stra\u00dfe", add_special_tokens=False).ids]
+        encode._learn = learnt
+
+
+def test_tasks_of_a_process_share_what_it_knows(monkeypatch):
+    """Plain pieces are encoded many a call, and one by one to the same ids where zeros have no token; none twice a process."""
+    encode, texts = tokens.encoder(registry.WORD_BPE), [b"One stone, \xc3\x84pfel und \xc3\xa7a!", b"", b"10 x0y"]
+    ids = [x.tolist() for x in encode(texts)]
+    monkeypatch.setattr(tokens.Encoder, "_learn", None)
+    assert [x.tolist() for x in tokens.encoder(registry.WORD_BPE)(texts)] == ids
+    monkeypatch.undo()
+    monkeypatch.setattr(tokens, "_listing", lambda path: None)
+    assert [x.tolist() for x in tokens.Encoder(registry.WORD_BPE)(texts)] == ids
+
+
 def graded(n=600, seed=2):
     chance, rows, labels = random.Random(seed), [], []
     good = ["river", "stone", "cloud", "meadow", "walks", "slowly", "under", "bright", "skies", "and", "the", "of"] + [f"word{k}" for k in range(200)]
