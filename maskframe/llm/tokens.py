@@ -123,8 +123,10 @@ class Encoder:
 
     def __init__(self, path: str, normalised: bool = False):
         (self.tokenizer, self.cuts, self.special), self.path, self.known = _tokenizer(path), path, {}
-        #: By the number that a piece has in ``known``: its ids, one piece after the other, how many, and whether it was met again.
-        self.values, self.sizes, self.again = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, bool)
+        #: The ids of pieces, ``filled`` in all; by the number that a piece has in ``known``: where its ids begin, how many
+        #: there are, and whether it was met again. All have room to grow, so that a call costs what it learns.
+        self.values, self.filled = np.zeros(0, np.uint32), 0
+        self.starts, self.sizes, self.again = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.plain, self.normalised = re.compile(_PLAIN).fullmatch, normalised
         self.marks = re.compile(b"(" + b"|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + b")") if self.special and not normalised else None
 
@@ -151,12 +153,14 @@ class Encoder:
 
     def _forget(self, needed: np.ndarray) -> np.ndarray:
         """Forgets the pieces met once, and all but ``needed`` ones if those met again are many; the new numbers of ``needed``."""
-        keep = self.again
+        n = len(self.known)
+        keep = self.again[:n]
         if keep.sum() > CACHE_PIECES // 2:
-            keep = np.zeros(len(keep), bool)
+            keep = np.zeros(n, bool)
             keep[needed] = True
         self.known = {key: k for k, key in enumerate(itertools.compress(self.known, keep.tolist()))}
-        self.values, self.sizes, self.again = self.values[np.repeat(keep, self.sizes)], self.sizes[keep], np.zeros(keep.sum(), bool)
+        self.values, self.sizes, self.again = self.values[: self.filled][np.repeat(keep, self.sizes[:n])], self.sizes[:n][keep], np.zeros(keep.sum(), bool)
+        self.starts, self.filled = np.cumsum(self.sizes) - self.sizes, len(self.values)
         return (np.cumsum(keep) - 1)[needed]
 
     def _learn(self, keys: Iterable[int | bytes | tuple[bytes]]) -> None:
@@ -171,11 +175,11 @@ class Encoder:
         texts = [piece.decode("utf-8", "replace") for piece in rest.values()]
         encoded = map(self._model, texts) if self.normalised else (found.ids for found in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))
         made = [*self._plain(list(plain.values())), _flat(list(encoded))]
-        self.values = np.concatenate([self.values, *(values for values, _ in made)])
-        self.sizes = np.concatenate([self.sizes, *(sizes for _, sizes in made)])
-        first = len(self.known)
-        self.known.update(zip(itertools.chain(plain, rest), range(first, len(self.sizes)), strict=True))
-        self.again = np.concatenate((self.again, np.zeros(len(self.known) - first, bool)))
+        values, sizes, n = np.concatenate([v for v, _ in made]), np.concatenate([k for _, k in made]), len(self.known)
+        self.starts = _put(self.starts, n, np.cumsum(sizes) - sizes + self.filled)
+        self.sizes, self.again = _put(self.sizes, n, sizes), _put(self.again, n, np.zeros(len(sizes), bool))
+        self.values, self.filled = _put(self.values, self.filled, values), self.filled + len(values)
+        self.known.update(zip(itertools.chain(plain, rest), range(n, n + len(sizes)), strict=True))
 
     def _plain(self, pieces: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """The ids of plain pieces, and how many each has, run by run."""
@@ -230,7 +234,7 @@ class Encoder:
         number = self._pieces(lower, begin, stop, mixed)
         sizes_at = self.sizes[number]
         ends = np.concatenate(([0], np.cumsum(sizes_at)))
-        ids = self.values[np.arange(ends[-1]) + np.repeat((np.cumsum(self.sizes) - self.sizes)[number] - ends[:-1], sizes_at)]
+        ids = self.values[np.arange(ends[-1]) + np.repeat(self.starts[number] - ends[:-1], sizes_at)]
         return np.split(ids, ends[np.searchsorted(begin, np.cumsum(sizes)[:-1])])
 
     def _pieces(self, data: np.ndarray, begin: np.ndarray, stop: np.ndarray, mixed: np.ndarray) -> np.ndarray:
@@ -270,6 +274,14 @@ def _flat(found: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(itertools.chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
 
 
+def _put(array: np.ndarray, at: int, more: np.ndarray) -> np.ndarray:
+    """The array with ``more`` from a place on; where it lacks room it gets half as much again."""
+    if at + len(more) > len(array):
+        array = np.concatenate((array[:at], np.zeros(len(more) + at // 2, array.dtype)))
+    array[at : at + len(more)] = more
+    return array
+
+
 def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct values, and which of them each one is."""
     coded = pa.array(values).dictionary_encode()
