@@ -32,7 +32,7 @@ a component's name unless all ids of it are null; an empty table gives an empty
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
+from functools import partial, reduce
 from operator import add
 
 import numpy as np
@@ -403,25 +403,27 @@ def _apart(a: str, b: str) -> Column:
 def cluster(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, whole, component): each document's set and the smallest id that links reach from it."""
     found = common.materialize(_mapped(docs, id_col, text_col, "balls"), "found")
-    sketches = common.materialize(found.select("whole", "n", "balls", "parity").dropDuplicates(["whole"]), "sketches")
+    pack = partial(common.packed, rows=found.count())
+    sketches = common.materialize(pack(found.select("whole", "n", "balls", "parity").dropDuplicates(["whole"])), "sketches")
+
     def whole_sets(wanted: DataFrame) -> DataFrame:
         one = found.join(wanted, "whole").groupBy("whole").agg(F.min("id").alias("one")).select("one").distinct()
         some = docs.join(one, F.col(id_col).eqNullSafe(F.col("one")), "left_semi")
         sets = _mapped(some, id_col, text_col, "shingles").join(wanted, "whole", "left_semi").select("whole", "shingles")
-        return common.materialize(sets.dropDuplicates(["whole"]), "sets")
+        return common.materialize(pack(sets.dropDuplicates(["whole"])), "sets")
 
-    tried = common.materialize(_possible(_ball_pairs(sketches), sketches), "pairs")
+    tried = common.materialize(pack(_possible(_ball_pairs(sketches), sketches)), "pairs")
     sets = whole_sets(tried.select(F.explode(F.array("a", "b")).alias("whole")).distinct())
-    roots = simhash.components(_verified(tried, sets))
-    met = common.materialize(_met(_rooted(sketches, roots)), "met")
+    roots = simhash.components(_verified(tried, sets), pack)
+    met = common.materialize(pack(_met(_rooted(sketches, roots))), "met")
     sets = sets.union(whole_sets(met.join(sets, "whole", "left_anti")))
-    left = common.materialize(_bounded(sketches.join(met, "whole"), sets.join(met, "whole", "left_semi")), "left")
+    left = common.materialize(pack(_bounded(sketches.join(met, "whole"), sets.join(met, "whole", "left_semi"))), "left")
     for hubs in (True, False):
         pairs = _ball_pairs(_rooted(left, roots), hubs).join(tried, ["a", "b"], "left_anti")
-        pairs = common.materialize(pairs, "pairs")
+        pairs = common.materialize(pack(pairs), "pairs")
         known = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        roots, tried = simhash.components(_verified(pairs, sets).union(known)), tried.union(pairs)
-    return simhash.named(found, "whole", roots, id_col)
+        roots, tried = simhash.components(_verified(pairs, sets).union(known), pack), tried.union(pairs)
+    return simhash.named(found, "whole", roots, id_col, pack)
 
 
 def _bounded(sketches: DataFrame, sets: DataFrame) -> DataFrame:

@@ -94,13 +94,14 @@ def links(prints: DataFrame) -> DataFrame:
     return pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= RADIUS).distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, pack: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """(node, root): the smallest node that each node of ``edges`` (a, b) reaches.
 
     Large-star and small-star steps in turn; minima are aggregated before the shuffle, and a hub's
-    edges meet its minimum in a join that adaptive execution can split.
+    edges meet its minimum in a join that adaptive execution can split. ``pack`` is applied to the edges before they
+    are written, once a round.
     """
-    edges = common.materialize(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    edges = common.materialize(pack(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), "edges")
     last = None
     while True:  # every round brings nodes nearer to their smallest one until nothing moves
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -108,7 +109,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
-        edges = common.materialize(small.select("e.a", "e.b").where("a != b").distinct(), "edges")
+        edges = common.materialize(pack(small.select("e.a", "e.b").where("a != b").distinct()), "edges")
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == last:
             return edges.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
@@ -121,13 +122,13 @@ def cluster(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_co
     return named(found, "print", components(star_links(found.select("print").distinct())), id_col)
 
 
-def named(found: DataFrame, key: str, roots: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id_col, key, component) of ``found`` (id, key), from the ``roots`` of keys that have links."""
+def named(found: DataFrame, key: str, roots: DataFrame, id_col: str = "doc_id", pack: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """(id_col, key, component) of ``found`` (id, key), from the ``roots`` of keys that have links; ``pack`` as in components()."""
     keys = found.groupBy(key).agg(F.min("id").alias("least"))
     rooted = keys.join(roots, keys[key] == roots["node"], "left").select(key, "least", F.coalesce("root", key).alias("root"))
     names = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    rooted = common.materialize(rooted.join(names, "root").select(F.col(key).alias("of"), "component"), "components")
-    return found.join(rooted, found[key] == rooted["of"]).select(F.col("id").alias(id_col), key, "component")
+    rooted = common.materialize(pack(rooted.join(names, "root").select(F.col(key).alias("of"), "component")), "components")
+    return pack(found.join(rooted, found[key] == rooted["of"]).select(F.col("id").alias(id_col), key, "component"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

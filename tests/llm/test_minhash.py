@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 
 import corpus_pipeline
-from maskframe.llm import minhash
+from maskframe.llm import common, minhash
 
 
 def sets_of(text):
@@ -175,3 +176,22 @@ def test_divided_balls_keep_all_company():
     assert len(parts) > 4 and all(len(part[0]) and len(minhash.flipped(*part[1:])[0]) <= 40 for part in parts)
     assert set().union(*(met(*part) for part in parts)) == met(np.arange(60), low, free)
     assert sum(len(met(*part)) for part in parts) == len(met(np.arange(60), low, free))
+
+
+def test_small_tables_are_written_in_few_files(spark, tmp_path):
+    """However wide shuffles are: each file written costs an executor two processes."""
+    texts = {i: text for i, text in near_copies().items() if text}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    scratch = Path(common.shared_dir(spark).removeprefix("file:"), "maskframe")
+    before = set(scratch.glob("*"))
+    put = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in put}
+    try:
+        for k, v in put.items():
+            spark.conf.set(k, v)
+        assert corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).count() < len(texts)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    written = [len(list(p.glob("part-*"))) for p in set(scratch.glob("*")) - before]
+    assert len(written) > 10 and max(written) <= spark.sparkContext.defaultParallelism
