@@ -39,6 +39,8 @@ from maskframe.llm import blocks, common
 
 THRESHOLD, DIGIT = 50, 30
 _DIGIT_BITS = 40
+#: Windows that are hashed at once.
+PIECE = 1 << 14
 _LAST = np.iinfo(np.int64).max
 _ODD = np.random.default_rng(50).integers(1 << 62, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 _BYTES = np.random.default_rng(51).integers(0, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)
@@ -72,6 +74,32 @@ def _heads(*sorted_keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _cut(first: np.ndarray, last: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last of runs, cut from their first on into runs of ``most`` at most."""
+    parts = (last - first) // most + 1
+    of = np.repeat(np.arange(len(first)), parts)
+    begin = first[of] + most * (np.arange(len(of)) - np.repeat(np.cumsum(parts) - parts, parts))
+    return begin, np.minimum(last[of], begin + most - 1)
+
+
+def _hashed(text: np.ndarray, threshold: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
+    """See Block._hashes(). Hashes double in length."""
+    found, value, size, step = {}, _BYTES[text], 1, 0
+    while True:
+        for length in (threshold, digit):
+            if size <= length < 2 * size:
+                gap, n = length - size, len(text) - length + 1
+                found[length] = _mix(value[:n], value[gap : gap + n], 5)
+        if size * 2 > threshold:
+            break
+        value, size, step = _mix(value[:-size], value[size:], step), size * 2, step + 1
+    least, width, size = found[digit], threshold - digit + 1, 1
+    while size < width:
+        grow = min(size, width - size)
+        least, size = np.minimum(least[:-grow], least[grow:]), size + grow
+    return found[threshold], least
+
+
 class Block:
     """The windows of some documents, as runs with their digits."""
 
@@ -85,42 +113,32 @@ class Block:
         whole = self.ends - self.starts >= threshold
         np.add.at(valid, self.starts[whole], 1)
         np.add.at(valid, self.ends[whole] - threshold + 1, -1)
-        at = np.flatnonzero(np.cumsum(valid[:count], dtype=np.int8))
-        if not len(at):
+        valid = np.cumsum(valid[:count], dtype=np.int8) > 0
+        if not valid.any():
             empty = np.zeros(0, np.int64)
             self.window = self.digit = self.whole = empty.view(np.uint64)
             self.first = self.last = self.rank = empty
             return
         window, least = self._hashes(threshold, digit)
         self.window = window
-        value = least[at]
-        begins = np.ones(len(at), bool)
-        begins[1:] = (value[1:] != value[:-1]) | (at[1:] != at[:-1] + 1)
-        place = np.arange(len(at))
-        place -= np.maximum.accumulate(np.where(begins, place, 0))
-        begins = np.flatnonzero(place % (threshold - digit + 1) == 0)
-        self.first = at[begins]
-        self.last = at[np.append(begins[1:], len(at)) - 1]
-        self.digit = value[begins] >> np.uint64(64 - _DIGIT_BITS)
+        other = least[1:] != least[:-1]
+        begins, ends = valid.copy(), valid.copy()
+        begins[1:] &= other | ~valid[:-1]
+        ends[:-1] &= other | ~valid[1:]
+        self.first, self.last = _cut(np.flatnonzero(begins), np.flatnonzero(ends), threshold - digit + 1)
+        self.digit = least[self.first] >> np.uint64(64 - _DIGIT_BITS)
         self.whole = _mix(window[self.first], window[self.last], 6) + (self.last - self.first).astype(np.uint64)
         self.rank = rank[np.searchsorted(self.starts, self.first, "right") - 1]
 
     def _hashes(self, threshold: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-        """Of each window: its hash, and the least hash of its digits. Hashes double in length."""
-        found, value, size, step = {}, _BYTES[self.text], 1, 0
-        while True:
-            for length in (threshold, digit):
-                if size <= length < 2 * size:
-                    gap, n = length - size, len(self.text) - length + 1
-                    found[length] = _mix(value[:n], value[gap : gap + n], 5)
-            if size * 2 > threshold:
-                break
-            value, size, step = _mix(value[:-size], value[size:], step), size * 2, step + 1
-        least, width, size = found[digit], threshold - digit + 1, 1
-        while size < width:
-            grow = min(size, width - size)
-            least, size = np.minimum(least[:-grow], least[grow:]), size + grow
-        return found[threshold], least
+        """Of each window: its hash, and the least hash of its digits. Made piece by piece, so that the numbers on the
+        way stay in a core's cache."""
+        count = len(self.text) - threshold + 1
+        window, least = np.empty(count, np.uint64), np.empty(count, np.uint64)
+        for at in range(0, count, PIECE):
+            end = min(at + PIECE, count)
+            window[at:end], least[at:end] = _hashed(self.text[at : end + threshold - 1], threshold, digit)
+        return window, least
 
     def bucket(self, digit: np.ndarray) -> np.ndarray:
         """Ascending with the digit. A digit is the least of many hashes, so small ones are frequent; their share is
@@ -141,7 +159,9 @@ class Block:
     def open_runs(self, elsewhere: np.ndarray) -> None:
         """Second pass: keeps the runs whose digit another document has, sorted, one key each."""
         order, heads, _, many = self.digits
-        keep = order[np.repeat(elsewhere | many, np.diff(np.append(heads, len(order))))]
+        some = np.zeros(len(order), bool)
+        some[order] = np.repeat(elsewhere | many, np.diff(np.append(heads, len(order))))
+        keep = np.flatnonzero(some)  # in the order of the text, in which ranks mostly ascend
         self.run = keep[np.lexsort((self.rank[keep], self.whole[keep], self.digit[keep]))]
         heads = _heads(self.digit[self.run], self.whole[self.run])
         self.run_key = np.cumsum(heads) - 1

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -74,6 +75,23 @@ def test_suffix_blocks_of_any_size_agree(docs):
     assert a == b
 
 
+def test_blocks_are_hashed_in_pieces(monkeypatch):
+    """Of a byte no more than a few numbers are held at once, and pieces of any size give the same runs."""
+    chance = np.random.default_rng(2)
+    text = chance.integers(97, 101, 300_000, dtype=np.uint8).tobytes() + b"ab" * 1000
+    sizes = [1000, 0, 49, 50, 200_000, len(text) - 201_099]
+    tracemalloc.start()
+    block = suffixes.Block(list(range(6)), sizes, text, 50, 30, 5)
+    most = tracemalloc.get_traced_memory()[1] / len(text)
+    tracemalloc.stop()
+    assert most < 50
+    for size in (1000, 77, 1 << 20):
+        monkeypatch.setattr(suffixes, "PIECE", size)
+        other = suffixes.Block(list(range(6)), sizes, text, 50, 30, 5)
+        assert all(np.array_equal(getattr(block, name), getattr(other, name)) for name in ("window", "first", "last", "digit", "whole", "rank"))
+    assert (block.last - block.first < 21).all() and (block.last - block.first + 1).sum() == sum(max(n - 49, 0) for n in sizes)
+
+
 def test_suffixes_of_odd_rows(odd, empty):
     rows = sorted(((r.doc_id or 99, r.n_removed) for r in suffixes.digests(odd).collect()))
     assert rows == [(5, 0), (5, 0), (7, 0), (99, len(PASSAGE))] and suffixes.digests(empty).count() == 0
