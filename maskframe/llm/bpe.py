@@ -94,7 +94,7 @@ def word_blocks(docs: DataFrame, pattern: str, id_col: str, text_col: str, block
     kind, id_type = common.id_ddl(docs, id_col), to_arrow_type(docs.schema[id_col].dataType)
     rows = common.texts(docs, id_col, text_col)
     schema = f"block long, doc_ids array<{kind}>, n_words array<int>, spots binary, words array<struct<bucket:int,words:binary>>"
-    return rows.mapInArrow(split, schema)
+    return rows.mapInArrow(common.lean(split), schema)
 
 
 def encode(
@@ -144,7 +144,7 @@ def encode(
                 yield pa.RecordBatch.from_arrays([pa.array(row["doc_ids"], id_type), lists], [id_col, "ids"])
 
     rows = table.select("block", "doc_ids", "n_words", "spots").join(back, "block", "left")
-    return rows.mapInArrow(assemble, f"`{id_col}` {kind}, ids array<int>")
+    return rows.mapInArrow(common.lean(assemble), f"`{id_col}` {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -167,7 +167,7 @@ def decode(encoded: DataFrame, path: str, id_col: str = "doc_id", ids_col: str =
 
     names = [id_col, ids_col, "decoded"]
     kind = common.id_ddl(encoded, id_col)
-    return encoded.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
+    return encoded.select(id_col, ids_col).mapInArrow(common.lean(run), f"`{id_col}` {kind}, `{ids_col}` array<int>, decoded binary")
 
 
 def with_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:

@@ -209,7 +209,7 @@ def _pass(docs: DataFrame, items: list[tuple[object, list[bytes]]], match: int,
                 kinds = [f.type for f in out_schema]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(columns[0])), *(pa.array(c, k) for c, k in zip(columns[1:], kinds[1:], strict=True))], schema=out_schema)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.lean(run), schema)
 
 
 def leaks(

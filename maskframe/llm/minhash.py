@@ -133,7 +133,7 @@ def _mapped(docs: DataFrame, id_col: str, text_col: str, kept: str) -> DataFrame
 
     names = ["id", "whole", "n", *(["balls", "parity"] if short else [kept])]
     ddl = "balls binary, parity array<long>" if short else f"{kept} array<long>"
-    return common.texts(docs, id_col, text_col).mapInArrow(run, f"id {common.id_ddl(docs, id_col)}, whole long, n long, {ddl}")
+    return common.texts(docs, id_col, text_col).mapInArrow(common.lean(run), f"id {common.id_ddl(docs, id_col)}, whole long, n long, {ddl}")
 
 
 def _bytes(x: np.ndarray, width: int) -> np.ndarray:
@@ -190,7 +190,7 @@ def _dealt(sketches: DataFrame, bits: int, tables: int, others: tuple[str, ...])
             starts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(bucket[starts].view(np.int64)), _binaries(parts, starts)], ["bucket", "part"])
 
-    return sketches.where(F.col("n") >= SIMILAR[0]).select("balls", "whole", *others).mapInArrow(run, "bucket long, part binary")
+    return sketches.where(F.col("n") >= SIMILAR[0]).select("balls", "whole", *others).mapInArrow(common.lean(run), "bucket long, part binary")
 
 
 def _buckets(sketches: DataFrame, tables: int, *others: str) -> GroupedData:

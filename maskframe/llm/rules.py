@@ -82,7 +82,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(found[:, k]) for k in range(len(names) - 1))], names)
 
     rows = common.texts(docs, id_col, text_col)
-    return rows.mapInArrow(run, f"id {common.id_ddl(docs, id_col)}, " + ", ".join(f"{n} long" for n in names[1:]))
+    return rows.mapInArrow(common.lean(run), f"id {common.id_ddl(docs, id_col)}, " + ", ".join(f"{n} long" for n in names[1:]))
 
 
 def features(counts: dict[str, np.ndarray]) -> np.ndarray:
@@ -202,7 +202,7 @@ def score(counts: DataFrame, model: Trees | None) -> DataFrame:
             kept = margin >= (model.cut if model else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column("id"), *(batch.column(name) for name in COUNTS), pa.array(margin), pa.array(kept)], names)
 
-    return counts.mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} long" for n in COUNTS) + ", margin double, method_kept boolean")
+    return counts.mapInArrow(common.lean(run), f"id {kind}, " + ", ".join(f"{n} long" for n in COUNTS) + ", margin double, method_kept boolean")
 
 
 def verdicts(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:

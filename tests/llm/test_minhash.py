@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -195,3 +196,21 @@ def test_small_tables_are_written_in_few_files(spark, tmp_path):
             spark.conf.set(k, v)
     written = [len(list(p.glob("part-*"))) for p in set(scratch.glob("*")) - before]
     assert len(written) > 10 and max(written) <= spark.sparkContext.defaultParallelism
+
+
+def test_workers_give_back_what_tasks_freed():
+    """Of 40,000 buffers every hundredth stays, so that allocators cannot shrink on their own; the rest goes back."""
+
+    def resident():
+        return int(re.search(r"Pss_Anon:\s+(\d+)", Path("/proc/self/smaps_rollup").read_text())[1]) / 1024
+
+    left = []
+
+    def run(batches):
+        some = [bytes(4000) for _ in range(40_000)]
+        left.extend(some[::100])
+        yield from batches
+
+    before = resident()
+    assert list(common.lean(run)(iter([1, 2]))) == [1, 2]
+    assert resident() - before < 40
