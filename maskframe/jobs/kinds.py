@@ -228,9 +228,13 @@ def detected_values(spark: SparkSession, sf_dir: str) -> DataFrame:
         .when(F.col("event_id") % 7 == 2, F.regexp_replace(F.md5(user.cast("binary")), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5")).when(F.col("event_id") % 7 == 3, user)
         .when(F.col("event_id") % 7 == 4, F.concat(F.lit("Ab_"), user, F.lit("-x"))).when(F.col("event_id") % 7 == 5, F.col("props")).otherwise(F.col("event_type"))
     )
-    rows = read(spark, sf_dir, "events").select("event_id", value.alias("value"), F.explode(F.array(*map(F.lit, _JUDGED))).alias("path"))
-    found = detect.detect(detect.path_type(F.col("path")), F.col("value"), F.lit("string"))
-    return rows.select("event_id", "path", found.alias("found"), detect.id_like(F.col("value"), F.lit("string")).alias("opted"))
+    # What depends on the value alone is found once a value, and what depends on the path alone once a path.
+    text, judged = F.col("value"), F.array(*(F.struct(F.lit(path).alias("path"), detect.path_type(F.lit(path)).alias("by_path")) for path in _JUDGED))
+    rows = read(spark, sf_dir, "events").select("event_id", value.alias("value"))
+    rows = rows.select("*", detect.value_type(text).alias("shown"), detect.id_like(text, F.lit("string")).alias("opted"))
+    rows = rows.select("event_id", "value", "shown", "opted", F.explode(judged).alias("x"))
+    found = detect.detect(F.col("x.by_path"), text, F.lit("string"), F.col("shown"))
+    return rows.select("event_id", "x.path", found.alias("found"), "opted")
 
 
 def _detected_sql() -> str:
