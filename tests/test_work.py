@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from maskframe.functions import detect, fakes
 from maskframe.jobs import kinds
-from maskframe.operators import entries
+from maskframe.operators import entries, raw, report
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,3 +73,28 @@ def test_leaves_of_sections_are_those_of_a_walk():
         assert sorted(x[:-1] for x in found) == sorted(walked)
         made = {x: f"{x[entries._VALUE]}9" if x[2] == "number" else {"true": "false", "false": "true"}[x[entries._VALUE]] if x[2] == "boolean" else f"<{x[entries._VALUE]}>" for x in walked}
         assert entries.rebuild(text, [made[x[:-1]] for x in found]) == entries._rebuilt(tree, bodies, [made[x] for x in walked])
+
+
+def test_a_path_of_a_payload_is_judged_once_a_process(spark):
+    df = spark.range(1).select(F.uuid().alias("text"))
+    assert r"(?:\[\d*\])*$" not in plan(raw.mask(df))
+
+
+def test_a_number_is_not_tested_as_a_text(spark):
+    """The type found stood twice, with all tests of the value."""
+    leaf = {name: F.col(name) for name in ("kind", "value")}
+    df = spark.range(1).select(*(F.uuid().alias(name) for name in ("by_path", "kind", "value")))
+    assert plan(df.select(raw.found_type(F.col("by_path"), leaf).alias("found"))).count("[hH][tT][tT][pP]") == 1
+
+
+def test_windows_of_seeds_make_no_arrays(spark):
+    """Each window of four hashes was an array of its own."""
+    text = spark.range(1).select(F.uuid().alias("text"))
+    assert "array_min" not in plan(text.select(report._seeds(F.col("text")).alias("seeds")))
+
+
+def test_seeds_of_short_and_long_texts_are_the_same(spark):
+    value = "Zoë Grünwald 漢字"
+    texts = [("short", f"to {value}, by mail"), ("long", f"{'word ' * 60}{value}, by mail"), ("none", "to Zoë Grunwald 漢字")]
+    found = report.leaks(spark.createDataFrame([(value,)], "value string"), spark.createDataFrame(texts, "doc_id string, text string")).collect()
+    assert sorted(r.doc_id for r in found) == ["long", "short"]
