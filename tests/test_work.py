@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from maskframe.functions import detect, fakes
@@ -98,3 +99,16 @@ def test_seeds_of_short_and_long_texts_are_the_same(spark):
     texts = [("short", f"to {value}, by mail"), ("long", f"{'word ' * 60}{value}, by mail"), ("none", "to Zoë Grunwald 漢字")]
     found = report.leaks(spark.createDataFrame([(value,)], "value string"), spark.createDataFrame(texts, "doc_id string, text string")).collect()
     assert sorted(r.doc_id for r in found) == ["long", "short"]
+
+
+def test_targets_are_written_many_a_batch():
+    """Each target was an Arrow batch of its own."""
+    place = lambda i: {"har_id": "h", "entry": i, "method": "GET", "url": "u"}
+    rows = [
+        {"target_key": f"{i // 2:05}", "section": "body", "name": "n", "original": "o", "replacement": "r", "default": i % 2 == 1, "redact": False, "reason": "b" if i % 2 else "a", "n": 2, "places": [place(i + k) for k in (3, 0)]}
+        for i in range(10_000)
+    ]
+    made = list(entries._merged(iter([pa.RecordBatch.from_pylist(rows[:4_999]), pa.RecordBatch.from_pylist(rows[4_999:])]), 3))
+    assert len(made) == 3 and sum(batch.num_rows for batch in made) == 5_000
+    first = made[0].to_pylist()[0]
+    assert [x["entry"] for x in first["locations"]] == [0, 1, 3] and first["occurrences"] == 4 and first["default"] and first["reason"] == "b"
